@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["unit_queries"]
+MODULES = ["unit_queries", "window_queries"]
 
 
 def load():

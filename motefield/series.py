@@ -104,3 +104,14 @@ def attach_stats(df: DataFrame, layout: SeriesLayout, **aggs: Column) -> DataFra
         BLOCK, F.explode(F.sequence(F.lit(0).cast("long"), last_block))
     ).drop("_last")
     return df.join(per_block, layout.by, "inner")
+
+
+def attach_table(df: DataFrame, layout: SeriesLayout, table: DataFrame) -> DataFrame:
+    """Join one row per series to the rows of the series, block by block when series are long."""
+    keys = list(layout.keys)
+    if not layout.blocked:
+        return df.join(table, keys, "inner")
+    block = F.floor(F.col(layout.order) / F.lit(layout.block_rows)).cast("long")
+    rows = df.withColumn(BLOCK, block)
+    used = rows.select(*keys, BLOCK).distinct()
+    return rows.join(used.join(table, keys, "inner"), [*keys, BLOCK], "inner").drop(BLOCK)
