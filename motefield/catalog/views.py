@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motefield.functions.iq import iq_amplitude
+from motefield.functions.iq import exploded, iq_amplitude
 from motefield.ranking import positions
 from motefield.series import SeriesLayout, measure
 
@@ -124,7 +124,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def to_samples(frames: DataFrame, *keep: str) -> DataFrame:
     """One row per subcarrier amplitude, in packet order of ``t``."""
     kept = list(keep) or ["recording_id", "device", "t"]
-    return frames.select(*kept, F.posexplode(iq_amplitude(F.col("iq"))).alias("sc", "x"))
+    return exploded(frames, kept, iq_amplitude(F.col("iq")), "sc", "x")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:

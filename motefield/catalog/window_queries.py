@@ -9,7 +9,7 @@ from motefield.catalog.registry import query
 from motefield.catalog.views import (
     DEVICES, PACKETS_SQL, SAMPLES, packet_layout, packets, samples, sql_padded, to_samples,
 )
-from motefield.functions.iq import complex_map, complex_phase, iq_amplitude, iq_complex
+from motefield.functions.iq import complex_map, complex_phase, exploded, iq_complex
 from motefield.operators import filters, normalise, recordings, windows
 from motefield.operators.normalise import PreprocessConfig
 from motefield.operators.packets import align_devices, segment_rows, wide_by_device
@@ -123,7 +123,7 @@ scoped as (select *, device as s from chg union all select *, 'global' as s from
 @query("iq_complex", f"with {PACKETS_SQL} select vec_id, k as sc, iq[2*k+2] as re, iq[2*k+1] as im from packets, unnest(generate_series(0,31)) as g(k)".replace(
     "k as sc", "cast(k as int) as sc").replace("iq[2*k+2] as re", "cast(iq[2*k+2] as double) as re").replace("iq[2*k+1] as im", "cast(iq[2*k+1] as double) as im"))
 def iq_complex_query(spark, sf_dir):
-    p = packets(spark, sf_dir).select("vec_id", F.posexplode(iq_complex(F.col("iq"))).alias("sc", "c"))
+    p = exploded(packets(spark, sf_dir), ["vec_id"], iq_complex(F.col("iq")), "sc", "c")
     return p.select("vec_id", "sc", "c.re", "c.im")
 
 
@@ -135,7 +135,7 @@ def iq_amplitude_query(spark, sf_dir):
 @query("iq_phase", f"with {SAMPLES} select recording_id, device, t, sc, round(atan2(cast(im as double), cast(re as double)),6) as phase from samples")
 def iq_phase(spark, sf_dir):
     p = packets(spark, sf_dir).withColumn("csi", iq_complex(F.col("iq")))
-    out = p.select("recording_id", "device", "t", F.posexplode(complex_phase(F.col("csi"))).alias("sc", "phase"))
+    out = exploded(p, ["recording_id", "device", "t"], complex_phase(F.col("csi")), "sc", "phase")
     return rounded(out)
 
 

@@ -17,25 +17,24 @@ def lenient_int(text: Column, default: int = 0) -> Column:
     return F.coalesce(F.trim(text).try_cast("int"), F.lit(default))
 
 
-def bracket_body(text: Column) -> Column:
-    """Content between ``[`` and ``]`` after removing outer blanks and quotes; NULL otherwise."""
-    bare = F.trim(F.regexp_replace(F.trim(text), '^"(.*)"$', "$1"))
-    return F.when(
-        bare.startswith("[") & bare.endswith("]") & (F.length(bare) >= 2),
-        F.trim(bare.substr(F.lit(2), F.length(bare) - 2)),
-    )
+# A bracketed list, with or without quotes around it.
+_LIST = r'^\s*"?\s*\[([^\]]*)\]\s*"?\s*$'
+_EMPTY_LIST = r'^\s*"?\s*\[\s*\]\s*"?\s*$'
 
 
-def int_items(body: Column) -> Column:
-    """Comma-separated integers as an array; an entry that is no integer becomes NULL."""
-    return F.when(body == "", F.array().cast("array<int>")).otherwise(
-        F.transform(F.split(body, ","), lambda v: F.trim(v).try_cast("int"))
-    )
+def iq_array(text: Column) -> Column:
+    """Packet cell as ``array<int>``; NULL when it is not a bracketed list.
 
+    An entry that is no integer becomes a NULL element.
+    """
+    entries = F.transform(F.split(F.regexp_extract(text, _LIST, 1), ","), lambda v: F.trim(v).try_cast("int"))
+    return F.when(text.rlike(_EMPTY_LIST), F.array().cast("array<int>")).when(text.rlike(_LIST), entries)
 
-def iq_array(text: Column) -> Column:
-    """Packet cell as ``array<int>``; NULL when it is not a bracketed list."""
-    return int_items(bracket_body(text))
+
+def cell_length(text: Column) -> Column:
+    """Number of entries of a packet cell, counted on the text without parsing it."""
+    commas = F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
+    return F.when(text.rlike(_EMPTY_LIST), 0).otherwise(commas + 1)
 
 
 def _pairs(iq: Column, combine) -> Column:
@@ -72,3 +71,14 @@ def drop_null_positions(iq: Column) -> Column:
             F.size(iq) == length, F.filter(iq, lambda v, i: ~F.array_contains(silent, i))
         ).otherwise(out)
     return out
+
+
+def exploded(df, keep: list[str], array: Column, place: str, value: str):
+    """One row per array element.
+
+    The outer form is used on purpose: for the inner form the optimizer adds a filter on the
+    array and pushes it below the projections, which would compute the array again inside
+    its own lambda for every element.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias(place, value))
+    return rows.filter(F.col(place).isNotNull())

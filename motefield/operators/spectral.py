@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from motefield.functions.iq import exploded
 from motefield.ranking import BUCKET, running_totals
 from motefield.series import BLOCK_ROWS, SeriesLayout
 
@@ -75,7 +76,8 @@ def power_spectrum(
     keys = list(layout.keys)
     if layout.longest <= fft_rows:
         arrays = unit_arrays(df, value, layout)
-        bins = arrays.select(*keys, F.size("_x").alias("_n"), F.posexplode(power_array("_x")).alias("k", "power"))
+        power = arrays.select(*keys, F.size("_x").alias("_n"), power_array("_x").alias("_p"))
+        bins = exploded(power, [*keys, "_n"], F.col("_p"), "k", "power")
         return bins.select(*keys, "k", (F.col("k") / F.col("_n")).alias("freq"), "power")
     return _spread_power(df, value, layout)
 
@@ -157,7 +159,7 @@ def _spread_power(df: DataFrame, value: str, layout: SeriesLayout) -> DataFrame:
             F.when(at > 0, point(1, F.col("_m") - at, F.col("_re"), F.col("_im"))),
         )
     )
-    spread = wide.select(*keys, "n", "n1", "n2", F.explode(points).alias("_p")).select(
+    spread = wide.select(*keys, "n", "n1", "n2", F.explode_outer(points).alias("_p")).select(
         *keys, "n", "n1", "n2", "_p.*"
     )
     halfway = _columns_step(_split_index(spread, "j"), [*keys, "part"], f"{key_types}, part int")

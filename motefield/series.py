@@ -75,7 +75,7 @@ def open_blocks(df: DataFrame, layout: SeriesLayout, reach: int) -> DataFrame:
         F.when(within >= size - reach, own + 1),
     )
     return (
-        df.withColumn(BLOCK, F.explode(F.array_compact(homes)))
+        df.withColumn(BLOCK, F.explode_outer(F.array_compact(homes)))
         .withColumn(CORE, F.col(BLOCK) == own)
     )
 
