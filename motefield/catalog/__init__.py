@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["unit_queries", "window_queries", "result_queries", "log_queries"]
+MODULES = ["unit_queries", "window_queries", "result_queries", "log_queries", "model_queries"]
 
 
 def load():
