@@ -12,7 +12,7 @@ from motefield.functions.labels import binary_class, distance
 from motefield.operators import metrics, models, neighbours, recordings, splits, units
 from motefield.plans import log_inference, robustness, unit_models
 from motefield.ranking import positions
-from motefield.runtime import new_table_path
+from motefield.runtime import lookup_join, materialise, new_table_path, packed
 from motefield.series import measure
 from motefield.sources import artifacts
 
@@ -64,8 +64,6 @@ def feature_bounds(spark, sf_dir):
 
 @query("feature_clip", f"with {FEATURES_SQL}, {LIMITS} select unit_id, {', '.join(f'round(least(greatest({sql_name(c)},lo_{c}),hi_{c}),6) as {sql_name(c)}' for c in NAMES)} from features join limits using (device)")
 def feature_clip(spark, sf_dir):
-    from motefield.runtime import lookup_join, materialise
-
     rows = materialise(features(spark, sf_dir))
     limits = models.column_bounds(rows.filter("role = 'train'"), NAMES, ["device"])
     return rounded(models.clip_to_bounds(lookup_join(rows, limits, ["device"]), NAMES).select("unit_id", *NAMES))
@@ -153,9 +151,8 @@ def embedded_rows(spark, sf_dir, target=binary_class):
         "unit_id", "recording_id", F.col("label").alias("label_name"), "role", "label_class", F.col("y").alias("label"), "features"
     )
     folds = splits.fold_table(ready, "recording_id", ["label_name"])
-    from motefield.runtime import materialise
-
-    return materialise(ready.join(folds, ["recording_id", "label_name"])), emb
+    rows = materialise(ready.join(folds, ["recording_id", "label_name"]))
+    return packed(rows, rows.count()), emb
 
 
 def fitted_query(make, target=binary_class):
@@ -294,8 +291,6 @@ def inference_report(spark, sf_dir):
 @query("batch_inference")
 def batch_inference(spark, sf_dir):
     """Raw log lines to one prediction or failure per recording."""
-    from motefield.runtime import materialise
-
     logs = lines(spark, sf_dir)
     signals, rejected = log_inference.unit_signals(log_inference.log_packets(logs))
     signals = materialise(signals)
@@ -306,8 +301,6 @@ def batch_inference(spark, sf_dir):
 
 
 def window_packets(spark, sf_dir):
-    from motefield.runtime import materialise
-
     return materialise(recordings.binary_windows(packets(spark, sf_dir), packet_layout(spark, sf_dir), DEVICES, WIDTH, STEP))
 
 

@@ -207,14 +207,18 @@ def time_diff(df, value, layout, out) -> DataFrame:
     return close_blocks(opened.withColumn(out, change), layout).filter(F.col(layout.order) > 0)
 
 
-def zero_crossing_rate(df, value, layout, out) -> DataFrame:
-    """Share of steps at which the sign of the value minus its series mean changes."""
+def sign_changes(df, value, layout, out) -> DataFrame:
+    """1 where the sign of the value minus its series mean differs from the row before, else 0.
+
+    NULL on the first row of a series.
+    """
     opened = attach_stats(open_blocks(df, layout, 1), layout, _mean=F.avg(value))
     signed = opened.withColumn("_neg", F.col(value) < F.col("_mean"))
-    flips = signed.withColumn(
-        "_flip", (F.col("_neg") != F.lag("_neg").over(layout.window())).cast("int")
-    )
-    kept = close_blocks(flips, layout).withColumn(
-        "_flip", F.when(F.col(layout.order) > 0, F.col("_flip"))
-    )
-    return kept.groupBy(*layout.keys).agg(F.avg("_flip").alias(out))
+    flips = signed.withColumn(out, (F.col("_neg") != F.lag("_neg").over(layout.window())).cast("int"))
+    kept = close_blocks(flips, layout).drop("_mean", "_neg")
+    return kept.withColumn(out, F.when(F.col(layout.order) > 0, F.col(out)))
+
+
+def zero_crossing_rate(df, value, layout, out) -> DataFrame:
+    """Share of steps at which the sign of the value minus its series mean changes."""
+    return sign_changes(df, value, layout, "_flip").groupBy(*layout.keys).agg(F.avg("_flip").alias(out))

@@ -76,21 +76,23 @@ def confusion_matrix(df: DataFrame, labels: list[int], true: str = "y_true", pre
     return df.agg(*cells).select(F.explode(F.array(*rows)).alias("_e")).select("_e.*")
 
 
-def _by_score(df: DataFrame, positive: Column, score: str, by: list[str]) -> DataFrame:
+def _by_score(df: DataFrame, positive: Column, score: str, by: list[str], rows: int | None = None) -> DataFrame:
     """Positives and negatives per distinct score, cut into score buckets."""
     counted = df.groupBy(*by, score).agg(
         F.sum(positive.cast("long")).alias("pos"), F.sum((~positive).cast("long")).alias("neg")
     )
-    return value_bucket(counted, score, QUANTILE_ROWS)
+    return value_bucket(counted, score, QUANTILE_ROWS, rows)
 
 
-def roc_auc(df: DataFrame, true: str, score: str, by: list[str] | None = None) -> DataFrame:
+def roc_auc(
+    df: DataFrame, true: str, score: str, by: list[str] | None = None, n_rows: int | None = None
+) -> DataFrame:
     """Rank-sum area under the ROC curve, tied scores share their average rank.
 
-    NULL when only one class occurs.
+    NULL when only one class occurs. ``n_rows`` is the row count when it is known.
     """
     by = by or []
-    rows = _by_score(df, F.col(true) == 1, score, by)
+    rows = _by_score(df, F.col(true) == 1, score, by, n_rows)
     run = running_totals(
         rows, by, [F.col(score)], {"_all": F.col("pos") + F.col("neg"), "_pos": F.col("pos")}, BUCKET
     )
@@ -132,7 +134,9 @@ def roc_curve(df: DataFrame, true: str, score: str) -> DataFrame:
     )
 
 
-def evaluate(df: DataFrame, model: str, true: str = "y_true", pred: str = "y_pred", score: str = "score") -> DataFrame:
+def evaluate(
+    df: DataFrame, model: str, true: str = "y_true", pred: str = "y_pred", score: str = "score", n_rows: int | None = None
+) -> DataFrame:
     """One row of binary metrics for a model."""
     sides = per_class(df, [0, 1], true, pred)
     picks = [
@@ -140,7 +144,7 @@ def evaluate(df: DataFrame, model: str, true: str = "y_true", pred: str = "y_pre
         for c, name in ((0, "no_motion"), (1, "motion"))
         for m in ("precision", "recall", "f1", "support")
     ]
-    parts = [basic(df, [0, 1], true, pred).drop("n"), sides.agg(*picks), roc_auc(df, true, score)]
+    parts = [basic(df, [0, 1], true, pred).drop("n"), sides.agg(*picks), roc_auc(df, true, score, n_rows=n_rows)]
     out = parts[0].withColumn("model", F.lit(model))
     for part in parts[1:]:
         out = out.join(part.withColumn("model", F.lit(model)), "model")

@@ -206,7 +206,7 @@ class RbfFeatures(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, D
     @keyword_only
     def __init__(self, *, inputCol="features", outputCol="kernel", gamma="scale", landmarks=64):
         super().__init__()
-        self._setDefault(gamma="scale", landmarks=64)
+        self._setDefault(inputCol="features", outputCol="kernel", gamma="scale", landmarks=64)
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _fit(self, df: DataFrame) -> RbfMap:
@@ -264,7 +264,7 @@ def boosting(depth: int = 4, rate: float = 0.1, rounds: int = 20, classes: int =
 
 def linear_svm(n: int, c: float = 1.0, weight: str | None = None, classes: int = 2, input_col: str = "features"):
     svm = _weighted(
-        LinearSVC(regParam=strength(c, n), standardization=False, maxIter=100, featuresCol=input_col), weight
+        LinearSVC(regParam=strength(c, n), standardization=False, maxIter=50, tol=1e-4, featuresCol=input_col), weight
     )
     return svm if classes == 2 else OneVsRest(classifier=svm, featuresCol=input_col)
 

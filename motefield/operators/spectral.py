@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,10 +63,14 @@ def spectral_struct(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=SCALARS, dtype=float)
 
 
-def unit_arrays(df: DataFrame, value: str, layout: SeriesLayout) -> DataFrame:
-    """The values of each unit in order, as one array; for units of bounded length."""
+def ordered_values(value: str, layout: SeriesLayout) -> Column:
+    """The values of a unit in order, as one array; for units of bounded length."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col(layout.order), F.col(value))))
-    return df.groupBy(*layout.keys).agg(F.transform(pairs, lambda p: p[value]).alias("_x"))
+    return F.transform(pairs, lambda p: p[value])
+
+
+def unit_arrays(df: DataFrame, value: str, layout: SeriesLayout) -> DataFrame:
+    return df.groupBy(*layout.keys).agg(ordered_values(value, layout).alias("_x"))
 
 
 def power_spectrum(

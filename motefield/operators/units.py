@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motefield.functions.scaling import minmax
-from motefield.operators.filters import zero_crossing_rate
-from motefield.operators.spectral import spectral_features
-from motefield.ranking import summarise
+from motefield.operators.filters import sign_changes, zero_crossing_rate
+from motefield.operators.spectral import FFT_ROWS, ordered_values, spectral_features, spectral_struct
+from motefield.ranking import QUANTILE_ROWS, summarise
 from motefield.runtime import lookup_join
 from motefield.series import SeriesLayout
 
@@ -34,8 +34,10 @@ def scale_by_bounds(df: DataFrame, value: str, bounds: DataFrame, by: list[str])
     return joined.withColumn(value, minmax(F.col(value), low, high)).drop("global_min", "global_max")
 
 
-def unit_statistics(df: DataFrame, value: str, layout: SeriesLayout, moments: bool = True) -> DataFrame:
-    x = F.col(value)
+SHARES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+
+
+def _statistics(x: Column, moments: bool) -> list[Column]:
     aggs = [
         F.avg(x).alias("mean"),
         F.stddev_pop(x).alias("std"),
@@ -49,11 +51,16 @@ def unit_statistics(df: DataFrame, value: str, layout: SeriesLayout, moments: bo
             F.coalesce(F.skewness(x), F.lit(0.0)).alias("skew"),
             F.coalesce(F.kurtosis(x), F.lit(0.0)).alias("kurtosis"),
         ]
-    shares = {"q25": 0.25, "median": 0.5, "q75": 0.75}
-    stats = summarise(df, list(layout.keys), aggs, value, shares, layout.longest)
-    return stats.withColumns(
-        {"iqr": F.col("q75") - F.col("q25"), "range": F.col("max") - F.col("min")}
-    )
+    return aggs
+
+
+def _with_ranges(stats: DataFrame) -> DataFrame:
+    return stats.withColumns({"iqr": F.col("q75") - F.col("q25"), "range": F.col("max") - F.col("min")})
+
+
+def unit_statistics(df: DataFrame, value: str, layout: SeriesLayout, moments: bool = True) -> DataFrame:
+    aggs = _statistics(F.col(value), moments)
+    return _with_ranges(summarise(df, list(layout.keys), aggs, value, SHARES, layout.longest))
 
 
 def packet_summary(df: DataFrame, layout: SeriesLayout, rssi: str = "rssi") -> DataFrame:
@@ -63,9 +70,22 @@ def packet_summary(df: DataFrame, layout: SeriesLayout, rssi: str = "rssi") -> D
 
 
 def unit_features(df: DataFrame, value: str, layout: SeriesLayout) -> DataFrame:
-    """All scalar features of the scaled signal, one row per unit."""
+    """All scalar features of the scaled signal, one row per unit.
+
+    Short units are described by one aggregation on the partitioning their windows use; the
+    spectrum takes the collected values of a unit. When some unit is long, each part is
+    computed in its spread-out form and the one-row-per-unit results are joined.
+    """
     keys = list(layout.keys)
-    stats = unit_statistics(df, value, layout)
-    crossings = zero_crossing_rate(df, value, layout, "zcr")
-    spectrum = spectral_features(df, value, layout)
-    return stats.join(crossings, keys).join(spectrum, keys).select(*keys, *UNIT_FEATURES)
+    if layout.blocked or layout.longest > min(QUANTILE_ROWS, FFT_ROWS):
+        stats = unit_statistics(df, value, layout)
+        crossings = zero_crossing_rate(df, value, layout, "zcr")
+        spectrum = spectral_features(df, value, layout)
+        return stats.join(crossings, keys).join(spectrum, keys).select(*keys, *UNIT_FEATURES)
+    rows = sign_changes(df, value, layout, "_flip")
+    exact = [F.percentile(value, F.lit(p)).alias(name) for name, p in SHARES.items()]
+    packed = rows.groupBy(*keys).agg(
+        *_statistics(F.col(value), True), *exact, F.avg("_flip").alias("zcr"), ordered_values(value, layout).alias("_x")
+    )
+    described = _with_ranges(packed).withColumn("_s", spectral_struct("_x"))
+    return described.select("*", "_s.*").select(*keys, *UNIT_FEATURES)

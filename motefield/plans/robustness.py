@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml.feature import StandardScaler, VectorSlicer
 from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from motefield.functions.iq import exploded, iq_amplitude
 from motefield.operators import metrics, models, splits, windows
 from motefield.operators.normalise import PreprocessConfig, preprocess_amplitude
-from motefield.runtime import materialise
+from motefield.runtime import materialise, packed
 from motefield.series import SeriesLayout
 
 WINDOW = ["recording_id", "segment"]
@@ -54,18 +56,38 @@ def window_table(packets: DataFrame, config: PreprocessConfig, width: int, devic
     return ready, names
 
 
-def _fit_and_score(train: DataFrame, test: DataFrame, indices: list[int]) -> dict:
-    weighted = metrics.with_class_weights(train, "label")
-    n = train.count()
+@dataclass
+class Side:
+    """Train and test windows of one split, computed once for all feature subsets."""
+
+    train: DataFrame
+    test: DataFrame
+    n_train: int
+    n_test: int
+
+
+def _side(train: DataFrame, test: DataFrame) -> Side | None:
+    """None when a side is empty or the train side has one class only."""
+    sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
+    n_test = test.count()
+    if len(sizes) < 2 or not n_test:
+        return None
+    n_train = sum(sizes.values())
+    weighted = materialise(metrics.with_class_weights(train, "label"))
+    return Side(packed(weighted, n_train), packed(materialise(test), n_test), n_train, n_test)
+
+
+def _fit_and_score(side: Side, indices: list[int]) -> dict:
     stages = [
         VectorSlicer(inputCol="features", outputCol="part", indices=indices),
         StandardScaler(inputCol="part", outputCol="scaled", withMean=True, withStd=True),
-        models.logistic(n, 1.0, "weight").setFeaturesCol("scaled"),
+        models.logistic(side.n_train, 1.0, "weight").setFeaturesCol("scaled"),
     ]
-    model = Pipeline(stages=stages).fit(weighted)
-    scored = models.predict(model, test).withColumn("y_true", F.col("binary_label"))
-    row = metrics.evaluate(scored, "logistic").first().asDict()
-    return {"n_train": n, "n_test": row["support_no_motion"] + row["support_motion"], **row}
+    model = Pipeline(stages=stages).fit(side.train)
+    scored = models.predict(model, side.test).withColumn("y_true", F.col("binary_label"))
+    scored = materialise(scored.select("y_true", "y_pred", "score"))
+    row = metrics.evaluate(scored, "logistic", n_rows=side.n_test).first().asDict()
+    return {"n_train": side.n_train, "n_test": side.n_test, **row}
 
 
 RESULT = (
@@ -81,12 +103,8 @@ def _result(config: str, split: str, subset: str, score: dict) -> tuple:
     )
 
 
-def _both_classes(train: DataFrame) -> bool:
-    return train.select("label").distinct().count() == 2
-
-
 def robustness_grid(
-    packets: DataFrame, width: int, devices: list[str], configs: dict[str, PreprocessConfig] = CONFIGS, parallelism: int = 4
+    packets: DataFrame, width: int, devices: list[str], configs: dict[str, PreprocessConfig] = CONFIGS, parallelism: int = 8
 ) -> DataFrame:
     """Scores per setting, feature subset and split, and with each person held out.
 
@@ -94,30 +112,32 @@ def robustness_grid(
     A split whose train side has one class only is left out.
     """
     spark = packets.sparkSession
-    tasks = []
-    for name, config in configs.items():
-        table, names = window_table(packets, config, width, devices)
+
+    def one_config(name: str) -> list:
+        table, names = window_table(packets, configs[name], width, devices)
         subsets = subset_indices(names)
+        tasks = []
         for group in ("recording_id", "person_id"):
-            roles = materialise(splits.group_shuffle_split(table, group))
-            train = table.join(roles.filter("role = 'train'"), group, "left_semi")
-            test = table.join(roles.filter("role = 'test'"), group, "left_semi")
-            if not _both_classes(train):
-                continue
+            roles = splits.group_shuffle_split(table, group)
+            side = _side(
+                table.join(roles.filter("role = 'train'"), group, "left_semi"),
+                table.join(roles.filter("role = 'test'"), group, "left_semi"),
+            )
             for subset, indices in subsets.items():
-                if indices:
-                    tasks.append(
-                        lambda c=name, g=group, s=subset, a=train, b=test, i=indices: _result(c, g, s, _fit_and_score(a, b, i))
-                    )
+                if side and indices:
+                    tasks.append(lambda g=group, s=subset, x=side, i=indices: _result(name, g, s, _fit_and_score(x, i)))
         for row in table.select("person_id").distinct().orderBy("person_id").collect():
-            held = F.col("person_id") == row["person_id"]
-            train, test = table.filter(~held), table.filter(held)
-            if _both_classes(train):
+            person, held = row["person_id"], F.col("person_id") == row["person_id"]
+            side = _side(table.filter(~held), table.filter(held))
+            if side:
+                everything = subsets["all_selected"]
                 tasks.append(
-                    lambda c=name, p=row["person_id"], a=train, b=test, i=subsets["all_selected"]: _result(
-                        c, f"without {p}", "all_selected", _fit_and_score(a, b, i)
-                    )
+                    lambda p=person, x=side: _result(name, f"without {p}", "all_selected", _fit_and_score(x, everything))
                 )
+        return tasks
+
+    prepared = models.run_parallel([lambda n=n: one_config(n) for n in configs], len(configs))
+    tasks = [task for group in prepared for task in group]
     return spark.createDataFrame(models.run_parallel(tasks, parallelism), RESULT)
 
 
@@ -126,6 +146,7 @@ def importance_mass(packets: DataFrame, width: int, devices: list[str], config:
     table, names = window_table(packets, config, width, devices)
     roles = splits.group_shuffle_split(table, "recording_id")
     train = table.join(roles.filter("role = 'train'"), "recording_id", "left_semi")
-    weighted = metrics.with_class_weights(train, "label")
+    weighted = materialise(metrics.with_class_weights(train, "label"))
+    weighted = packed(weighted, weighted.count())
     model = models.forest(trees=trees, leaf=2, weight="weight").fit(weighted)
     return models.importance_groups(models.importance_table(packets.sparkSession, model, names))

@@ -12,7 +12,7 @@ from motefield.functions.labels import class_name
 from motefield.operators import models, splits, units
 from motefield.operators.filters import median_filter
 from motefield.ranking import summarise
-from motefield.runtime import materialise
+from motefield.runtime import materialise, packed
 from motefield.series import SeriesLayout
 from motefield.sources.artifacts import Artifact
 
@@ -86,20 +86,21 @@ def train_device(table: UnitTable, device: str, make_model, name: str, tuning=No
     """
     bundle = device_bundle(table, device)
     train = clipped(table.side("train", device), bundle)
+    train = packed(train, train.count())
     embedding = models.fit_embedding(train, units.UNIT_FEATURES)
     ready = materialise(
         models.embed(train, embedding).select(*UNIT, "features", F.col("y").alias("label_y")).withColumnRenamed("label", "label_name")
         .withColumnRenamed("label_y", "label")
     )
     n = ready.count()
+    ready = packed(ready, n)
     score, params = None, {}
     if tuning is None:
         fitted = make_model(n).fit(ready)
     else:
         folds = splits.fold_table(ready, "unit_id", ["label_name"])
-        best, score, params = models.tune(
-            ready.join(folds, ["unit_id", "label_name"]), tuning(n), models.positive_f1()
-        )
+        folded = packed(materialise(ready.join(folds, ["unit_id", "label_name"])), n)
+        best, score, params = models.tune(folded, tuning(n), models.positive_f1())
         fitted = best.bestModel
     if not isinstance(fitted, PipelineModel):
         fitted = PipelineModel([fitted])

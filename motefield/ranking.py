@@ -27,9 +27,12 @@ def hash_bucket(hex_digest: Column) -> Column:
     return F.conv(F.substring(hex_digest, 1, 3), 16, 10).cast("int")
 
 
-def value_bucket(df: DataFrame, column: str, bucket_rows: int) -> DataFrame:
-    """Add a bucket number monotone in a numeric column, about ``bucket_rows`` rows each."""
-    total = df.count()
+def value_bucket(df: DataFrame, column: str, bucket_rows: int, total: int | None = None) -> DataFrame:
+    """Add a bucket number monotone in a numeric column, about ``bucket_rows`` rows each.
+
+    ``total`` is the row count (or a larger number) when the caller knows it.
+    """
+    total = df.count() if total is None else total
     wanted = min(MAX_BUCKETS, math.ceil(total / bucket_rows))
     marks: list[float] = []
     if wanted > 1:

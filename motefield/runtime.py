@@ -53,3 +53,12 @@ def lookup_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "inne
     """
     table = materialise(table)
     return df.join(F.broadcast(table) if is_small(table) else table, on, how)
+
+
+def packed(df: DataFrame, rows: int, rows_per_partition: int = 20_000) -> DataFrame:
+    """Fewer partitions for a table of known size that is read again and again by a fit.
+
+    Iterative fits run one small job per step, whose cost is the number of tasks. Tables with
+    enough rows for their partitions keep them.
+    """
+    return df.coalesce(rows // rows_per_partition + 1)
