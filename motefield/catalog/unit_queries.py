@@ -18,7 +18,7 @@ WIDTH = 5
 
 def filtered(spark, sf_dir) -> DataFrame:
     lay = signal_layout(spark, sf_dir)
-    return filters.median_filter(signal(spark, sf_dir), "x", lay, WIDTH, "x")
+    return filters.median_filter(signal(spark, sf_dir, lay), "x", lay, WIDTH, "x")
 
 
 def train_side(df: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- signal -----------------------------------------------------------------------------
 
 
-def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+def signal(spark: SparkSession, sf_dir: str, layout: SeriesLayout | None = None) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("unit_id"),
         "ts",
@@ -37,7 +37,7 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("x"),
         (-30 - F.regexp_extract("props", "([0-9]+)", 1).cast("int")).alias("rssi"),
     )
-    return unit_names(positions(rows, ["unit_id"], ["ts", "event_id"])).drop("ts", "event_id")
+    return unit_names(positions(rows, ["unit_id"], ["ts", "event_id"], longest=layout.longest if layout else None)).drop("ts", "event_id")
 
 
 def unit_names(df: DataFrame) -> DataFrame:
@@ -133,7 +133,8 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packet_layout(spark: SparkSession, sf_dir: str) -> SeriesLayout:
     """Layout of per-receiver packet series; per-subcarrier series are as long."""
-    return measure(packets(spark, sf_dir).select("recording_id", "device"), ["recording_id", "device"])
+    keys = packets(spark, sf_dir).select("recording_id", "device")
+    return measure(keys, ["recording_id", "device"], recording=["recording_id"], factor=SUBCARRIERS)
 
 
 PACKETS_SQL = """u as (

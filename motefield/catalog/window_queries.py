@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from motefield.catalog.common import r6, rounded
 from motefield.catalog.registry import query
 from motefield.catalog.views import (
-    DEVICES, PACKETS_SQL, SAMPLES, packet_layout, packets, samples, sql_padded, to_samples,
+    DEVICES, PACKETS_SQL, SAMPLES, SUBCARRIERS, packet_layout, packets, samples, sql_padded, to_samples,
 )
 from motefield.functions.iq import complex_map, complex_phase, exploded, iq_complex
 from motefield.operators import filters, normalise, recordings, windows
@@ -430,7 +430,9 @@ WKEYS = "recording_id, segment, device, sc"
 {sql_savgol('h', 's', 'hampel', 'smoothed', WKEYS, 'seg_t')}, {sql_zscore('s', 'z', 'smoothed', WKEYS, 'recording_id, segment')}
 select {WKEYS}, seg_t, round(normalized,6) as normalized from z""")
 def preprocess_windows(spark, sf_dir):
-    layout = SeriesLayout(("recording_id", "segment", "device", "sc"), WIDTH, "seg_t")
+    layout = SeriesLayout(
+        ("recording_id", "segment", "device", "sc"), WIDTH, "seg_t", recording_rows=WIDTH * len(DEVICES) * SUBCARRIERS
+    )
     config = PreprocessConfig(apply_zscore=True)
     out = normalise.preprocess_amplitude(window_samples(spark, sf_dir), "x", layout, WINDOW, config)
     return out.select(*WINDOW, "device", "sc", "seg_t", r6("normalized"))

@@ -27,18 +27,15 @@ def check_odd(width: int) -> int:
 def edge_padded(value: str, layout: SeriesLayout, half: int) -> Column:
     """The ``2*half+1`` values around each row; beyond the ends the end value repeats.
 
-    A frame at the start of a series is short on the left and then begins with the first
-    value, a frame at the end is short on the right and then ends with the last value.
+    A missing neighbour means that the series ends there, and then the end lies in the same
+    block. Offsets cost a fraction of what collecting a frame for every row does.
     """
-    frame = layout.window().rowsBetween(-half, half)
-    seen = F.collect_list(value).over(frame)
-    left = F.greatest(F.lit(half) - F.col(layout.order), F.lit(0)).cast("int")
-    right = (F.lit(2 * half + 1) - left - F.size(seen)).cast("int")
-    return F.concat(
-        F.array_repeat(F.get(seen, F.lit(0)), left),
-        seen,
-        F.array_repeat(F.get(seen, F.size(seen) - 1), right),
-    )
+    w = layout.window()
+    first = F.first(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = F.last(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    before = [F.coalesce(F.lag(value, k).over(w), first) for k in range(half, 0, -1)]
+    after = [F.coalesce(F.lead(value, k).over(w), last) for k in range(1, half + 1)]
+    return F.array(*before, F.col(value), *after)
 
 
 def with_length(df: DataFrame, layout: SeriesLayout) -> DataFrame:

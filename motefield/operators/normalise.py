@@ -63,32 +63,32 @@ def robust_zscore(
     """
     keys = list(layout.keys)
     spread = F.abs(F.col(value) - F.col("norm_median"))
+    scale = F.col("_mad") * filters.MAD_TO_SIGMA
+    positive = F.when(scale > 0, scale)
+    floor = F.when(F.count(positive) == 0, 1.0).otherwise(
+        F.greatest(F.percentile(positive, F.lit(floor_percentile / 100)), F.lit(1e-6))
+    )
     if layout.blocked:
         centre = quantiles(df, keys, value, {"norm_median": 0.5}, layout.longest)
         away = attach_table(df, layout, centre).withColumn("_away", spread)
         mads = quantiles(away, keys, "_away", {"_mad": 0.5}, layout.longest)
         series = centre.join(mads, keys)
-        rows = df
+        floors = series.groupBy(*recording).agg(floor.alias("scale_floor"))
+        rows = attach_table(df, layout, series.join(floors, recording))
     else:
         whole = Window.partitionBy(*keys)
         rows = df.withColumn("norm_median", F.percentile(value, F.lit(0.5)).over(whole))
         rows = rows.withColumn("_mad", F.percentile(spread, F.lit(0.5)).over(whole))
-        series = rows.groupBy(*keys).agg(F.first("norm_median").alias("norm_median"), F.first("_mad").alias("_mad"))
-    scale = F.col("_mad") * filters.MAD_TO_SIGMA
-    positive = F.when(scale > 0, scale)
-    floors = series.groupBy(*recording).agg(
-        F.coalesce(
-            F.greatest(F.percentile(positive, F.lit(floor_percentile / 100)), F.lit(1e-6)), F.lit(1.0)
-        ).alias("scale_floor"),
-        F.count(positive).alias("_varying"),
-    )
-    floors = floors.withColumn(
-        "scale_floor", F.when(F.col("_varying") == 0, 1.0).otherwise(F.col("scale_floor"))
-    ).drop("_varying")
-    if layout.blocked:
-        rows = attach_table(df, layout, series.join(floors, recording))
-    else:
-        rows = rows.join(floors, recording)
+        if layout.recording_fits:
+            # Every series speaks once, by its first row; no second pass and no join.
+            once = F.when((scale > 0) & (F.col(layout.order) == 0), scale)
+            per_recording = Window.partitionBy(*recording)
+            low = F.percentile(once, F.lit(floor_percentile / 100)).over(per_recording)
+            rows = rows.withColumn("scale_floor", F.coalesce(F.when(low.isNotNull(), F.greatest(low, F.lit(1e-6))), F.lit(1.0)))
+        else:
+            series = rows.groupBy(*keys).agg(F.first("_mad").alias("_mad"))
+            floors = series.groupBy(*recording).agg(floor.alias("scale_floor"))
+            rows = rows.join(floors, recording)
     rows = rows.withColumn("norm_scale", F.greatest(scale, F.col("scale_floor"))).drop("_mad")
     z = (F.col(value) - F.col("norm_median")) / F.col("norm_scale")
     if z_clip is not None:
@@ -104,7 +104,8 @@ def preprocess_amplitude(
     Adds ``hampel`` or ``median_filtered`` (by pipeline), ``smoothed``, ``trend``,
     ``detrended``, ``normalized``, ``norm_median``, ``norm_scale`` and ``scale_floor``.
     """
-    rows = df
+    # One partitioning by recording serves every step when recordings are small.
+    rows = df.repartition(*recording) if config.apply_zscore and layout.recording_fits else df
     if config.reach:
         rows = filters.with_length(open_blocks(rows, layout, config.reach), layout)
     if config.pipeline == "median":

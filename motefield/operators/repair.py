@@ -24,10 +24,10 @@ HEADER = [
 FIELDS = len(HEADER)
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
+def parse_lines(lines: DataFrame, longest: int | None = None) -> DataFrame:
     """Non-blank lines with ``row_no``, their fields and whether a fused stamp was split."""
     seen = lines.filter(F.col("line").rlike(r"\S")).withColumn("line", strip(F.col("line")))
-    numbered = positions(seen, ["path"], ["line_no"], "row_no")
+    numbered = positions(seen, ["path"], ["line_no"], "row_no", longest=longest)
     raw = csv_fields(F.col("line"))
     return (
         numbered.withColumn("_raw", raw)
@@ -43,9 +43,9 @@ def _is_list_cell(cell):
 
 def repaired_rows(lines: DataFrame, layout: SeriesLayout | None = None) -> DataFrame:
     """Every non-blank row with its repaired fields and the flags of what happened to it."""
-    rows = parse_lines(lines)
     if layout is None:
         layout = measure(lines, ["path"], "row_no")
+    rows = parse_lines(lines, layout.longest)
     opened = open_blocks(rows, layout, 2)
     w = layout.window()
     f = F.col("fields")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from motefield.functions.scaling import minmax
 from motefield.operators.filters import sign_changes, zero_crossing_rate
 from motefield.operators.spectral import FFT_ROWS, ordered_values, spectral_features, spectral_struct
-from motefield.ranking import QUANTILE_ROWS, summarise
+from motefield.ranking import QUANTILE_ROWS, percentiles, spread_percentiles, summarise
 from motefield.runtime import lookup_join
 from motefield.series import SeriesLayout
 
@@ -83,9 +83,11 @@ def unit_features(df: DataFrame, value: str, layout: SeriesLayout) -> DataFrame:
         spectrum = spectral_features(df, value, layout)
         return stats.join(crossings, keys).join(spectrum, keys).select(*keys, *UNIT_FEATURES)
     rows = sign_changes(df, value, layout, "_flip")
-    exact = [F.percentile(value, F.lit(p)).alias(name) for name, p in SHARES.items()]
     packed = rows.groupBy(*keys).agg(
-        *_statistics(F.col(value), True), *exact, F.avg("_flip").alias("zcr"), ordered_values(value, layout).alias("_x")
+        *_statistics(F.col(value), True),
+        percentiles(value, SHARES),
+        F.avg("_flip").alias("zcr"),
+        ordered_values(value, layout).alias("_x"),
     )
-    described = _with_ranges(packed).withColumn("_s", spectral_struct("_x"))
+    described = _with_ranges(spread_percentiles(packed, SHARES)).withColumn("_s", spectral_struct("_x"))
     return described.select("*", "_s.*").select(*keys, *UNIT_FEATURES)

@@ -13,28 +13,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motefield.operators.filters import time_diff
-from motefield.ranking import quantiles
+from motefield.ranking import percentiles, quantiles, spread_percentiles
 from motefield.series import SeriesLayout
 
 STATS = ["mean", "std", "min", "p10", "median", "p90", "max"]
 T = "seg_t"
 
 
-def summary_aggs(value: str) -> list[Column]:
-    return [
-        F.avg(value).alias("mean"),
-        F.stddev_pop(value).alias("std"),
-        F.min(value).alias("min"),
-        F.percentile(value, F.lit(0.1)).alias("p10"),
-        F.percentile(value, F.lit(0.5)).alias("median"),
-        F.percentile(value, F.lit(0.9)).alias("p90"),
-        F.max(value).alias("max"),
-    ]
+SHARES = {"p10": 0.1, "median": 0.5, "p90": 0.9}
 
 
 def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Seven statistics of ``value`` per window."""
-    return df.groupBy(*keys).agg(*summary_aggs(value))
+    found = df.groupBy(*keys).agg(
+        F.avg(value).alias("mean"),
+        F.stddev_pop(value).alias("std"),
+        F.min(value).alias("min"),
+        F.max(value).alias("max"),
+        percentiles(value, SHARES),
+    )
+    return spread_percentiles(found, SHARES).select(*keys, *STATS)
 
 
 def motion_energy(df: DataFrame, value: str, layout: SeriesLayout, at: list[str], out: str) -> DataFrame:

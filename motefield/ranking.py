@@ -92,13 +92,14 @@ def running_totals(
 
 
 def positions(
-    df: DataFrame, keys: list[str], order: list[str], name: str = "t", block_rows: int = BLOCK_ROWS
+    df: DataFrame, keys: list[str], order: list[str], name: str = "t", block_rows: int = BLOCK_ROWS, longest: int | None = None
 ) -> DataFrame:
     """Dense 0-based position of each row in its series, in the order of ``order``.
 
-    The first order column must be numeric or a timestamp.
+    The first order column must be numeric or a timestamp. ``longest`` is the length of the
+    longest series when it is known.
     """
-    if longest_group(df, keys) <= block_rows:
+    if (longest_group(df, keys) if longest is None else longest) <= block_rows:
         along = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, (F.row_number().over(along) - 1).cast("long"))
     cut = value_bucket(df, order[0], block_rows)
@@ -120,6 +121,16 @@ def hashed_rank(df: DataFrame, keys: list[str], digest: str, ties: list[str]) ->
     return ranked.withColumnRenamed("rank_total", "group_rows").drop(BUCKET)
 
 
+def percentiles(value: str, shares: dict[str, float]) -> Column:
+    """All wanted percentiles by one aggregate, which keeps one table of values per group."""
+    return F.percentile(value, F.array(*[F.lit(float(p)) for p in shares.values()])).alias("_shares")
+
+
+def spread_percentiles(df: DataFrame, shares: dict[str, float]) -> DataFrame:
+    found = {name: F.get("_shares", F.lit(i)) for i, name in enumerate(shares)}
+    return df.withColumns(found).drop("_shares")
+
+
 def quantiles(
     df: DataFrame,
     keys: list[str],
@@ -136,9 +147,7 @@ def quantiles(
     if largest is None:
         largest = longest_group(df, keys)
     if largest <= limit:
-        return df.groupBy(*keys).agg(
-            *[F.percentile(value, F.lit(p)).alias(name) for name, p in shares.items()]
-        )
+        return spread_percentiles(df.groupBy(*keys).agg(percentiles(value, shares)), shares)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
     cut = value_bucket(counted, value, limit)
     run = running_totals(cut, keys, [F.col(value)], {"_upto": F.col("_c")}, BUCKET)
@@ -182,8 +191,7 @@ def summarise(
     if largest is None:
         largest = longest_group(df, keys)
     if largest <= limit:
-        exact = [F.percentile(value, F.lit(p)).alias(name) for name, p in shares.items()]
-        return df.groupBy(*keys).agg(*aggs, *exact)
+        return spread_percentiles(df.groupBy(*keys).agg(*aggs, percentiles(value, shares)), shares)
     base = df.groupBy(*keys).agg(*aggs)
     spots = quantiles(df, keys, value, shares, largest, limit)
     if not keys:

@@ -23,6 +23,7 @@ from pyspark.sql.window import WindowSpec
 BLOCK = "_block"
 CORE = "_core"
 BLOCK_ROWS = 65_536
+RECORDING_ROWS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -31,6 +32,8 @@ class SeriesLayout:
     longest: int
     order: str = "t"
     block_rows: int = BLOCK_ROWS
+    # Rows of the largest recording (all its series), when measured.
+    recording_rows: int | None = None
 
     @property
     def blocked(self) -> bool:
@@ -43,6 +46,11 @@ class SeriesLayout:
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self.by).orderBy(self.order)
 
+    @property
+    def recording_fits(self) -> bool:
+        """Whether a whole recording may be handled by one task."""
+        return not self.blocked and self.recording_rows is not None and self.recording_rows <= RECORDING_ROWS
+
     def with_keys(self, *keys: str) -> "SeriesLayout":
         return replace(self, keys=tuple(keys))
 
@@ -54,9 +62,18 @@ def longest_group(df: DataFrame, keys: list[str] | tuple[str, ...]) -> int:
 
 
 def measure(
-    df: DataFrame, keys: list[str], order: str = "t", block_rows: int = BLOCK_ROWS
+    df: DataFrame, keys: list[str], order: str = "t", block_rows: int = BLOCK_ROWS, recording: list[str] | None = None, factor: int = 1
 ) -> SeriesLayout:
-    return SeriesLayout(tuple(keys), longest_group(df, keys), order, block_rows)
+    """Measure the longest series and, when ``recording`` is given, the largest recording.
+
+    ``factor`` is how many rows one row of ``df`` becomes later (subcarriers per packet).
+    """
+    if recording is None:
+        return SeriesLayout(tuple(keys), longest_group(df, keys), order, block_rows)
+    per_series = df.groupBy(*keys).count()
+    sizes = per_series.groupBy(*recording).agg(F.max("count").alias("longest"), F.sum("count").alias("whole"))
+    row = sizes.agg(F.max("longest"), F.max("whole")).first()
+    return SeriesLayout(tuple(keys), int(row[0] or 0), order, block_rows, int(row[1] or 0) * factor)
 
 
 def open_blocks(df: DataFrame, layout: SeriesLayout, reach: int) -> DataFrame:
