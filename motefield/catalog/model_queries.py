@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from motefield.catalog.common import rounded, sql_split
+from motefield.catalog.common import rounded
 from motefield.catalog.registry import query
-from motefield.catalog.unit_queries import BOUNDS, FILTERED, MOMENTS_SQL, SCALED, SPECTRAL_SQL, SPLIT, STATS_SQL, scaled
+from motefield.catalog.unit_queries import MOMENTS_SQL, SCALED, SPECTRAL_SQL, STATS_SQL, scaled_series
 from motefield.catalog.views import DEVICES, lines, packets, packet_layout, signal, signal_layout, table
 from motefield.functions.labels import binary_class, distance
 from motefield.operators import metrics, models, neighbours, recordings, splits, units
 from motefield.plans import log_inference, robustness, unit_models
-from motefield.ranking import positions
 from motefield.runtime import lookup_join, materialise, new_table_path, packed
 from motefield.series import measure
 from motefield.sources import artifacts
@@ -39,8 +38,8 @@ def sql_name(c: str) -> str:
 
 def features(spark, sf_dir):
     """Unit features with their split role."""
-    layout = signal_layout(spark, sf_dir).with_keys(*unit_models.UNIT)
-    rows = units.unit_features(scaled(spark, sf_dir), "x", layout)
+    df, layout = scaled_series(spark, sf_dir)
+    rows = units.unit_features(df, "x", layout.with_keys(*unit_models.UNIT))
     return rows.join(splits.stratified_split(rows, "recording_id", ["label"]), ["recording_id", "label"])
 
 
@@ -76,8 +75,8 @@ plain as (select u.unit_id, role, cast(right(u.label,1) as int) as y, mean, std,
 
 
 def plain_features(spark, sf_dir):
-    layout = signal_layout(spark, sf_dir).with_keys("unit_id", "recording_id", "label")
-    rows = units.unit_statistics(scaled(spark, sf_dir), "x", layout, moments=False)
+    df, layout = scaled_series(spark, sf_dir)
+    rows = units.unit_statistics(df, "x", layout.with_keys("unit_id", "recording_id", "label"), moments=False)
     roles = splits.stratified_split(rows, "recording_id", ["label"])
     out = rows.join(roles, ["recording_id", "label"])
     return out.select("unit_id", "role", distance(F.col("label")).alias("y"), *PLAIN)
@@ -140,7 +139,8 @@ def knn_neighbours(spark, sf_dir):
 
 
 def unit_rows(spark, sf_dir, target=binary_class):
-    return unit_models.unit_table(signal(spark, sf_dir), signal_layout(spark, sf_dir), target)
+    layout = signal_layout(spark, sf_dir)
+    return unit_models.unit_table(signal(spark, sf_dir, layout), layout, target)
 
 
 def embedded_rows(spark, sf_dir, target=binary_class):

@@ -160,6 +160,13 @@ def vote_binary_complete(spark, sf_dir):
     return voting.vote_binary(binary_files(spark, sf_dir), "group_id", DEVICES, complete=True)
 
 
+@query("vote_summary", f"""with {BIN}, {DEV_SQL}, g as ({GROUP_SQL} having count(*)=3)
+select (select count(*) from g) as n_groups, (select count(distinct device) from files) as n_models, (select count(*) from files) as n_files""")
+def vote_summary(spark, sf_dir):
+    files = binary_files(spark, sf_dir)
+    return voting.vote_summary(voting.vote_binary(files, "group_id", DEVICES, complete=True), files)
+
+
 MC = """c as (select group_id, pred_class, count(*) as n from votes group by 1,2)
 select group_id, arg_max(pred_class, n*10-pred_class) as pred, string_agg(pred_class||':'||n, ',' order by pred_class) as vote_counts,
   cast(sum(n) as bigint) as n_votes from c group by 1"""

@@ -12,13 +12,19 @@ from motefield.catalog.views import (
 )
 from motefield.operators import filters, spectral, splits, units
 from motefield.operators.packets import unit_signal
+from motefield.series import SeriesLayout
 
 WIDTH = 5
 
 
+def filtered_series(spark, sf_dir) -> tuple[DataFrame, SeriesLayout]:
+    """The filtered signal with its layout, which is measured once."""
+    layout = signal_layout(spark, sf_dir)
+    return filters.median_filter(signal(spark, sf_dir, layout), "x", layout, WIDTH, "x"), layout
+
+
 def filtered(spark, sf_dir) -> DataFrame:
-    lay = signal_layout(spark, sf_dir)
-    return filters.median_filter(signal(spark, sf_dir, lay), "x", lay, WIDTH, "x")
+    return filtered_series(spark, sf_dir)[0]
 
 
 def train_side(df: DataFrame) -> DataFrame:
@@ -26,9 +32,10 @@ def train_side(df: DataFrame) -> DataFrame:
     return df.join(roles.filter("role = 'train'").select("recording_id", "label"), ["recording_id", "label"], "left_semi")
 
 
-def scaled(spark, sf_dir) -> DataFrame:
-    df = filtered(spark, sf_dir)
-    return units.scale_by_bounds(df, "x", units.train_bounds(train_side(df), "x", ["device"]), ["device"])
+def scaled_series(spark, sf_dir) -> tuple[DataFrame, SeriesLayout]:
+    df, layout = filtered_series(spark, sf_dir)
+    bounds = units.train_bounds(train_side(df), "x", ["device"])
+    return units.scale_by_bounds(df, "x", bounds, ["device"]), layout
 
 
 SPLIT = sql_split("signal", "recording_id", "label", "split")
@@ -45,7 +52,8 @@ scaled as (
 @query("moving_average", f"with {SIGNAL} select unit_id, t, round(sum(x) over w/5, 6) as x_avg from signal "
        "window w as (partition by unit_id order by t rows between 2 preceding and 2 following)")
 def moving_average(spark, sf_dir):
-    df = filters.moving_average(signal(spark, sf_dir), "x", signal_layout(spark, sf_dir), 5, "x_avg")
+    layout = signal_layout(spark, sf_dir)
+    df = filters.moving_average(signal(spark, sf_dir, layout), "x", layout, 5, "x_avg")
     return df.select("unit_id", "t", r6("x_avg"))
 
 
@@ -67,7 +75,8 @@ def unit_signal_query(spark, sf_dir):
 @query("time_diff", f"with {SIGNAL}, d as (select unit_id, t, x - lag(x) over (partition by unit_id order by t) as dx from signal) "
        "select unit_id, t, round(dx, 6) as dx from d where dx is not null")
 def time_diff(spark, sf_dir):
-    df = filters.time_diff(signal(spark, sf_dir), "x", signal_layout(spark, sf_dir), "dx")
+    layout = signal_layout(spark, sf_dir)
+    df = filters.time_diff(signal(spark, sf_dir, layout), "x", layout, "dx")
     return df.select("unit_id", "t", r6("dx"))
 
 
@@ -77,8 +86,8 @@ d as (select unit_id, case when neg <> lag(neg) over (partition by unit_id order
              when lag(neg) over (partition by unit_id order by t) is null then null else 0 end as flip from s)
 select unit_id, round(avg(flip), 6) as zcr from d group by unit_id""")
 def zero_crossing(spark, sf_dir):
-    df = filters.zero_crossing_rate(scaled(spark, sf_dir), "x", signal_layout(spark, sf_dir), "zcr")
-    return df.select("unit_id", r6("zcr"))
+    df, layout = scaled_series(spark, sf_dir)
+    return filters.zero_crossing_rate(df, "x", layout, "zcr").select("unit_id", r6("zcr"))
 
 
 @query("train_bounds", f"with {FILTERED}, {SPLIT}, {BOUNDS} select device, round(lo, 6) as global_min, round(hi, 6) as global_max from bounds")
@@ -88,7 +97,7 @@ def train_bounds(spark, sf_dir):
 
 @query("minmax_scale", f"with {SCALED} select unit_id, device, t, round(x, 6) as x from scaled")
 def minmax_scale(spark, sf_dir):
-    return scaled(spark, sf_dir).select("unit_id", "device", "t", r6("x"))
+    return scaled_series(spark, sf_dir)[0].select("unit_id", "device", "t", r6("x"))
 
 
 STATS_SQL = """stats as (
@@ -109,18 +118,20 @@ select unit_id, round(mean,6) as mean, round(std,6) as std, round(median,6) as m
   round(q25,6) as q25, round(q75,6) as q75, round(iqr,6) as iqr, round("range",6) as "range", round(rms,6) as rms, round(energy,6) as energy
 from stats""")
 def unit_stats(spark, sf_dir):
-    return rounded(units.unit_statistics(scaled(spark, sf_dir), "x", signal_layout(spark, sf_dir), moments=False))
+    df, layout = scaled_series(spark, sf_dir)
+    return rounded(units.unit_statistics(df, "x", layout, moments=False))
 
 
 @query("unit_moments", f"with {SCALED}, {MOMENTS_SQL} select unit_id, round(skew,6) as skew, round(kurtosis,6) as kurtosis from moments")
 def unit_moments(spark, sf_dir):
-    stats = units.unit_statistics(scaled(spark, sf_dir), "x", signal_layout(spark, sf_dir))
-    return stats.select("unit_id", r6("skew"), r6("kurtosis"))
+    df, layout = scaled_series(spark, sf_dir)
+    return units.unit_statistics(df, "x", layout).select("unit_id", r6("skew"), r6("kurtosis"))
 
 
 @query("unit_rssi", f"with {SIGNAL} select unit_id, count(*) as n_packets, quantile_cont(cast(rssi as double),0.5) as rssi_median from signal group by unit_id")
 def unit_rssi(spark, sf_dir):
-    return units.packet_summary(signal(spark, sf_dir), signal_layout(spark, sf_dir))
+    layout = signal_layout(spark, sf_dir)
+    return units.packet_summary(signal(spark, sf_dir, layout), layout)
 
 
 DFT = """n as (select unit_id, count(*) as n from scaled group by unit_id),
@@ -141,8 +152,8 @@ spec as (
 
 @query("power_spectrum", f"with {SCALED}, {DFT} select unit_id, cast(k as int) as k, round(k/n::double,6) as freq, round(p,6) as power from dft")
 def power_spectrum(spark, sf_dir):
-    out = spectral.power_spectrum(scaled(spark, sf_dir), "x", signal_layout(spark, sf_dir))
-    return rounded(out)
+    df, layout = scaled_series(spark, sf_dir)
+    return rounded(spectral.power_spectrum(df, "x", layout))
 
 
 @query("spectral_features", f"""with {SCALED}, {SPECTRAL_SQL}
@@ -150,4 +161,5 @@ select unit_id, round(spectral_centroid,6) as spectral_centroid, round(spectral_
   round(spectral_entropy,6) as spectral_entropy, round(dominant_freq,6) as dominant_freq, round(spectral_rolloff_85,6) as spectral_rolloff_85
 from spec""")
 def spectral_features(spark, sf_dir):
-    return rounded(spectral.spectral_features(scaled(spark, sf_dir), "x", signal_layout(spark, sf_dir)))
+    df, layout = scaled_series(spark, sf_dir)
+    return rounded(spectral.spectral_features(df, "x", layout))

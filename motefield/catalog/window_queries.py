@@ -152,13 +152,15 @@ def csi_map(spark, sf_dir):
 # --- alignment and windows ----------------------------------------------------------------
 
 
-def aligned_packets(spark, sf_dir):
-    return align_devices(packets(spark, sf_dir), "recording_id", DEVICES, packet_layout(spark, sf_dir))
+def aligned_packets(spark, sf_dir, layout=None):
+    layout = layout or packet_layout(spark, sf_dir)
+    return align_devices(packets(spark, sf_dir), "recording_id", DEVICES, layout)
 
 
 def windowed_packets(spark, sf_dir):
     """Aligned packets assigned to windows; the series are the receivers of a recording."""
-    return segment_rows(aligned_packets(spark, sf_dir), packet_layout(spark, sf_dir), WIDTH, STEP)
+    layout = packet_layout(spark, sf_dir)
+    return segment_rows(aligned_packets(spark, sf_dir, layout), layout, WIDTH, STEP)
 
 
 def window_samples(spark, sf_dir):

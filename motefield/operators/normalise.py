@@ -36,6 +36,16 @@ class PreprocessConfig:
     def but(self, **changes) -> "PreprocessConfig":
         return replace(self, **changes)
 
+    @classmethod
+    def single_receiver(cls, pipeline: str, **changes) -> "PreprocessConfig":
+        """Settings of the one-receiver format: detrended and scaled unless nothing is done at all.
+
+        An even median window is raised to the next odd one.
+        """
+        full = pipeline not in ("none", "raw")
+        made = cls(pipeline, apply_detrend=full, apply_zscore=full, **changes)
+        return made.but(median_window=made.median_window | 1)
+
     @property
     def reach(self) -> int:
         """How many rows a result depends on to each side."""

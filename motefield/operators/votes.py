@@ -76,6 +76,13 @@ def vote_multiclass_two_level(files: DataFrame, group: str, devices: list[str],
     return majority(counts, [group], "pred", "_n")
 
 
+def vote_summary(voted: DataFrame, files: DataFrame) -> DataFrame:
+    """How many groups were voted on, and how many receivers and files there are."""
+    sides = files.agg(F.countDistinct("device").alias("n_models"), F.count("*").alias("n_files"))
+    counted = voted.agg(F.count("*").alias("n_groups"))
+    return counted.withColumn("_one", F.lit(1)).join(sides.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
 def mixed_truth(files: DataFrame, group: str, truth: str) -> DataFrame:
     """Groups whose files do not agree on the true class; must be empty before voting."""
     return files.groupBy(group).agg(F.countDistinct(truth).alias("n_true")).filter(F.col("n_true") > 1)

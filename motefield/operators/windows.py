@@ -243,19 +243,6 @@ def select_features(long: DataFrame, subset: str) -> DataFrame:
     return long.filter(F.col("feature").startswith(subset.removesuffix("_only") + "__"))
 
 
-def subset_of(feature: Column) -> dict[str, Column]:
-    """Predicates of the named feature subsets used for robustness checks."""
-    return {
-        "all_selected": F.lit(True),
-        "without_dev3": ~feature.contains("dev3"),
-        "dev1_only": feature.contains("motion__dev1_"),
-        "dev2_only": feature.contains("motion__dev2_"),
-        "dev3_only": feature.contains("motion__dev3_"),
-        "global_only": feature.startswith("motion__global"),
-        "pairs_only": feature.startswith("motion__pair_"),
-    }
-
-
 def single_receiver_features(samples: DataFrame, keys: list[str]) -> DataFrame:
     """Window features of one receiver (no ``device`` column needed) as long rows."""
     rows = wide(samples.withColumn("_r", F.lit("one")), keys, ["one"], "_r")

@@ -145,7 +145,7 @@ def zscore(groups):
     return out
 
 
-@pytest.mark.parametrize("layout", [PLAIN, SMALL_BLOCKS])
+@pytest.mark.parametrize("layout", [PLAIN, SMALL_BLOCKS, SeriesLayout(("k",), 101, recording_rows=500)])
 def test_robust_zscore(frame, layout):
     rows = frame.withColumn("rec", F.lit(1))
     got = result(normalise.robust_zscore(rows, "x", layout.with_keys("rec", "k"), ["rec"], "z"), "z")
@@ -165,12 +165,13 @@ def test_pipeline_is_the_same_in_blocks(frame, pipeline):
     rows = frame.withColumn("rec", F.lit(1))
     config = PreprocessConfig(pipeline=pipeline, apply_detrend=True, apply_zscore=True, detrend_window=21)
     keys = ("rec", "k")
+    layouts = [SeriesLayout(keys, 101), SeriesLayout(keys, 101, block_rows=40), SeriesLayout(keys, 101, recording_rows=500)]
     got = [
-        result(normalise.preprocess_amplitude(rows, "x", SeriesLayout(keys, 101, block_rows=b), ["rec"], config), "normalized")
-        for b in (65_536, 40)
+        result(normalise.preprocess_amplitude(rows, "x", layout, ["rec"], config), "normalized") for layout in layouts
     ]
     for k in SERIES:
         np.testing.assert_allclose(got[0][k], got[1][k], atol=1e-8)
+        np.testing.assert_allclose(got[0][k], got[2][k], atol=1e-8)
 
 
 def test_unknown_pipeline_and_bad_windows():

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from motefield.functions import labels, scaling
 from motefield.operators import metrics, models, votes
+from motefield.operators.normalise import PreprocessConfig
 
 RNG = np.random.default_rng(11)
 
@@ -122,3 +123,16 @@ def test_clip_ignores_bounds_of_other_width(spark):
 def test_macro_f1(spark):
     df = spark.createDataFrame([(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (2.0, 2.0)], "label double, prediction double")
     assert models.MacroF1().evaluate(df) == pytest.approx((2 / 3 + 2 / 3 + 1) / 3)
+
+
+def test_model_spaces():
+    sizes = {f.name: len(f.maps()) for f in models.binary_families(100)}
+    assert sizes == {"boosting": 12, "logistic": 3, "forest": 12, "svm_linear": 3, "svm_rbf": 6}
+    assert len(models.device_family(100).maps()) == 20
+    assert len({f.name for f in models.multiclass_families(100, 4)}) == len(models.multiclass_families(100, 4))
+
+
+def test_single_receiver_settings():
+    config = PreprocessConfig.single_receiver("median", median_window=6)
+    assert config.median_window == 7 and config.apply_detrend and config.apply_zscore
+    assert not PreprocessConfig.single_receiver("none").apply_zscore
