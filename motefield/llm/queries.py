@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motefield.llm import bpe
+from motefield.llm import bpe, records
+from motefield.runtime import new_table_path
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -18,3 +19,11 @@ def query(fn):
 @query
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@query
+def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = records.write_records(spark.read.parquet(f"{sf_dir}/documents.parquet"), records.record_folder(spark))
+    read = new_table_path(spark, "read-records")
+    records.record_digests(index).write.parquet(read)
+    return records.with_starts(spark.read.parquet(read)).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -6,6 +6,8 @@ import base64
 import json
 from functools import lru_cache
 
+import numpy as np
+
 # Split pattern of the vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -58,6 +60,12 @@ class ByteVocabulary:
         except ValueError:  # a run of white space too long for the encoder's backtracking
             return self.plain().encode(text, add_special_tokens=False).ids
 
+    def encode_array(self, text: str) -> np.ndarray:
+        try:
+            return self.encoding.encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            return np.array(self.encode(text), dtype=np.uint32)
+
     def plain(self):
         """The slower library of the vocabulary file, for texts that the fast encoder refuses."""
         from tokenizers import Tokenizer
