@@ -45,3 +45,62 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def spread(rows: int, per_partition: int, least: int = 1) -> int:
     """Number of partitions for a counted size."""
     return max(least, -(-rows // per_partition))
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Spread every input bit over all 64 output bits."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def byte_map(change: dict[int, int] | None = None, marked: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """A byte-to-byte table that lower-cases A-Z, and a mask of the bytes in ``marked``."""
+    lower = np.arange(256, dtype=np.uint8)
+    lower[0x41:0x5B] += 0x20
+    mask = np.zeros(256, dtype=bool)
+    mask[list(marked)] = True
+    return lower, mask
+
+
+# White space between words (fixed value: 0x20, 0x09-0x0D).
+SPACES = bytes([0x20, *range(0x09, 0x0E)])
+LOWER, IS_SPACE = byte_map(marked=SPACES)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, is_gap: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of the texts, and the n+1 offsets of each text's words.
+
+    Words are runs of bytes that are not gaps, A-Z lower-cased; equal words have equal hashes in every text and task.
+    """
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    filled = ~is_gap[data]
+    first = filled.copy()
+    first[1:] &= ~filled[:-1]
+    at = offsets[:-1][offsets[:-1] < offsets[1:]]
+    first[at] = filled[at]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    lengths = np.diff(np.append(starts, len(data)))
+    place = np.arange(starts[0], len(data)) - np.repeat(starts, lengths)
+    powers = np.ones(int(place.max()) + 1, dtype=np.uint64)
+    powers[1:] = np.cumprod(np.full(len(powers) - 1, 0x9E3779B97F4A7C15, dtype=np.uint64))
+    values = (LOWER[data[starts[0] :]].astype(np.uint64) + np.uint64(1)) * powers[place] * filled[starts[0] :]
+    return mixed(np.add.reduceat(values, starts - starts[0])), np.searchsorted(starts, offsets)
+
+
+def shingle_hashes(words: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``width`` words of each text, in order; a shorter text counts as one run, if it has a word."""
+    counts = np.diff(offsets)
+    runs = np.where(counts >= width, counts - width + 1, counts > 0).astype(np.int64)
+    ends = np.cumsum(runs)
+    index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(offsets[:-1] - (ends - runs), runs)
+    have = np.repeat(np.minimum(counts, width), runs)
+    total = np.zeros(len(index), dtype=np.uint64)
+    factor = 0xD6E8FEB86659FD93
+    for k in range(width):
+        held = have > k
+        total[held] = (total[held] + words[index[held] + k]) * np.uint64(factor)
+    return mixed(total), np.concatenate([[0], ends])

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from motefield.llm import bpe, records
+from motefield.llm import bpe, records, simhash
 from motefield.runtime import new_table_path
 
 QUERIES = {}
@@ -27,3 +28,17 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = new_table_path(spark, "read-records")
     records.record_digests(index).write.parquet(read)
     return records.with_starts(spark.read.parquet(read)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``n_near``, for every id divisible by 100: the documents whose fingerprints differ in at most three bits, itself not counted."""
+    path = new_table_path(spark, "prints")
+    out = simhash.neighbour_likeness(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out.write.option("compression", "zstd").parquet(path)
+    prints = spark.read.schema(out.schema).parquet(path)
+    counted = prints.groupBy("fingerprint").agg(F.count("*").alias("n"))
+    asked = prints.where("doc_id % 100 = 0").select("doc_id", F.col("fingerprint").alias("query"))
+    found = simhash.within_radius(prints.where("doc_id % 100 = 0"), counted).join(counted, "fingerprint").groupBy("query").agg(F.sum("n").alias("n"))
+    near = asked.join(found, "query").select("doc_id", (F.col("n") - 1).alias("n_near"))
+    return prints.join(near, "doc_id", "left")
