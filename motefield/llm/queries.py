@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motefield.llm import bpe, records, simhash
+from motefield.llm import bpe, records, secrets, simhash
 from motefield.runtime import new_table_path
 
 QUERIES = {}
@@ -42,3 +42,8 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.within_radius(prints.where("doc_id % 100 = 0"), counted).join(counted, "fingerprint").groupBy("query").agg(F.sum("n").alias("n"))
     near = asked.join(found, "query").select("doc_id", (F.col("n") - 1).alias("n_near"))
     return prints.join(near, "doc_id", "left")
+
+
+@query
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
