@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motefield.llm import bpe, html, records, secrets, simhash
+from motefield.llm import bpe, decontaminate, html, records, secrets, simhash
 from motefield.runtime import new_table_path
 
 QUERIES = {}
@@ -52,3 +52,26 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+CONTAMINATION_SQL = r"""
+with d as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents),
+b as (select item_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from benchmark),
+sized as (select *, least(10, len(w)) as n from b where len(w) > 0),
+wanted as (select distinct item_id, n, w[i:i+n-1] as win from (select *, unnest(range(1, len(w) - n + 2)) as i from sized)),
+places as (select doc_id, n, i, w[i:i+n-1] as win from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from sized) where len(w) >= n)),
+hits as (select doc_id, i, n, item_id from places join wanted using (n, win)),
+hit_words as (select doc_id, count(distinct k) as n_hit from (select doc_id, unnest(range(i, i + n)) as k from hits) group by doc_id),
+hit_items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit_words using (doc_id) left join hit_items using (doc_id)
+"""
+
+
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+ORACLES["op6_decontamination"] = CONTAMINATION_SQL
