@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motefield.llm import bpe, decontaminate, html, minhash, records, secrets, simhash
+from motefield.llm import bpe, decontaminate, html, minhash, records, secrets, simhash, toxicity
 from motefield.runtime import new_table_path
 
 QUERIES = {}
@@ -80,3 +80,8 @@ ORACLES["op6_decontamination"] = CONTAMINATION_SQL
 @query
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
