@@ -3,17 +3,38 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from motefield.llm import bpe
+from motefield.llm import bpe, decontaminate, minhash, secrets, toxicity
 from motefield.runtime import new_table_path
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic go."""
+    return toxicity.reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the least id stays."""
+    return minhash.deduplicate(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.remove_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the text; no document goes. ``n_chars`` follows the text."""
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every kept document as token ids."""
+    """Every kept document as token ids, with the digests of ids and decoded text."""
     return bpe.encode_documents(docs, keep_ids=True)
 
 
-STAGES = [("encode", encode)]
+STAGES = [("toxicity", toxic), ("near_duplicates", near), ("benchmark", benchmark), ("secrets", secret), ("encode", encode)]
 
 # Learned scores and tokenizers have no SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None

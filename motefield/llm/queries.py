@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motefield.llm import bpe, decontaminate, html, minhash, records, secrets, simhash, toxicity
+from motefield.llm import bpe, decontaminate, html, minhash, records, secrets, simhash, toxicity, transducer
 from motefield.runtime import new_table_path
 
 QUERIES = {}
@@ -85,3 +85,8 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
