@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motefield.llm import bpe, decontaminate, html, minhash, records, secrets, simhash, toxicity, transducer
+from motefield.llm import bpe, decontaminate, html, masked_lm, minhash, records, secrets, simhash, toxicity, transducer
 from motefield.runtime import new_table_path
 
 QUERIES = {}
@@ -90,3 +90,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@query
+def op7_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.pseudo_likelihood(spark.read.parquet(f"{sf_dir}/documents.parquet"))
