@@ -147,6 +147,7 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "tex
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """Every row, without the text from the first to the last word of each hit range; clean texts stay as they are."""
     marked = mark(docs, benchmark, text_col)
+    names = docs.columns
 
     def cut(batches):
         for rows in text_slices(batches, text_col):
@@ -158,7 +159,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
                     for start, end in reversed(list(zip(ranges[::2], ranges[1::2]))):
                         raw = raw[: at[start][0]] + raw[at[end - 1][1] :]
                     texts[k] = raw.decode()
-            columns = [pa.array(texts, rows.schema.field(c).type) if c == text_col else rows.column(c) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            columns = [pa.array(texts, rows.schema.field(c).type) if c == text_col else rows.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return marked.mapInArrow(cut, docs.schema)
