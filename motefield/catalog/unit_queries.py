@@ -150,7 +150,7 @@ spec as (
   from cum group by unit_id)"""
 
 
-@query("power_spectrum", f"with {SCALED}, {DFT} select unit_id, cast(k as int) as k, round(k/n::double,6) as freq, round(p,6) as power from dft")
+@query("power_spectrum", f"with {SCALED}, {DFT} select unit_id, cast(k as bigint) as k, round(k/n::double,6) as freq, round(p,6) as power from dft")
 def power_spectrum(spark, sf_dir):
     df, layout = scaled_series(spark, sf_dir)
     return rounded(spectral.power_spectrum(df, "x", layout))

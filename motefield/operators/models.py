@@ -29,6 +29,8 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from motefield.operators.windows import feature_scope
+
 # --- exact transforms ---------------------------------------------------------------------
 
 
@@ -130,15 +132,22 @@ def first_reaching(shares: list[float], target: float = 0.95) -> int:
     return int(reached[0]) + 1 if len(reached) else len(shares)
 
 
+def population_scaler(source: str, target: str, n: int, width: int) -> list:
+    """Stages that standardise by the population deviation of ``n`` rows.
+
+    Spark divides by the sample deviation; a factor turns it into the population one.
+    """
+    factor = float(np.sqrt(n / (n - 1))) if n > 1 else 1.0
+    return [
+        StandardScaler(inputCol=source, outputCol="_std", withMean=True, withStd=True),
+        ElementwiseProduct(scalingVec=Vectors.dense([factor] * width), inputCol="_std", outputCol=target),
+    ]
+
+
 def fit_embedding(train: DataFrame, columns: list[str]) -> Embedding:
     """Standardise by the population deviation, PCA, keep the components up to 95 % variance."""
-    n = train.count()
     assembler = VectorAssembler(inputCols=columns, outputCol="_raw")
-    scaler = StandardScaler(inputCol="_raw", outputCol="_std", withMean=True, withStd=True)
-    # Spark divides by the sample deviation; the factor turns it into the population one.
-    factor = float(np.sqrt(n / (n - 1))) if n > 1 else 1.0
-    rescale = ElementwiseProduct(scalingVec=Vectors.dense([factor] * len(columns)), inputCol="_std", outputCol="_z")
-    scaled = Pipeline(stages=[assembler, scaler, rescale]).fit(train)
+    scaled = Pipeline(stages=[assembler, *population_scaler("_raw", "_z", train.count(), len(columns))]).fit(train)
     pca = PCA(k=len(columns), inputCol="_z", outputCol="_pca").fit(scaled.transform(train))
     shares = [float(v) for v in pca.explainedVariance.toArray()]
     k = first_reaching(shares)
@@ -434,20 +443,15 @@ def importance_table(spark: SparkSession, model, names: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
-def importance_groups(table: DataFrame) -> DataFrame:
-    """Importance summed over groups of window features."""
-    f = F.col("feature")
-    group = (
-        F.when(f.startswith("motion__global"), "global")
-        .when(f.contains("motion__dev1_"), "dev1")
-        .when(f.contains("motion__dev2_"), "dev2")
-        .when(f.contains("motion__dev3_"), "dev3")
-        .when(f.contains("pair_dev1_dev3") | f.contains("pair_dev2_dev3"), "pairs_with_dev3")
-        .when(f.contains("pair_dev1_dev2"), "pair_dev1_dev2")
-    )
-    return (
-        table.withColumn("feature_group", group)
-        .filter("feature_group is not null")
-        .groupBy("feature_group")
-        .agg(F.sum("importance").alias("importance_mass"))
-    )
+def importance_groups(table: DataFrame, devices: list[str]) -> DataFrame:
+    """Importance summed by what the window features describe: all receivers, one, or pairs with and without the last one."""
+    last = devices[-1]
+    sums: dict[str, float] = {}
+    for row in table.collect():
+        kind, receivers = feature_scope(row["feature"])
+        group = {"global": "global", "receiver": "".join(receivers)}.get(kind)
+        if kind == "pair":
+            group = f"pairs_with_{last}" if last in receivers else "_".join(["pair", *receivers])
+        if group:
+            sums[group] = sums.get(group, 0.0) + row["importance"]
+    return table.sparkSession.createDataFrame(list(sums.items()), "feature_group string, importance_mass double")

@@ -91,7 +91,8 @@ def robust_zscore(
         rows = rows.withColumn("_mad", F.percentile(spread, F.lit(0.5)).over(whole))
         if layout.recording_fits:
             # Every series speaks once, by its first row; no second pass and no join.
-            once = F.when((scale > 0) & (F.col(layout.order) == 0), scale)
+            rows = rows.withColumn("_first", F.min(layout.order).over(whole))
+            once = F.when((scale > 0) & (F.col(layout.order) == F.col("_first")), scale)
             per_recording = Window.partitionBy(*recording)
             low = F.percentile(once, F.lit(floor_percentile / 100)).over(per_recording)
             rows = rows.withColumn("scale_floor", F.coalesce(F.when(low.isNotNull(), F.greatest(low, F.lit(1e-6))), F.lit(1.0)))
@@ -99,7 +100,7 @@ def robust_zscore(
             series = rows.groupBy(*keys).agg(F.first("_mad").alias("_mad"))
             floors = series.groupBy(*recording).agg(floor.alias("scale_floor"))
             rows = rows.join(floors, recording)
-    rows = rows.withColumn("norm_scale", F.greatest(scale, F.col("scale_floor"))).drop("_mad")
+    rows = rows.withColumn("norm_scale", F.greatest(scale, F.col("scale_floor"))).drop("_mad", "_first")
     z = (F.col(value) - F.col("norm_median")) / F.col("norm_scale")
     if z_clip is not None:
         z = clip(z, F.lit(-float(z_clip)), F.lit(float(z_clip)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from motefield.functions.labels import binary_class, binary_name, distance
 from motefield.functions.paths import device_of, label_of, person_of, recording_dir, test_number, test_of
-from motefield.ranking import BUCKET, QUANTILE_ROWS, running_totals, value_bucket
+from motefield.ranking import BUCKET, QUANTILE_ROWS, range_bucket, running_totals
 
 
 def crosstab(df: DataFrame, rows: str, column: str, values: list[str]) -> DataFrame:
@@ -79,6 +79,7 @@ def incomplete_recordings(index: DataFrame) -> DataFrame:
 
 def natural_order(df: DataFrame, name: str) -> DataFrame:
     """Place of each name when sorted by its trailing test number, then by name."""
-    keyed = value_bucket(df.withColumn("natural_key", test_number(F.col(name))), "natural_key", QUANTILE_ROWS)
-    placed = running_totals(keyed, [], [F.col("natural_key"), F.col(name)], {"place": F.lit(1)}, BUCKET)
+    along = [F.col("natural_key"), F.col(name)]
+    keyed = range_bucket(df.withColumn("natural_key", test_number(F.col(name))), along, QUANTILE_ROWS)
+    placed = running_totals(keyed, [], along, {"place": F.lit(1)}, BUCKET)
     return placed.select(name, "natural_key", F.col("place").cast("long").alias("place"))

@@ -82,7 +82,7 @@ def power_spectrum(
         arrays = unit_arrays(df, value, layout)
         power = arrays.select(*keys, F.size("_x").alias("_n"), power_array("_x").alias("_p"))
         bins = exploded(power, [*keys, "_n"], F.col("_p"), "k", "power")
-        return bins.select(*keys, "k", (F.col("k") / F.col("_n")).alias("freq"), "power")
+        return bins.select(*keys, F.col("k").cast("long").alias("k"), (F.col("k") / F.col("_n")).alias("freq"), "power")
     return _spread_power(df, value, layout)
 
 
@@ -191,8 +191,7 @@ def _spread_power(df: DataFrame, value: str, layout: SeriesLayout) -> DataFrame:
         return rows.assign(k=k[kept], power=(np.abs(out) ** 2)[kept])
 
     bins = back.groupBy(*keys, "k1").applyInPandas(finish, f"{key_types}, n long, k long, power double")
-    return bins.select(*keys, F.col("k").cast("int").alias("k") if layout.longest < 2**31 else F.col("k"),
-                       (F.col("k") / F.col("n")).alias("freq"), "power")
+    return bins.select(*keys, "k", (F.col("k") / F.col("n")).alias("freq"), "power")
 
 
 def _with_lengths(df: DataFrame, layout: SeriesLayout) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from motefield.operators.filters import time_diff
 from motefield.ranking import percentiles, quantiles, spread_percentiles
+from motefield.runtime import materialise
 from motefield.series import SeriesLayout
 
 STATS = ["mean", "std", "min", "p10", "median", "p90", "max"]
@@ -225,13 +226,34 @@ def window_features(samples: DataFrame, packets: DataFrame, keys: list[str], dev
 
 
 def feature_table(long: DataFrame, keys: list[str], subset: str = "motion_only") -> DataFrame:
-    """One row per window: parallel sorted arrays ``names`` and ``features``."""
-    chosen = select_features(long, subset)
-    pairs = F.sort_array(F.collect_list(F.struct("feature", "value")))
-    packed = chosen.groupBy(*keys).agg(pairs.alias("_p"))
-    return packed.select(
-        *keys, F.col("_p.feature").alias("names"), F.transform("_p", lambda p: F.coalesce(p["value"], F.lit(0.0))).alias("features")
+    """One row per window: parallel arrays ``names`` and ``features``.
+
+    All rows have the same names, sorted: those that any window has. A feature that a window lacks is 0. The number of names
+    follows from receivers, subcarriers and packets of a window, not from the number of windows.
+    """
+    chosen = materialise(select_features(long, subset))
+    if chosen.isEmpty():
+        raise ValueError(f"no feature of the set {subset!r}")
+    names = F.array(*[F.lit(r["feature"]) for r in chosen.select("feature").distinct().orderBy("feature").collect()])
+    packed = chosen.filter("value is not null").groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("_v")
     )
+    rows = chosen.select(*keys).distinct().join(packed, keys, "left")
+    filled = F.transform(names, lambda n: F.coalesce(F.col("_v")[n], F.lit(0.0)))
+    return rows.select(*keys, names.alias("names"), filled.alias("features"))
+
+
+def feature_scope(name: str) -> tuple[str, tuple[str, ...]]:
+    """What a window feature describes, and the receivers it comes from.
+
+    The kind is ``global`` (all receivers together), ``pair``, ``receiver`` or ``other``.
+    """
+    words = name.partition("__")[2].split("_")
+    if words[0] == "pair":
+        return "pair", tuple(words[1:3])
+    if words[0] in ("global", "receiver"):
+        return ("global", ()) if words[0] == "global" else ("other", ())
+    return "receiver", (words[0],)
 
 
 def select_features(long: DataFrame, subset: str) -> DataFrame:

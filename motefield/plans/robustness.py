@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import StandardScaler, VectorSlicer
 from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorSlicer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,22 +23,21 @@ CONFIGS = {
     "smooth_detrend_zscore": PreprocessConfig(apply_detrend=True, apply_zscore=True),
     "median_detrend_zscore": PreprocessConfig(pipeline="median", apply_detrend=True, apply_zscore=True),
 }
-SUBSETS = ["all_selected", "without_dev3", "dev1_only", "dev2_only", "dev3_only", "global_only", "pairs_only"]
 META = ["person_id", "binary_label"]
 
 
-def subset_indices(names: list[str]) -> dict[str, list[int]]:
-    """Positions of the features in each named subset."""
-    rules = {
-        "all_selected": lambda c: True,
-        "without_dev3": lambda c: "dev3" not in c,
-        "dev1_only": lambda c: "motion__dev1_" in c,
-        "dev2_only": lambda c: "motion__dev2_" in c,
-        "dev3_only": lambda c: "motion__dev3_" in c,
-        "global_only": lambda c: c.startswith("motion__global"),
-        "pairs_only": lambda c: c.startswith("motion__pair_"),
+def subset_indices(names: list[str], devices: list[str]) -> dict[str, list[int]]:
+    """Positions of the features in each subset: all, without the last receiver, by receiver, and by kind."""
+    scopes = [windows.feature_scope(name) for name in names]
+    out = {
+        "all_selected": list(range(len(names))),
+        f"without_{devices[-1]}": [i for i, (_, receivers) in enumerate(scopes) if devices[-1] not in receivers],
     }
-    return {s: [i for i, c in enumerate(names) if rules[s](c)] for s in SUBSETS}
+    for device in devices:
+        out[f"{device}_only"] = [i for i, scope in enumerate(scopes) if scope == ("receiver", (device,))]
+    for kind, name in (("global", "global_only"), ("pair", "pairs_only")):
+        out[name] = [i for i, scope in enumerate(scopes) if scope[0] == kind]
+    return out
 
 
 def window_table(packets: DataFrame, config: PreprocessConfig, width: int, devices: list[str]) -> tuple[DataFrame, list[str]]:
@@ -80,7 +79,7 @@ def _side(train: DataFrame, test: DataFrame) -> Side | None:
 def _fit_and_score(side: Side, indices: list[int]) -> dict:
     stages = [
         VectorSlicer(inputCol="features", outputCol="part", indices=indices),
-        StandardScaler(inputCol="part", outputCol="scaled", withMean=True, withStd=True),
+        *models.population_scaler("part", "scaled", side.n_train, len(indices)),
         models.logistic(side.n_train, 1.0, "weight").setFeaturesCol("scaled"),
     ]
     model = Pipeline(stages=stages).fit(side.train)
@@ -115,7 +114,7 @@ def robustness_grid(
 
     def one_config(name: str) -> list:
         table, names = window_table(packets, configs[name], width, devices)
-        subsets = subset_indices(names)
+        subsets = subset_indices(names, devices)
         tasks = []
         for group in ("recording_id", "person_id"):
             roles = splits.group_shuffle_split(table, group)
@@ -149,4 +148,4 @@ def importance_mass(packets: DataFrame, width: int, devices: list[str], config:
     weighted = materialise(metrics.with_class_weights(train, "label"))
     weighted = packed(weighted, weighted.count())
     model = models.forest(trees=trees, leaf=2, weight="weight").fit(weighted)
-    return models.importance_groups(models.importance_table(packets.sparkSession, model, names))
+    return models.importance_groups(models.importance_table(packets.sparkSession, model, names), devices)

@@ -14,26 +14,42 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motefield.runtime import materialise
 from motefield.series import BLOCK_ROWS, longest_group
 
 BUCKET = "_bucket"
 # Groups up to this size are given to the built-in exact ``percentile``.
 QUANTILE_ROWS = 1_000_000
-MAX_BUCKETS = 10_000
 
 
-def hash_bucket(hex_digest: Column) -> Column:
-    """First three hex digits as a number: 4096 even buckets, monotone in the digest."""
-    return F.conv(F.substring(hex_digest, 1, 3), 16, 10).cast("int")
+def hash_bucket(hex_digest: Column, rows: int) -> Column:
+    """Leading hex digits as a number: even buckets of at most ``BLOCK_ROWS`` rows or so, monotone in the digest."""
+    digits = 1
+    while 16**digits * BLOCK_ROWS < rows:
+        digits += 1
+    return F.conv(F.substring(hex_digest, 1, digits), 16, 10).cast("long")
+
+
+def range_bucket(df: DataFrame, order: list[Column], bucket_rows: int, total: int | None = None) -> DataFrame:
+    """Add a bucket number that does not decrease along ``order``, about ``bucket_rows`` rows each.
+
+    Ranges are cut on all order columns together, so rows that share the first one are spread by the next. The table is computed once,
+    as a bucket is the place of a row in that one layout.
+    """
+    total = df.count() if total is None else total
+    wanted = math.ceil(total / bucket_rows)
+    if wanted <= 1:
+        return df.withColumn(BUCKET, F.lit(0))
+    return materialise(df.repartitionByRange(wanted, *order).withColumn(BUCKET, F.spark_partition_id()))
 
 
 def value_bucket(df: DataFrame, column: str, bucket_rows: int, total: int | None = None) -> DataFrame:
-    """Add a bucket number monotone in a numeric column, about ``bucket_rows`` rows each.
+    """Add a bucket number monotone in a numeric column, about ``bucket_rows`` rows each if its values are distinct.
 
     ``total`` is the row count (or a larger number) when the caller knows it.
     """
     total = df.count() if total is None else total
-    wanted = min(MAX_BUCKETS, math.ceil(total / bucket_rows))
+    wanted = math.ceil(total / bucket_rows)
     marks: list[float] = []
     if wanted > 1:
         shares = [i / wanted for i in range(1, wanted)]
@@ -96,14 +112,14 @@ def positions(
 ) -> DataFrame:
     """Dense 0-based position of each row in its series, in the order of ``order``.
 
-    The first order column must be numeric or a timestamp. ``longest`` is the length of the
-    longest series when it is known.
+    ``longest`` is the length of the longest series when it is known.
     """
     if (longest_group(df, keys) if longest is None else longest) <= block_rows:
         along = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, (F.row_number().over(along) - 1).cast("long"))
-    cut = value_bucket(df, order[0], block_rows)
-    ranked = running_totals(cut, keys, [F.col(c) for c in order], {"_rank": F.lit(1)}, BUCKET)
+    along = [F.col(c) for c in order]
+    cut = range_bucket(df, along, block_rows)
+    ranked = running_totals(cut, keys, along, {"_rank": F.lit(1)}, BUCKET)
     return ranked.withColumn(name, (F.col("_rank") - 1).cast("long")).drop(
         "_rank", "_rank_total", BUCKET
     )
@@ -112,9 +128,9 @@ def positions(
 def hashed_rank(df: DataFrame, keys: list[str], digest: str, ties: list[str]) -> DataFrame:
     """Add ``rank`` (1-based, by digest inside ``keys``) and ``group_rows``.
 
-    The digest is uniform, so its leading digits cut any group evenly, however large.
+    The digest is uniform, so its leading digits cut any group evenly, however large; rows are counted to see how many are needed.
     """
-    cut = df.withColumn(BUCKET, hash_bucket(F.col(digest)))
+    cut = df.withColumn(BUCKET, hash_bucket(F.col(digest), df.count()))
     ranked = running_totals(
         cut, keys, [F.col(digest), *[F.col(c) for c in ties]], {"rank": F.lit(1)}, BUCKET
     )

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a side may have before it is no longer broadcast.
-BROADCAST_ROWS = 100_000
+# Rows and bytes (as text) a side may have before it is no longer broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,16 +40,19 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    return df.limit(rows + 1).count() <= rows
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a computed table has at most so many rows and bytes; no more than ``rows`` + 1 rows are looked at."""
+    text = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(text), F.lit(0)).alias("bytes")).first()
+    return found["n"] <= rows and found["bytes"] <= size
 
 
 def lookup_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join a fitted or lookup table that is expected, but not known, to be small.
 
-    The table is computed once and counted. Up to ``BROADCAST_ROWS`` rows it is broadcast,
-    so the large side is not shuffled; a larger table is joined by a shuffle, where
-    adaptive execution splits skewed keys.
+    The table is computed once and measured. Up to ``BROADCAST_ROWS`` rows and
+    ``BROADCAST_BYTES`` it is broadcast, so the large side is not shuffled; a larger table is
+    joined by a shuffle, where adaptive execution splits skewed keys.
     """
     table = materialise(table)
     return df.join(F.broadcast(table) if is_small(table) else table, on, how)
