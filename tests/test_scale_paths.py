@@ -155,3 +155,34 @@ def test_round_robin_takes_turns(spark):
     assert {r[0]: r[1] for r in got.groupBy("g").count().collect()} == {"a": 8, "b": 5, "c": 8}
     assert sampling.round_robin_sample(df, "id", "g", None).count() == 80
     assert sampling.round_robin_sample(df, "id", "g", 100).count() == 80
+
+
+def test_positions_with_a_tied_first_column(spark):
+    """Rows of one key that share the first order column are spread by the next one."""
+    rows = spark.range(3000).select(F.lit(1).alias("key"), F.lit(7).alias("o"), F.pmod(F.xxhash64("id"), F.lit(100_000)).alias("p"), "id")
+    cut = ranking.range_bucket(rows, [F.col("o"), F.col("p"), F.col("id")], 100)
+    sizes = [r["count"] for r in cut.groupBy(ranking.BUCKET).count().collect()]
+    assert len(sizes) > 15 and max(sizes) < 400
+    spread = ranking.positions(rows, ["key"], ["o", "p", "id"], "t", block_rows=100)
+    plain = ranking.positions(rows, ["key"], ["o", "p", "id"], "t")
+    assert spread.dtypes == plain.dtypes
+    assert {(r.id, r.t) for r in spread.collect()} == {(r.id, r.t) for r in plain.collect()}
+
+
+def test_scale_floor_of_series_that_start_late(spark):
+    """A series whose first position is missing has its vote in every form of the z-score."""
+    import numpy as np
+
+    from motefield.operators import normalise
+    from motefield.series import SeriesLayout
+
+    rng = np.random.default_rng(4)
+    rows = [(1, s, t, float(v)) for s in (1, 2) for t, v in enumerate(rng.normal(0, 3 * s, 40), start=1)]
+    df = spark.createDataFrame(rows, "rec int, sc int, t long, x double")
+    short = normalise.robust_zscore(df, "x", SeriesLayout(("rec", "sc"), 40, "t"), ["rec"], "z")
+    floors = {round(r.scale_floor, 6) for r in short.collect()}
+    scales = {}
+    for s in (1, 2):
+        x = np.array([r[3] for r in rows if r[1] == s])
+        scales[s] = 1.4826 * np.median(np.abs(x - np.median(x)))
+    assert len(floors) == 1 and abs(floors.pop() - np.percentile(list(scales.values()), 10)) < 0.01
