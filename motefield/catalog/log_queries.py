@@ -47,7 +47,7 @@ def scan_log_lines(spark, sf_dir):
     """The lines are written as log folders and read back with their line numbers."""
     root = new_table_path(spark, "logs")
     logs.write_lines(lines(spark, sf_dir), root)
-    return logs.read_lines(spark, root, "path")
+    return logs.read_lines(spark, root, tagged=True)
 
 
 @query("line_fields", f"with {PARSED} select path, row_no, len(raw) as n_fields, raw[1] as first_field, raw[len(raw)] as last_field from parsed")
@@ -104,9 +104,9 @@ def infer_structure(spark, sf_dir):
 
 
 INT = r"'^[+-]?\d+$'"
-LIST_ERROR = r"""case when not (cell[1]='[' and right(cell,1)=']') then 'CSI cell is not enclosed in []'
+LIST_ERROR = r"""case when not (cell[1]='[' and right(cell,1)=']') then 'no brackets'
   when list_position(list_transform(items, lambda v: regexp_matches(v, '^[+-]?\d+$')), false) > 0
-  then 'CSI value #'||list_position(list_transform(items, lambda v: regexp_matches(v, '^[+-]?\d+$')), false)||' is not an integer: '''||
+  then 'entry '||list_position(list_transform(items, lambda v: regexp_matches(v, '^[+-]?\d+$')), false)||': '''||
        items[list_position(list_transform(items, lambda v: regexp_matches(v, '^[+-]?\d+$')), false)]||'''' end"""
 ITEMS = "list_transform(string_split(substr(cell, 2, len(cell)-2), ','), lambda v: trim(v))"
 
@@ -114,17 +114,17 @@ RAW_RULES = r"""rows_ as (select path, line_no, raw as f, raw[len(raw)] as cell
 checked as (select *, {items} as items from rows_),
 err as (select *, {error} as error, len(f)<>25 as wide from checked),
 problems as (
-  select path, line_no as line, 'field_count' as rule, 'expected 25 CSV fields, got '||len(f) as message from err where wide
-  union all select path, line_no, 'first_field', 'first field does not match ''<date> <time> <timezone> CSI_DATA''' from err
+  select path, line_no as line, 'field_count' as rule, null::varchar as field, '25' as expected, cast(len(f) as varchar) as found from err where wide
+  union all select path, line_no, 'first_field', '1', 'stamp and type', f[1] from err
     where not wide and not regexp_matches(f[1], '^\d{{2}}\.\d{{2}}\.\d{{4}} \d{{2}}:\d{{2}}:\d{{2}}\.\d{{3}} [+-]\d{{2}}:\d{{2}} CSI_DATA$')
-  union all select path, line_no, 'mac', 'invalid MAC address field: '''||f[3]||'''' from err where not wide and not regexp_matches(f[3], '^[0-9a-fA-F]{{2}}(:[0-9a-fA-F]{{2}}){{5}}$')
-  union all select path, line_no, 'integer', 'metadata field #'||i||' is not an integer: '''||f[i+1]||'''' from err, unnest(generate_series(1, 23)) as g(i)
+  union all select path, line_no, 'mac', '3', 'hardware address', f[3] from err where not wide and not regexp_matches(f[3], '^[0-9a-fA-F]{{2}}(:[0-9a-fA-F]{{2}}){{5}}$')
+  union all select path, line_no, 'integer', cast(i+1 as varchar), 'integer', f[i+1] from err, unnest(generate_series(1, 23)) as g(i)
     where not wide and i<>2 and not regexp_matches(f[i+1], '^[+-]?\d+$')
-  union all select path, line_no, 'csi', error from err where not wide and error is not null
-  union all select path, line_no, 'csi_length', 'expected 64 CSI values, got '||len(items) from err where not wide and error is null and len(items)<>64
-  union all select path, line_no, 'declared_length', 'declared CSI length is '||f[23]||', actual length is '||len(items) from err
+  union all select path, line_no, 'csi', null, 'integers in brackets', error from err where not wide and error is not null
+  union all select path, line_no, 'csi_length', null, '64', cast(len(items) as varchar) from err where not wide and error is null and len(items)<>64
+  union all select path, line_no, 'declared_length', null, f[23], cast(len(items) as varchar) from err
     where not wide and error is null and regexp_matches(f[23], '^\d+$') and try_cast(f[23] as bigint)<>len(items)
-  union all select path, null, 'row_count', 'expected 20 rows, got '||count(*) from rows_ group by path having count(*)<>20)""".format(
+  union all select path, null, 'row_count', null, '20', cast(count(*) as varchar) from rows_ group by path having count(*)<>20)""".format(
     items=ITEMS, error=LIST_ERROR
 )
 
@@ -134,7 +134,7 @@ def raw_problems(spark, sf_dir):
     return validate.validate_raw(files, validate.raw_structure(files, RAW_REFERENCE))
 
 
-@query("validate_raw", f"with {PARSED}, {RAW_RULES} select path, cast(line as bigint) as line, rule, message from problems")
+@query("validate_raw", f"with {PARSED}, {RAW_RULES} select path, cast(line as bigint) as line, rule, field, expected, found from problems")
 def validate_raw(spark, sf_dir):
     return raw_problems(spark, sf_dir)
 
@@ -213,29 +213,29 @@ rows_ as (select p.path, p.line_no, f, f[len(f)] as cell from parsed p join head
 checked as (select *, {items} as items from rows_),
 err as (select *, {error} as error, len(f)<>26 as wide from checked),
 problems as (
-  select path, 1 as line, 'header' as rule, 'header does not match the reference header' as message from heads where not good
-  union all select path, line_no, 'field_count', 'expected 26 CSV fields, got '||len(f) from err where wide
-  union all select path, line_no, 'timestamp', 'invalid logger_timestamp: '''||f[1]||'''' from err
+  select path, 1 as line, 'header' as rule, null::varchar as field, 'reference header' as expected, null::varchar as found from heads where not good
+  union all select path, line_no, 'field_count', null, '26', cast(len(f) as varchar) from err where wide
+  union all select path, line_no, 'timestamp', 'logger_timestamp', 'stamp', f[1] from err
     where not wide and not regexp_matches(f[1], '^\d{{2}}\.\d{{2}}\.\d{{4}}\s+\d{{2}}:\d{{2}}:\d{{2}}\.\d{{3}}\s+[+-]\d{{2}}:\d{{2}}$')
-  union all select path, line_no, 'record_type', 'expected record_type CSI_DATA, got '''||f[2]||'''' from err where not wide and f[2]<>'CSI_DATA'
-  union all select path, line_no, 'mac', 'invalid source_mac: '''||f[4]||'''' from err where not wide and not regexp_matches(f[4], '^[0-9a-fA-F]{{2}}(:[0-9a-fA-F]{{2}}){{5}}$')
+  union all select path, line_no, 'record_type', 'record_type', 'CSI_DATA', f[2] from err where not wide and f[2]<>'CSI_DATA'
+  union all select path, line_no, 'mac', 'source_mac', 'hardware address', f[4] from err where not wide and not regexp_matches(f[4], '^[0-9a-fA-F]{{2}}(:[0-9a-fA-F]{{2}}){{5}}$')
   {ints}
-  union all select path, line_no, 'csi', error from err where not wide and error is not null
-  union all select path, line_no, 'csi_length', 'expected 64 CSI values, got '||len(items) from err where not wide and error is null and len(items)<>64
-  union all select path, line_no, 'declared_length', 'declared csi_len is '||f[24]||', actual length is '||len(items) from err
+  union all select path, line_no, 'csi', null, 'integers in brackets', error from err where not wide and error is not null
+  union all select path, line_no, 'csi_length', null, '64', cast(len(items) as varchar) from err where not wide and error is null and len(items)<>64
+  union all select path, line_no, 'declared_length', null, f[24], cast(len(items) as varchar) from err
     where not wide and error is null and try_cast(f[24] as bigint)<>len(items)
-  union all select path, null, 'row_count', 'expected 20 data rows, got '||count(*) from rows_ group by path having count(*)<>20)""".format(
+  union all select path, null, 'row_count', null, '20', cast(count(*) as varchar) from rows_ group by path having count(*)<>20)""".format(
     ref=FIXED_REFERENCE,
     items=ITEMS,
     error=LIST_ERROR,
     ints="\n".join(
-        f"union all select path, line_no, 'integer', 'column ''{n}'' is not an integer: '''||f[{i + 1}]||'''' from err where not wide and not regexp_matches(f[{i + 1}], {INT})"
+        f"union all select path, line_no, 'integer', '{n}', 'integer', f[{i + 1}] from err where not wide and not regexp_matches(f[{i + 1}], {INT})"
         for i, n in INT_COLUMNS
     ),
 )
 
 
-@query("validate_fixed", f"with {DAMAGED}, {FIXED_RULES} select path, cast(line as bigint) as line, rule, message from problems")
+@query("validate_fixed", f"with {DAMAGED}, {FIXED_RULES} select path, cast(line as bigint) as line, rule, field, expected, found from problems")
 def validate_fixed(spark, sf_dir):
     files = damaged_fixed(spark, sf_dir)
     return validate.validate_fixed(files, validate.fixed_structure(files, FIXED_REFERENCE))

@@ -65,11 +65,9 @@ def int_list_error(cell: Column) -> Column:
     """What is wrong with an integer list cell, NULL when it is fine."""
     items = int_list_items(cell)
     bad = F.array_position(F.transform(items, lambda v: v.rlike(INTEGER)), False).cast("int")
-    return F.when(items.isNull(), "CSI cell is not enclosed in []").when(
+    return F.when(items.isNull(), "no brackets").when(
         bad > 0,
-        F.concat(
-            F.lit("CSI value #"), bad.cast("string"), F.lit(" is not an integer: "), quoted(F.get(items, bad - 1))
-        ),
+        F.concat(F.lit("entry "), bad.cast("string"), F.lit(": "), quoted(F.get(items, bad - 1))),
     )
 
 

@@ -1,6 +1,7 @@
 """Checks of log files against the structure of a reference file.
 
-Problems are rows ``(path, line, rule, message)``; ``line`` is NULL for a whole file.
+Problems are rows ``(path, line, rule, field, expected, found)``; ``line`` is NULL for a whole file, ``field`` names the
+cell (raw logs: its number from 1) or is NULL for a whole line.
 Input is ``lines(path, line_no, line)`` with every line of the file, blank ones included.
 """
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motefield.functions import text as tx
-from motefield.runtime import lookup_join
+from motefield.runtime import lookup_join, materialise
 
 TEXT_COLUMNS = ("logger_timestamp", "record_type", "source_mac", "csi_data")
 
@@ -87,12 +88,17 @@ def fixed_structure(lines: DataFrame, reference: str) -> FixedStructure:
     return FixedStructure(tuple(row["header"]), row["rows"], row["csi_values"])
 
 
-def _rule(broken: Column, name: str, *message) -> Column:
+PROBLEM = ("rule", "field", "expected", "found")
+
+
+def _problem(rule: str, field: str | None, expected: str | Column, found: Column | None) -> Column:
+    values = (rule, field, expected, found)
+    return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).cast("string").alias(n) for n, v in zip(PROBLEM, values)])
+
+
+def _rule(broken: Column, rule: str, field: str | None, expected: str | Column, found: Column | None) -> Column:
     """A problem entry when ``broken`` holds, else NULL."""
-    parts = [m if isinstance(m, Column) else F.lit(m) for m in message]
-    return F.when(
-        F.coalesce(broken, F.lit(True)), F.struct(F.lit(name).alias("rule"), F.concat(*parts).alias("message"))
-    )
+    return F.when(F.coalesce(broken, F.lit(True)), _problem(rule, field, expected, found))
 
 
 def _text(number: Column) -> Column:
@@ -101,24 +107,22 @@ def _text(number: Column) -> Column:
 
 def _emit(rows: DataFrame, size: Column, wanted: int, checks: list[Column], list_checks: list[Column], cell: Column) -> DataFrame:
     """A row of another width reports only that; a broken list cell hides the checks on its length."""
-    width = _rule(size != wanted, "field_count", f"expected {wanted} CSV fields, got ", _text(size))
+    width = _rule(size != wanted, "field_count", None, str(wanted), _text(size))
     error = tx.int_list_error(cell)
-    broken = F.when(error.isNotNull(), F.struct(F.lit("csi").alias("rule"), error.alias("message")))
+    broken = F.when(error.isNotNull(), _problem("csi", None, "integers in brackets", error))
     found = F.when(size != wanted, F.array(width)).otherwise(
         F.concat(
             F.array(*checks, broken),
-            F.when(error.isNull(), F.array(*list_checks)).otherwise(F.array().cast("array<struct<rule:string,message:string>>")),
+            F.when(error.isNull(), F.array(*list_checks)).otherwise(F.array().cast("array<struct<rule:string,field:string,expected:string,found:string>>")),
         )
     )
     exploded = rows.select("path", F.col("line_no").alias("line"), F.explode_outer(F.array_compact(found)).alias("_p"))
-    return exploded.filter(F.col("_p").isNotNull()).select("path", "line", "_p.rule", "_p.message")
+    return exploded.filter(F.col("_p").isNotNull()).select("path", "line", "_p.*")
 
 
-def _file_problem(df: DataFrame, rule: str, *message) -> DataFrame:
-    parts = [m if isinstance(m, Column) else F.lit(m) for m in message]
-    return df.select(
-        "path", F.lit(None).cast("long").alias("line"), F.lit(rule).alias("rule"), F.concat(*parts).alias("message")
-    )
+def _file_problem(df: DataFrame, rule: str, expected: str, found: Column | None = None, line: int | None = None) -> DataFrame:
+    problem = _problem(rule, None, expected, found).alias("_p")
+    return df.select("path", F.lit(line).cast("long").alias("line"), problem).select("path", "line", "_p.*")
 
 
 def _not_ascii(lines: DataFrame) -> DataFrame:
@@ -126,78 +130,77 @@ def _not_ascii(lines: DataFrame) -> DataFrame:
 
 
 def validate_raw(lines: DataFrame, structure: RawStructure, check_line_count: bool = True) -> DataFrame:
-    rows = _split(lines)
+    # Text is read and parsed once; all checks look at that table.
+    rows = lines = materialise(_split(lines))
     f = F.col("f")
     size, n, meta = F.size(f), structure.csv_fields, structure.metadata_fields
     get = lambda i: F.get(f, F.lit(i))
     checks = [
         _rule(
-            ~get(0).rlike(tx.RAW_FIRST_FIELD), "first_field", "first field does not match '<date> <time> <timezone> CSI_DATA'"
+            ~get(0).rlike(tx.RAW_FIRST_FIELD), "first_field", "1", "stamp and type", get(0)
         ),
-        _rule(~get(2).rlike(tx.MAC), "mac", "invalid MAC address field: ", tx.quoted(get(2))),
+        _rule(~get(2).rlike(tx.MAC), "mac", "3", "hardware address", get(2)),
     ]
     for i in range(1, meta):
         if i != 2:
             checks.append(
-                _rule(~get(i).rlike(tx.INTEGER), "integer", f"metadata field #{i} is not an integer: ", tx.quoted(get(i)))
+                _rule(~get(i).rlike(tx.INTEGER), "integer", str(i + 1), "integer", get(i))
             )
     cell = get(n - 1)
     actual = F.size(tx.int_list_items(cell))
     declared = get(meta - 2)
     list_checks = [
-        _rule(actual != structure.csi_values, "csi_length", f"expected {structure.csi_values} CSI values, got ", _text(actual)),
+        _rule(actual != structure.csi_values, "csi_length", None, str(structure.csi_values), _text(actual)),
         _rule(
             F.when(declared.rlike(r"^\d+$"), declared.try_cast("long") != actual).otherwise(False),
-            "declared_length", "declared CSI length is ", declared, ", actual length is ", _text(actual),
+            "declared_length", None, declared, _text(actual),
         ),
     ]
     return _with_file_problems(
-        lines, _emit(rows, size, n, checks, list_checks, cell), structure.lines, "rows", check_line_count, 0
+        lines, _emit(rows, size, n, checks, list_checks, cell), structure.lines, check_line_count, 0
     )
 
 
 def validate_fixed(lines: DataFrame, structure: FixedStructure, check_row_count: bool = True) -> DataFrame:
-    rows = _split(lines)
+    # Text is read and parsed once; all checks look at that table.
+    rows = lines = materialise(_split(lines))
     f = F.col("f")
     header = structure.header
     where = {name: i for i, name in enumerate(header)}
     get = lambda name: F.get(f, F.lit(where[name]))
     checks = [
         _rule(
-            ~get("logger_timestamp").rlike(tx.STAMP), "timestamp", "invalid logger_timestamp: ", tx.quoted(get("logger_timestamp"))
+            ~get("logger_timestamp").rlike(tx.STAMP), "timestamp", "logger_timestamp", "stamp", get("logger_timestamp")
         ),
         _rule(
-            get("record_type") != "CSI_DATA", "record_type", "expected record_type CSI_DATA, got ", tx.quoted(get("record_type"))
+            get("record_type") != "CSI_DATA", "record_type", "record_type", "CSI_DATA", get("record_type")
         ),
-        _rule(~get("source_mac").rlike(tx.MAC), "mac", "invalid source_mac: ", tx.quoted(get("source_mac"))),
+        _rule(~get("source_mac").rlike(tx.MAC), "mac", "source_mac", "hardware address", get("source_mac")),
     ]
     for name in header:
         if name not in TEXT_COLUMNS:
             checks.append(
-                _rule(~get(name).rlike(tx.INTEGER), "integer", f"column '{name}' is not an integer: ", tx.quoted(get(name)))
+                _rule(~get(name).rlike(tx.INTEGER), "integer", name, "integer", get(name))
             )
     cell = get("csi_data")
     actual = F.size(tx.int_list_items(cell))
     list_checks = [
-        _rule(actual != structure.csi_values, "csi_length", f"expected {structure.csi_values} CSI values, got ", _text(actual))
+        _rule(actual != structure.csi_values, "csi_length", None, str(structure.csi_values), _text(actual))
     ]
     if "csi_len" in where:
         declared = get("csi_len")
         list_checks.append(
             _rule(
                 F.when(declared.rlike(tx.INTEGER), declared.try_cast("long") != actual).otherwise(False),
-                "declared_length", "declared csi_len is ", _text(declared.try_cast("long")), ", actual length is ", _text(actual),
+                "declared_length", None, _text(declared.try_cast("long")), _text(actual),
             )
         )
     expected = F.array(*[F.lit(h) for h in header])
     heads = rows.filter("line_no = 1")
     wrong = heads.filter(f != expected)
-    wrong_problems = wrong.select(
-        "path", F.lit(1).cast("long").alias("line"), F.lit("header").alias("rule"),
-        F.lit("header does not match the reference header").alias("message"),
-    )
+    wrong_problems = _file_problem(wrong, "header", "reference header", line=1)
     body = _emit(rows.filter("line_no > 1"), F.size(f), len(header), checks, list_checks, cell)
-    found = _with_file_problems(lines, body, structure.rows, "data rows", check_row_count, 1)
+    found = _with_file_problems(lines, body, structure.rows, check_row_count, 1)
     # A file with another header reports only that (unless it could not be read as text at all).
     found = lookup_join(found.filter("rule <> 'ascii'"), wrong.select("path"), ["path"], "left_anti").unionByName(
         found.filter("rule = 'ascii'")
@@ -206,17 +209,17 @@ def validate_fixed(lines: DataFrame, structure: FixedStructure, check_row_count:
 
 
 def _with_file_problems(
-    lines: DataFrame, body: DataFrame, wanted: int, noun: str, check_count: bool, header_rows: int
+    lines: DataFrame, body: DataFrame, wanted: int, check_count: bool, header_rows: int
 ) -> DataFrame:
     """Add whole-file problems; a file that is not ASCII reports only that."""
     if check_count:
         sizes = lines.groupBy("path").agg((F.count("*") - header_rows).alias("_n")).filter(F.col("_n") != wanted)
         body = body.unionByName(
-            _file_problem(sizes, "row_count", f"expected {wanted} {noun}, got ", _text(F.col("_n")))
+            _file_problem(sizes, "row_count", str(wanted), _text(F.col("_n")))
         )
     foreign = _not_ascii(lines)
     return lookup_join(body, foreign, ["path"], "left_anti").unionByName(
-        _file_problem(foreign, "ascii", "file is not ASCII text")
+        _file_problem(foreign, "ascii", "ASCII text")
     )
 
 

@@ -42,16 +42,19 @@ def with_origin(df: DataFrame) -> DataFrame:
     )
 
 
-def read_lines(spark: SparkSession, root: str, unit: str | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, root: str, tagged: bool = False) -> DataFrame:
     """``lines(path, line_no, line)`` of all ``.csv`` / ``.data`` logs below ``root``.
 
-    ``unit`` names a directory column (``unit=value`` folders, as written by
-    :func:`write_lines`); without it every file is a log of its own.
+    Tagged text, as written by :func:`write_lines`, names the log before a tab in each line;
+    without it every file is a log of its own.
     """
-    reader = spark.read if unit else spark.read.option("recursiveFileLookup", "true")
-    rows = with_origin(reader.text(root))
-    path = F.col(unit) if unit else F.col("_file")
-    numbered = number_rows(rows.withColumn("path", path), "path", "line_no")
+    rows = with_origin(spark.read.option("recursiveFileLookup", "true").text(root))
+    if tagged:
+        path = F.substring_index("value", "\t", 1)
+        rows = rows.withColumn("path", path).withColumn("value", F.expr("substring(value, length(path) + 2)"))
+    else:
+        rows = rows.withColumn("path", F.col("_file"))
+    numbered = number_rows(rows, "path", "line_no")
     return numbered.filter(is_log_file(F.col("path"))).select("path", "line_no", F.col("value").alias("line"))
 
 
@@ -66,23 +69,25 @@ def positions_of_lines(lines: DataFrame) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, root: str) -> None:
-    rows = _by_unit(lines, "line_no").select(F.col("path"), F.col("line").alias("value"))
-    rows.write.partitionBy("path").text(root)
+    """Write many logs as one table of text, each line after the path of its log and a tab."""
+    _by_unit(lines, "line_no").select(F.concat_ws("\t", "path", "line").alias("value")).write.text(root)
 
 
 def write_fixed(rows: DataFrame, root: str) -> None:
-    """Write repaired logs as CSV with header, one folder per log; nothing is replaced."""
+    """Write repaired logs as one CSV table with header, the log's path in front; nothing is replaced."""
     ordered = _by_unit(rows, "row_no").select("path", *HEADER)
-    ordered.write.partitionBy("path").option("header", "true").csv(root)
+    ordered.write.option("header", "true").csv(root)
 
 
 def read_fixed(spark: SparkSession, root: str, unit: str | None = None) -> DataFrame:
-    """Repaired logs as text columns with ``path`` and the 0-based packet position ``t``."""
-    schema = FIXED_SCHEMA if unit is None else T.StructType([*FIXED_SCHEMA.fields, T.StructField(unit, T.StringType())])
+    """Repaired logs as text columns with ``path`` and the 0-based packet position ``t``.
+
+    ``unit`` names the leading column that holds the path, as :func:`write_fixed` writes it;
+    without it every file is a log of its own.
+    """
+    schema = FIXED_SCHEMA if unit is None else T.StructType([T.StructField(unit, T.StringType()), *FIXED_SCHEMA.fields])
     reader = spark.read.schema(schema).option("header", "true").option("quote", '"').option("escape", '"')
-    if unit is None:
-        reader = reader.option("recursiveFileLookup", "true")
-    rows = with_origin(reader.csv(root))
+    rows = with_origin(reader.option("recursiveFileLookup", "true").csv(root))
     path = F.col(unit) if unit else F.col("_file")
     return number_rows(rows.withColumn("path", path), "path", "t", 0).filter(is_log_file(F.col("path")))
 

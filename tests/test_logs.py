@@ -92,8 +92,8 @@ def test_cells(spark):
     got = [tuple(r) for r in df.orderBy("i").select(iq.iq_array(F.col("c")), text.int_list_error(F.col("c"))).collect()]
     assert [g[0] for g in got] == [[1, 2, 3, -4], [], [1, None], None, [5, 6], None, None]
     assert got[0][1] is None and got[1][1] is None
-    assert got[2][1] == "CSI value #2 is not an integer: 'a'"
-    assert got[3][1] == got[6][1] == "CSI cell is not enclosed in []"
+    assert got[2][1] == "entry 2: 'a'"
+    assert got[3][1] == got[6][1] == "no brackets"
 
 
 def test_lenient_int_and_timestamp(spark):
