@@ -312,3 +312,13 @@ def importance_mass(spark, sf_dir):
 @query("robustness_grid")
 def robustness_grid(spark, sf_dir):
     return robustness.robustness_grid(window_packets(spark, sf_dir), WIDTH, DEVICES)
+
+
+@query("inference_report_multiclass")
+def inference_report_multiclass(spark, sf_dir):
+    """JSON record per test unit with the probability of every class by name."""
+    rows, _ = embedded_rows(spark, sf_dir, distance)
+    train = metrics.with_class_weights(rows.filter("role = 'train'"), "label")
+    model = models.forest(300, 30, 2, weight="weight").fit(train)
+    scored = models.predict(model, rows.filter("role = 'test'"))
+    return unit_models.json_records(unit_models.multiclass_report(scored, {i: f"label_0{i}" for i in range(4)}))

@@ -326,3 +326,13 @@ def class_balance(spark, sf_dir):
 def diagnostic_pivot(spark, sf_dir):
     rows = unit_names(table(spark, sf_dir, "events").select(F.col("user_id").alias("unit_id"), F.col("value").alias("x")))
     return rounded(reports.pivot_mean(rows, ["device"], "label", LABELS, "x"))
+
+
+@query("observed_labels", """with l as (select 'label_0'||(cast(floor(floor(vec_id/3)/20) as int)%4) as label from embeddings union select 'label_0'||label from embeddings)
+select label, cast(row_number() over (order by label)-1 as int) as label_class from l""")
+def observed_labels(spark, sf_dir):
+    """Labels of the recordings and labels that results use, together."""
+    from motefield.catalog.views import packets
+
+    used = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("label_0"), F.col("label").cast("string")))
+    return reports.observed_labels(packets(spark, sf_dir).select("label"), used)

@@ -365,6 +365,18 @@ def null_subcarriers(spark, sf_dir):
     return rounded(recordings.null_subcarriers(samples(spark, sf_dir), recs))
 
 
+@query("clean_samples", f"""with {SAMPLES},
+heads as (select recording_id from (select recording_id, row_number() over (partition by recording_id%4 order by recording_id) as r
+  from (select distinct recording_id from samples)) where r<=4),
+nulls as (select sc from samples join heads using (recording_id) group by sc having avg(case when abs(x)<=1e-8 then 1.0 else 0.0 end) >= 0.99)
+select recording_id, device, t, cast(sc - (select count(*) from nulls n where n.sc < s.sc) as int) as sc, round(x,6) as x
+from samples s where sc not in (select sc from nulls)""")
+def clean_samples(spark, sf_dir):
+    recs = packets(spark, sf_dir).select("recording_id", "label").distinct()
+    every = samples(spark, sf_dir)
+    return rounded(recordings.drop_subcarriers(every, recordings.null_subcarriers(every, recs)))
+
+
 # --- preprocessing ------------------------------------------------------------------------
 
 

@@ -77,6 +77,21 @@ def incomplete_recordings(index: DataFrame) -> DataFrame:
     return index.filter(F.col("missing_devices") != "").select("recording", "missing_devices")
 
 
+def observed_labels(*labels: DataFrame) -> DataFrame:
+    """Every label that any of the one-column tables holds, once, with its place in sorted order from 0."""
+    every = None
+    for table in labels:
+        own = table.toDF("label").filter("label is not null").distinct()
+        every = own if every is None else every.unionByName(own)
+    known = sorted(r["label"] for r in every.distinct().collect())
+    return every.sparkSession.createDataFrame(list(enumerate(known)), "label_class int, label string").select("label", "label_class")
+
+
+def unknown_labels(used: DataFrame, known: DataFrame) -> DataFrame:
+    """Labels of a one-column table that ``known`` does not list."""
+    return used.toDF("label").filter("label is not null").distinct().join(known.select("label"), "label", "left_anti")
+
+
 def natural_order(df: DataFrame, name: str) -> DataFrame:
     """Place of each name when sorted by its trailing test number, then by name."""
     along = [F.col("natural_key"), F.col(name)]

@@ -147,6 +147,18 @@ def inference_report(scored: DataFrame, unit: str = "unit_id", names: dict[int,
     )
 
 
+def multiclass_report(scored: DataFrame, names: dict[int, str], unit: str = "unit_id") -> DataFrame:
+    """One record per unit: class, name, and the probability of every class by its name; classes without a name are ``class_<n>``."""
+    numbers = F.sequence(F.lit(0), F.size("scores") - 1)
+    named = F.transform(numbers, lambda i: class_name(i, names))
+    return scored.select(
+        F.col(unit).cast("string").alias("data_file"),
+        F.col("y_pred").alias("predicted_class"),
+        class_name(F.col("y_pred"), names).alias("predicted_label_name"),
+        F.map_from_arrays(named, F.transform("scores", lambda p: F.round(p, 6))).alias("probabilities_by_class"),
+    )
+
+
 def json_records(report: DataFrame) -> DataFrame:
     return report.select("data_file", F.to_json(F.struct(*report.columns)).alias("record"))
 
