@@ -167,12 +167,12 @@ def fitted_query(make, target=binary_class):
 
 
 query("fit_logreg")(fitted_query(lambda train, n: models.logistic(n, 1.0, "weight").fit(train)))
-query("fit_random_forest")(fitted_query(lambda train, n: models.forest(60, 12, 2, weight="weight").fit(train)))
+query("fit_random_forest")(fitted_query(lambda train, n: models.forest(300, 30, 2, weight="weight").fit(train)))
 query("fit_svm_linear")(fitted_query(lambda train, n: models.linear_svm(n, 1.0, "weight").fit(train)))
 query("fit_svm_rbf")(fitted_query(lambda train, n: models.rbf_svm(n, 1.0, "scale", "weight").fit(train)))
-query("fit_svm_poly")(fitted_query(lambda train, n: models.poly_svm(n, 1.0, 2, "weight").fit(train)))
-query("fit_gbt")(fitted_query(lambda train, n: models.boosting(4, 0.1, 10).fit(train)))
-query("fit_trees_nobootstrap")(fitted_query(lambda train, n: models.forest(40, 8, 2, bootstrap=False).fit(train), distance))
+query("fit_svm_poly")(fitted_query(lambda train, n: models.poly_svm(n, 1.0, 3, "weight").fit(train)))
+query("fit_gbt")(fitted_query(lambda train, n: models.boosting(4, 0.1, 200).fit(train)))
+query("fit_trees_nobootstrap")(fitted_query(lambda train, n: models.forest(300, 30, 2, bootstrap=False).fit(train), distance))
 
 
 @query("pca_evr")
