@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from motefield.llm import bpe, decontaminate, minhash, secrets, toxicity
 from motefield.runtime import new_table_path
 
+# Hundredths of similarity (five-word shingles) from which on two documents are near duplicates.
+NEAR = 80
+
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go."""
@@ -15,8 +18,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays."""
-    return minhash.deduplicate(docs)
+    """Of each group of near duplicates, similar by 0.8 or more, the document with the least id stays."""
+    return minhash.deduplicate(docs, link=NEAR)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,12 +26,10 @@ from motefield.llm.components import components
 from motefield.runtime import materialise, new_table_path
 
 WORDS = 5
-# A pair of documents is linked if 100 * common >= LINK * union.
+# A pair of documents is linked if 100 * common >= link * union, unless the caller says otherwise by this link.
 LINK = 85
 BANDS, ROWS = 24, 5
 HASHES, LOW_BITS = BANDS * ROWS, 4
-# Pairs estimated below this are not confirmed: five standard errors under the threshold.
-LEAST_ESTIMATE = 0.68
 # Members of a bucket compared pair by pair; members and shingles of a block of full sets.
 BUCKET_ROWS, BLOCK_ROWS, BLOCK_SHINGLES = 512, 512, 500_000
 
@@ -66,6 +64,14 @@ def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return (agreed - chance) / (1 - chance)
 
 
+def least_estimate(link: int) -> float:
+    """Pairs estimated below this are not confirmed: five standard errors under the threshold, rounded down to hundredths."""
+    chance = 0.5**LOW_BITS
+    agreed = chance + (1 - chance) * link / 100
+    error = (agreed * (1 - agreed) / HASHES) ** 0.5 / (1 - chance)
+    return int(link - 500 * error) / 100
+
+
 def sets_of(column: pa.Array) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     shingles, bounds = shingle_hashes(*word_hashes(*text_bytes(column)), WORDS)
@@ -150,7 +156,7 @@ def table_of(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def likely_ties(vertices: DataFrame) -> DataFrame:
+def likely_ties(vertices: DataFrame, link: int = LINK) -> DataFrame:
     """Edges ``a, b`` that tie together what may be similar within a bucket.
 
     Up to ``BUCKET_ROWS`` members, likely pairs are tied; the members of a larger bucket are tied part by part to its first
@@ -159,6 +165,8 @@ def likely_ties(vertices: DataFrame) -> DataFrame:
     rows = vertices.select("v", F.explode("bands").alias("bucket")).withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1")
     rows = rows.join(vertices.select("v", "signature"), "v")
 
+    least = least_estimate(link)
+
     def tie(batches):
         first = None
         for part, begins in runs(batches, ["bucket"], BUCKET_ROWS):
@@ -170,7 +178,7 @@ def likely_ties(vertices: DataFrame) -> DataFrame:
             signatures = signatures_of(part.column("signature"))
             forest, edges = Forest(np.arange(len(ids))), []
             for i in range(len(ids) - 1):
-                for j in (np.flatnonzero(estimates(signatures[i], signatures[i + 1 :]) >= LEAST_ESTIMATE) + i + 1).tolist():
+                for j in (np.flatnonzero(estimates(signatures[i], signatures[i + 1 :]) >= least) + i + 1).tolist():
                     if forest.join(i, j):
                         edges.append((ids[i], ids[j]))
             yield table_of(edges)
@@ -178,16 +186,16 @@ def likely_ties(vertices: DataFrame) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket", "v").mapInArrow(tie, "a long, b long").distinct()
 
 
-def confirmed(table: pa.Table, asking: np.ndarray) -> list[tuple[int, int]]:
+def confirmed(table: pa.Table, asking: np.ndarray, link: int = LINK) -> list[tuple[int, int]]:
     """A forest of exact links between the rows ``asking`` and all rows of a block, on top of the labels they have."""
     ids = table.column("v").to_pylist()
     signatures = signatures_of(table.column("signature"))
     sets = [np.frombuffer(s, dtype=np.uint64) for s in table.column("shingles").to_pylist()]
     sizes = np.array([len(s) for s in sets])
-    forest, edges = Forest(table.column("c").to_numpy()), []
+    forest, edges, least = Forest(table.column("c").to_numpy()), [], least_estimate(link)
     for i in np.flatnonzero(asking).tolist():
         close = estimates(signatures[i], signatures)
-        fits = (close >= LEAST_ESTIMATE) & (100 * np.minimum(sizes, sizes[i]) >= LINK * np.maximum(sizes, sizes[i]))
+        fits = (close >= least) & (100 * np.minimum(sizes, sizes[i]) >= link * np.maximum(sizes, sizes[i]))
         fits &= ~asking | (np.arange(len(ids)) > i)
         order = np.flatnonzero(fits)
         order = order[np.argsort(-close[order], kind="stable")]
@@ -199,18 +207,18 @@ def confirmed(table: pa.Table, asking: np.ndarray) -> list[tuple[int, int]]:
             flat = np.concatenate([sets[j] for j in some])
             at = np.minimum(np.searchsorted(sets[i], flat), sizes[i] - 1)
             common = np.add.reduceat((sets[i][at] == flat).astype(np.int64), np.cumsum(sizes[some]) - sizes[some])
-            for j in some[100 * common >= LINK * (sizes[some] + sizes[i] - common)].tolist():
+            for j in some[100 * common >= link * (sizes[some] + sizes[i] - common)].tolist():
                 if forest.join(i, j):
                     edges.append((ids[i], ids[j]))
     return edges
 
 
-def in_blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
+def in_blocks(rows: DataFrame, keys: list[str], link: int = LINK) -> DataFrame:
     """Confirmed links within each block; rows marked ``asking`` are held against all rows of the block."""
 
     def confirm(batches):
         for part, _ in runs(batches, keys):
-            yield table_of(confirmed(part, part.column("asking").to_numpy()))
+            yield table_of(confirmed(part, part.column("asking").to_numpy(), link))
 
     return rows.repartition(*keys).sortWithinPartitions(*keys, "v").mapInArrow(confirm, "a long, b long")
 
@@ -233,10 +241,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return made.dropDuplicates(["set_key"])
 
 
-def links(docs: DataFrame, vertices: DataFrame) -> DataFrame:
+def links(docs: DataFrame, vertices: DataFrame, link: int = LINK) -> DataFrame:
     """A forest of confirmed links between vertices."""
     spark = docs.sparkSession
-    groups = materialise(components(likely_ties(vertices)).withColumnRenamed("c", "w"))
+    groups = materialise(components(likely_ties(vertices, link)).withColumnRenamed("c", "w"))
     path = new_table_path(spark, "full-sets")
     full_sets(docs, groups.join(vertices, "v")).write.parquet(path)
     sets = spark.read.schema("v long, set_key binary, signature binary, shingles binary").parquet(path)
@@ -245,7 +253,7 @@ def links(docs: DataFrame, vertices: DataFrame) -> DataFrame:
     )
     placed = groups.join(sized, "w").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     placed = materialise(placed)
-    first = in_blocks(placed.join(sets, "v").withColumns({"c": F.col("v"), "asking": F.lit(True)}), ["w", "block"])
+    first = in_blocks(placed.join(sets, "v").withColumns({"c": F.col("v"), "asking": F.lit(True)}), ["w", "block"], link)
     first = materialise(first)
     several = placed.where("blocks > 1")
     if several.isEmpty():
@@ -258,11 +266,11 @@ def links(docs: DataFrame, vertices: DataFrame) -> DataFrame:
     rest = rest.join(parts, "w").withColumn("part", F.pmod(F.xxhash64("v", F.lit(1)), F.col("parts")).cast("int"))
     asking = rest.select("w", "v", "c", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asking"))
     asked = labels.join(parts, "w").select("w", "v", "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", F.lit(False).alias("asking"))
-    return first.unionByName(in_blocks(asking.unionByName(asked).join(sets, "v"), ["w", "part", "block"]))
+    return first.unionByName(in_blocks(asking.unionByName(asked).join(sets, "v"), ["w", "part", "block"], link))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``, one row per row of ``docs``.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: int = LINK) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept``, one row per row of ``docs``; pairs of ``link`` hundredths of similarity or more are linked.
 
     A text without words (null and empty ones too) is linked with nothing. Ids are taken to be unique: rows of a repeated id get
     the component of their own text. A null id takes part without being a component's name; its component is null if it
@@ -276,14 +284,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words = rows.where("n_shingles > 0")
     vertices = words.groupBy("set_key").agg(F.min("doc_id").alias("v"), F.first("signature").alias("signature"), F.first("bands").alias("bands")).where("v is not null")
     vertices = materialise(vertices)
-    found = components(links(docs, vertices))
+    found = components(links(docs, vertices, link))
     named = vertices.select("set_key", "v").join(found, "v", "left").select("set_key", F.coalesce("c", "v").alias("component_id"))
     out = words.join(named, "set_key", "left").select("doc_id", "n_shingles", "component_id")
     out = out.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: int = LINK) -> DataFrame:
     """The rows of ``docs`` less those whose id is a near duplicate of a smaller one."""
-    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
+    gone = near_duplicates(docs, id_col, text_col, link).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -79,7 +79,7 @@ ORACLES["op6_decontamination"] = CONTAMINATION_SQL
 
 @query
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), link=85)
 
 
 @query

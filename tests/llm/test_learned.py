@@ -145,6 +145,19 @@ def test_pipeline_stages_by_their_decisions(spark):
     assert final == again and 0 < len(final) < docs.count()
 
 
+def test_pipeline_with_near_copies_from_four_fifths_on(spark):
+    """The near-duplicate stage links from 0.8 on; the stages after it work on what that leaves."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    clean = stages["toxicity"](spark, docs, sf_dir).cache()
+    kept = stages["near_duplicates"](spark, clean, sf_dir).cache()
+    at = {link: {r.doc_id for r in minhash.near_duplicates(clean, link=link).where("kept").collect()} for link in (80, 85)}
+    assert {r.doc_id for r in kept.collect()} == at[80] < at[85]
+    rest = decontaminate.contamination(kept, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("not contaminated")
+    assert {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()} == {r.doc_id for r in rest.collect()}
+
+
 def test_pipeline_on_odd_documents(spark, odd, none):
     docs = odd.selectExpr("doc_id", "text", "n as lang", "v as source", "cast(null as long) as n_chars")
     for some in (docs, docs.where("1 = 0")):

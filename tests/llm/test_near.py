@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from motefield.llm import minhash, simhash
 from motefield.llm import components as graph
 from motefield.llm.components import components
@@ -84,6 +85,26 @@ def test_large_buckets_are_tied_whole(spark, families, monkeypatch):
     assert rows_of(minhash.near_duplicates(docs)) == expected(families)
 
 
+def test_stage_links_from_four_fifths_on(spark):
+    """Pairs of similarity 0.80 to 0.85, some just under 0.80: the pipeline's stage against brute force; op10 keeps them apart."""
+    rng = random.Random(80)
+    texts, similar = [], []
+    for _ in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        other = list(base)
+        for k in range(rng.choice([3, 4, 4, 5])):
+            other[20 + 40 * k] = f"e{rng.randrange(10**6)}"
+        texts += [(len(texts), " ".join(base)), (len(texts) + 1, " ".join(other))]
+        a, b = (shingles(t) for _, t in texts[-2:])
+        similar.append(len(a & b) / len(a | b))
+    assert sum(0.8 <= s < 0.85 for s in similar) > 15 and min(similar) < 0.8
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    gone = {2 * k + 1 for k, s in enumerate(similar) if s >= 0.8}
+    assert {r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()} == {i for i, _ in texts} - gone
+    assert {r.doc_id for r in minhash.near_duplicates(docs, link=85).where("not kept").collect()} == {2 * k + 1 for k, s in enumerate(similar) if s >= 0.85}
+    assert minhash.least_estimate(85) == 0.68 and minhash.least_estimate(80) in (0.6, 0.61)
+
+
 def test_test_tables(small):
     texts = [(r.doc_id, r.text) for r in small.collect()]
     assert rows_of(minhash.near_duplicates(small)) == expected(texts)
