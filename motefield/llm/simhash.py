@@ -94,13 +94,14 @@ def neighbour_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for rows in text_slices(batches):
             doc_ids += rows.column("doc_id").to_pylist()
             texts += rows.column("text").to_pylist()
-            head = head or texts[0]
+            if head is None:
+                head = texts[0]
             n = len(texts) - 1
             yield pa.RecordBatch.from_arrays([*compared(doc_ids, texts), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())], columns)
             doc_ids, texts = doc_ids[-1:], texts[-1:]
         if texts:
             blank = [pa.nulls(1, pa.int64()), *[pa.nulls(1, t) for t in (pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]]
-            edge = [pa.array([part], pa.int32()), pa.array([head or ""], pa.string()), pa.array(texts, pa.string())]
+            edge = [pa.array([part], pa.int32()), pa.array([head], pa.string()), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), *blank, *edge], columns)
 
     columns = [*NAMES, "part", "head", "tail"]

@@ -181,6 +181,16 @@ def test_neighbours_in_ranges(small, monkeypatch):
     assert np.mean([r.near_edited - r.near_next for r in got.values()]) > 0.3
 
 
+def test_ranges_of_several_slices_that_begin_with_no_text(spark):
+    """The last document is followed by the first one, whose text is empty, though the range has further slices."""
+    docs = [(9, None), *[(i, f"only {i} " + f"w{i} x{i} y{i} z{i} " * 60_000) for i in range(4)]]
+    got = {r.doc_id: r for r in simhash.neighbour_likeness(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()}
+    for i, (text, after, changed) in neighbour_rows([(i, t or "") for i, t in docs]).items():
+        a, b = simhash.fingerprints(pa.array([text, changed]))
+        assert got[i].edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
+        assert [got[i].fingerprint, got[i].edited_fingerprint] == simhash.hex_of(np.array([a, b]))
+
+
 def test_fingerprint_votes():
     """A bit is set where the term hashes that have it outweigh those that have not."""
     text = "a b c d e f a b c a b c"
