@@ -4,8 +4,8 @@ Every word is predicted from the two words on either side of it. A word is one o
 probability of the unit's class, and counts over the whole corpus give that of the unit within its class. The most
 frequent units are classes of their own, the others share classes of about equal weight.
 
-Training goes over all documents in every round. Each task starts from the shared parameters, learns from a masked part of
-the words of its documents, and hands in its change weighted by the words it saw; changes are averaged in Spark in two levels. A
+Training goes over all documents in every round, and every word is masked and learned in exactly one of the rounds. Each task starts
+from the shared parameters, learns from the round's words of its documents, and hands in its change weighted by the words it saw; changes are averaged in Spark in two levels. A
 document's score is the sum of the conditional log-probabilities of all its words.
 """
 
@@ -19,14 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motefield.llm.batches import id_and_text, text_bytes, text_slices, word_hashes
+from motefield.llm.batches import id_and_text, mixed, text_bytes, text_slices, word_hashes
 
 # Sizes of the network; all are fixed, so the parameters (2 MB) are safe to broadcast.
 UNITS, WIDTH, HIDDEN, SINGLE, SHARED = 1 << 15, 16, 32, 64, 64
 CLASSES = SINGLE + SHARED
 PLACES = (-2, -1, 1, 2)
-# Training: rounds over the corpus, part of the words masked in a round, words of a step, step size.
-ROUNDS, MASKED, STEP_WORDS, RATE, SEED = 2, 0.15, 4096, 0.1, 11
+# Training: rounds over the corpus, words of a step, step size.
+ROUNDS, STEP_WORDS, RATE, SEED = 2, 4096, 0.1, 11
 SCORED_WORDS = 16384
 # Parameters travel in so many pieces; changes of so many tasks meet first.
 PIECES, FAN_IN = 64, 64
@@ -70,6 +70,12 @@ def surroundings(units: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def targets(offsets: np.ndarray, turn: int) -> np.ndarray:
+    """Words to learn in a round, by a hash of the place in the text: each in one round, however rows fall into tasks and slices."""
+    place = np.arange(offsets[-1]) - np.repeat(offsets[:-1], np.diff(offsets))
+    return np.flatnonzero(mixed(place.astype(np.uint64) + np.uint64(SEED)) % np.uint64(ROUNDS) == turn)
+
+
 def unit_counts(docs: DataFrame) -> np.ndarray:
     """Occurrences of every unit in the whole corpus: ``UNITS`` numbers."""
 
@@ -186,7 +192,7 @@ def train(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             for rows in text_slices(batches):
                 units, offsets = units_of(rows.column("text"))
                 around = surroundings(units, offsets)
-                masked = rng.permutation(np.flatnonzero(rng.random(len(units)) < MASKED))
+                masked = rng.permutation(targets(offsets, turn))
                 for k in range(0, len(masked), STEP_WORDS):
                     some = masked[k : k + STEP_WORDS]
                     learn(own, squares, around[some], kinds[units[some]])

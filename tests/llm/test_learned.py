@@ -95,6 +95,18 @@ def test_model_prefers_text_in_order(spark, monkeypatch):
     assert (real.n_tokens == 80).all() and np.allclose(real.log_prob / 80, real.mean_log_prob, atol=1e-4)
 
 
+def test_every_word_is_learned_once(spark, monkeypatch):
+    """The rounds' targets are disjoint and cover all words; the weights of the changes count the words that were learned."""
+    learned, averaged = [], masked_lm.averaged
+    monkeypatch.setattr(masked_lm, "averaged", lambda changes: (learned.append(changes.where("piece = 0").agg(masked_lm.F.sum("weight")).first()[0]), averaged(changes))[1])
+    texts = [(i, " ".join(f"w{(i * k) % 50}" for k in range(i % 40))) for i in range(300)]
+    masked_lm.train(masked_lm.id_and_text(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)))
+    assert len(learned) == masked_lm.ROUNDS and sum(learned) == sum(len(t.split()) for _, t in texts)
+    offsets = np.array([0, 0, 1, 900, 900, 2000])
+    found = np.concatenate([masked_lm.targets(offsets, turn) for turn in range(masked_lm.ROUNDS)])
+    assert sorted(found.tolist()) == list(range(2000))
+
+
 def test_scores_are_sums_of_conditional_log_probabilities(spark):
     docs = spark.createDataFrame([(1, "a b c a b"), (2, "b"), (3, "a b c a b")], "doc_id long, text string")
     flat, kind, within = masked_lm.train(masked_lm.id_and_text(docs))
