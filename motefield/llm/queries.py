@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motefield.llm import bpe, decontaminate, html, masked_lm, minhash, records, secrets, simhash, toxicity, transducer
+from motefield.llm import bpe, decontaminate, html, masked_lm, minhash, phrases, records, runs, secrets, simhash, toxicity, transducer, url_filter
 from motefield.runtime import new_table_path
 
 QUERIES = {}
@@ -95,3 +95,65 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked_lm.pseudo_likelihood(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+# Fixed rules of the report: verdict, host, path.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+URL_SQL = r"""
+with parts as (select page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path, row_number() over () as i from pages),
+rules(verdict, h, p) as (values ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+hits as (select i, max_by(h || p, length(h || p)) as rule, max_by(verdict, length(h || p)) as verdict
+    from parts join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by i)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from parts left join hits using (i)
+"""
+
+
+@query
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_filter.rule_table(spark, URL_RULES))
+
+
+ORACLES["op11_url_filter"] = URL_SQL
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(spark.read.parquet(f"{sf_dir}/documents.parquet"), plant=runs.planted)
+
+
+PHRASE_SQL = r"""
+with d as (select coalesce(lang, 'und') as lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents where text is not null),
+pieces as (select lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) as x from d),
+w as (select lang, regexp_extract_all(x, '[^\x20\x09]+') as ws from pieces),
+total as (select lang, cast(sum(len(ws)) as bigint) as n from w group by lang),
+words as (select row_number() over () as i, lang, ws from w where len(ws) > 0),
+seq as materialized (select i, lang, unnest(ws) as word, generate_subscripts(ws, 1) as j from words),
+runs as (select lang, word, lead(word, 1) over p as w2, lead(word, 2) over p as w3, lead(word, 3) over p as w4, lead(word, 4) over p as w5
+    from seq window p as (partition by i order by j)),
+places as (select lang, 1 as k, word as p from runs union all select lang, 2, word || ' ' || w2 from runs where w2 is not null
+    union all select lang, 3, concat_ws(' ', word, w2, w3) from runs where w3 is not null
+    union all select lang, 4, concat_ws(' ', word, w2, w3, w4) from runs where w4 is not null
+    union all select lang, 5, concat_ws(' ', word, w2, w3, w4, w5) from runs where w5 is not null),
+f as materialized (select lang, k, string_split(p, ' ') as ws, p, count(*) as c from places group by all having count(*) >= 100),
+parts as (select lang, p, k, c as a, j, array_to_string(ws[1:j], ' ') as p1, array_to_string(ws[j+1:], ' ') as p2
+    from (select *, unnest(range(1, k)) as j from f where k > 1)),
+cuts as (select b.lang, b.p, b.a, b.j, l.c as l, r.c as r, t.n, cast(1000::hugeint * b.a * t.n // (l.c::hugeint * r.c) as bigint) as score
+    from parts b join f l on l.lang = b.lang and l.p = b.p1 join f r on r.lang = b.lang and r.p = b.p2 join total t on t.lang = b.lang),
+best as (select *, row_number() over (partition by lang, p order by score, j) as place from cuts),
+inner_parts as (select lang, array_to_string(ws[s:e], ' ') as p, max(c) as longer
+    from (select *, unnest(range(1, k)) as s from f where k > 2) cross join (select unnest([2, 3, 4, 5]) as e) where e <= k and e > s and e - s + 1 < k group by all),
+kept as (select b.lang, b.p as phrase, a, l, r, n, score from best b left join inner_parts i on i.lang = b.lang and i.p = b.p
+    where place = 1 and (longer is null or 100 * longer < 100 * a))
+select * from (select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from kept) where rank <= 2000
+"""
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLES["op13_collocations"] = PHRASE_SQL
