@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from motefield.catalog.common import rounded
 from motefield.catalog.registry import query
-from motefield.catalog.unit_queries import MOMENTS_SQL, SCALED, SPECTRAL_SQL, STATS_SQL, scaled_series
-from motefield.catalog.views import DEVICES, lines, packets, packet_layout, signal, signal_layout, table
+from motefield.catalog.unit_queries import MOMENTS_SQL, SCALED, SPECTRAL_SQL, SPLIT, STATS_SQL, scaled_series
+from motefield.catalog.views import DEVICES, SIGNAL, lines, packets, packet_layout, signal, signal_layout, table
 from motefield.functions.labels import binary_class, distance
 from motefield.operators import metrics, models, neighbours, recordings, splits, units
+from motefield.operators.kernel_svm import Candidate
 from motefield.plans import log_inference, robustness, unit_models
 from motefield.runtime import lookup_join, materialise, new_table_path, packed
 from motefield.series import measure
@@ -169,8 +170,8 @@ def fitted_query(make, target=binary_class):
 query("fit_logreg")(fitted_query(lambda train, n: models.logistic(n, 1.0, "weight").fit(train)))
 query("fit_random_forest")(fitted_query(lambda train, n: models.forest(300, 30, 2, weight="weight").fit(train)))
 query("fit_svm_linear")(fitted_query(lambda train, n: models.linear_svm(n, 1.0, "weight").fit(train)))
-query("fit_svm_rbf")(fitted_query(lambda train, n: models.rbf_svm(n, 1.0, "scale", "weight").fit(train)))
-query("fit_svm_poly")(fitted_query(lambda train, n: models.poly_svm(n, 1.0, 3, "weight").fit(train)))
+query("fit_svm_rbf")(fitted_query(lambda train, n: unit_models.calibrated_machine(train, Candidate(1.0, "scale"))))
+query("fit_svm_poly")(fitted_query(lambda train, n: unit_models.calibrated_machine(train, Candidate(1.0, "scale", "poly"))))
 query("fit_gbt")(fitted_query(lambda train, n: models.boosting(4, 0.1, 200).fit(train)))
 query("fit_trees_nobootstrap")(fitted_query(lambda train, n: models.forest(300, 30, 2, bootstrap=False).fit(train), distance))
 
@@ -209,15 +210,32 @@ def unit_embedding(spark, sf_dir):
     return rows.select("unit_id", "role", F.lit(emb.k_95).alias("k_95"), vector_to_array("features").alias("embedding"))
 
 
+TRAIN_UNITS = f"""units as (select distinct unit_id, recording_id, device, label from signal),
+train as (select u.device, u.label, u.unit_id, cast(u.label <> 'label_00' as int) as y from units u join split s on s.recording_id=u.recording_id and s.label=u.label where role='train')"""
+GRID_SQL = f"""with {SIGNAL}, {SPLIT}, {TRAIN_UNITS},
+strata as (select device, label, count(*) as n from train group by all),
+folds as (select device, least(5, max(n)) as folds from strata group by device),
+sums as (select device, count(*) as n_rows, sum(y) as n_positive from train group by device)
+select device, cast(c.i*5+g.i as int) as candidate, c.v as "C", g.v as gamma, cast(folds as bigint) as folds, n_rows, cast(n_positive as bigint) as n_positive
+from folds join sums using (device), (values (0,'0.5'),(1,'1.0'),(2,'5.0'),(3,'10.0')) c(i,v), (values (0,'scale'),(1,'auto'),(2,'0.01'),(3,'0.1'),(4,'1.0')) g(i,v)"""
+
+
+def searched(spark, sf_dir):
+    tuned = unit_models.tune_devices(unit_rows(spark, sf_dir), DEVICES)
+    named = [(i, str(c.cost), str(c.gamma)) for i, c in enumerate(unit_models.DEVICE_GRID)]
+    return tuned.scores.join(spark.createDataFrame(named, "candidate int, C string, gamma string"), "candidate")
+
+
 @query("grid_search")
 def grid_search(spark, sf_dir):
-    rows, _ = embedded_rows(spark, sf_dir)
-    train = rows.filter("role = 'train'")
-    n = train.count()
-    family = models.device_family(n, costs=(1.0, 5.0), gammas=("scale",))
-    fitted, _, _ = models.tune(train, family, models.positive_f1())
-    out = [(str(i), float(s)) for i, s in enumerate(fitted.avgMetrics)]
-    return spark.createDataFrame(out, "candidate string, cv_f1 double")
+    """Cross-validation score of all 20 candidates of every receiver."""
+    return searched(spark, sf_dir).select("device", "candidate", "C", "gamma", F.round("cv_f1", 6).alias("cv_f1"), "n_rows")
+
+
+@query("grid_search_sizes", GRID_SQL)
+def grid_search_sizes(spark, sf_dir):
+    """What can be said exactly of the same search: candidates, folds, scored rows, positive rows."""
+    return searched(spark, sf_dir).select("device", "candidate", "C", "gamma", "folds", "n_rows", "n_positive")
 
 
 @query("model_ranking")
@@ -238,9 +256,10 @@ def model_ranking(spark, sf_dir):
     return models.ranking(spark, found)
 
 
-def trained(spark, sf_dir, tuning=None):
+def trained(spark, sf_dir):
+    """All units, and the tuned and calibrated machine of every receiver."""
     t = unit_rows(spark, sf_dir)
-    return t, unit_models.train_devices(t, DEVICES, lambda n: models.logistic(n), "logistic", tuning)
+    return t, unit_models.tune_devices(t, DEVICES).artifacts
 
 
 @query("per_device_models")
@@ -250,14 +269,51 @@ def per_device_models(spark, sf_dir):
     return scored.select("unit_id", "device", F.col("label_class").alias("y_true"), "y_pred", F.round("score", 6).alias("score"))
 
 
-@query("pca_summary")
-def pca_summary(spark, sf_dir):
+@query("device_vote_metrics")
+def device_vote_metrics(spark, sf_dir):
+    """Test units by the tuned models of their receivers, voted per recording in two levels, and the report on the votes."""
     t, found = trained(spark, sf_dir)
+    voted = unit_models.group_votes(unit_models.score_units(t.side("test"), found), DEVICES)
+    return rounded(metrics.classification_report(materialise(voted), [0, 1]))
+
+
+@query("device_vote_supports", f"""with {SIGNAL}, {SPLIT}, test as (select recording_id, min(cast(label <> 'label_00' as int)) as y from split where role='test' group by 1)
+select cast(y as varchar) as name, count(*) as support from test group by y""")
+def device_vote_supports(spark, sf_dir):
+    """The exact part of ``device_vote_metrics``: how many voted recordings have each class."""
+    t, found = trained(spark, sf_dir)
+    voted = unit_models.group_votes(unit_models.score_units(t.side("test"), found), DEVICES)
+    return voted.groupBy(F.col("y_true").cast("string").alias("name")).agg(F.count("*").alias("support"))
+
+
+def squares_of_shares(names: list[str]) -> str:
+    """Sum of squared correlations over the square of their number: what squared shares of variance add up to."""
+    q = [sql_name(c) for c in names]
+    own = "+".join(f"case when stddev_pop({c})>1e-12 then 1 else 0 end" for c in q)
+    pairs = "+".join(f"coalesce(case when stddev_pop({a})>1e-12 and stddev_pop({b})>1e-12 then (covar_pop({a},{b})/stddev_pop({a})/stddev_pop({b}))**2 end,0)" for i, a in enumerate(q) for b in q[:i])
+    return f"(({own})+2*({pairs}))/(({own})::double*({own}))"
+
+
+def component_sizes(t):
     sizes = t.features.groupBy("device").agg(
         F.count_if(F.col("role") == "train").alias("n_train"), F.count_if(F.col("role") == "test").alias("n_test")
     )
-    ks = spark.createDataFrame([(d, a.bundle["k_95"]) for d, a in found.items()], "device string, k_95 int")
-    return sizes.join(ks, "device")
+    return sizes.join(unit_models.receiver_components(t), "device")
+
+
+@query("pca_summary")
+def pca_summary(spark, sf_dir):
+    return component_sizes(unit_rows(spark, sf_dir)).select("device", "n_train", "n_test", "k_95")
+
+
+@query("pca_shares", f"""with {FEATURES_SQL}, sizes as (select device, count(*) filter (role='train') as n_train, count(*) filter (role='test') as n_test from features group by device),
+shares as (select device, {squares_of_shares(NAMES)} as squares from features where role='train' group by device)
+select device, n_train, n_test, 1.0::double as share_sum, round(squares, 6) as share_squares from sizes join shares using (device)""")
+def pca_shares(spark, sf_dir):
+    """What can be said exactly of the components of every receiver: their shares add up to 1, the squares to those of the correlations."""
+    add = lambda f: F.aggregate("evr", F.lit(0.0), f)
+    rows = component_sizes(unit_rows(spark, sf_dir))
+    return rounded(rows.select("device", "n_train", "n_test", add(lambda a, v: a + v).alias("share_sum"), add(lambda a, v: a + v * v).alias("share_squares")))
 
 
 def saved(spark, sf_dir):
@@ -274,6 +330,15 @@ def artifact_bundle(spark, sf_dir):
     return artifacts.load_bundles(spark, root)
 
 
+@query("artifact_bounds", f"with {FEATURES_SQL}, {LIMITS} " + " union all ".join(
+    f"select device as esp_id, '{c}' as feature, round(lo_{c},6) as low, round(hi_{c},6) as high, 5 as median_width from limits" for c in NAMES))
+def artifact_bounds(spark, sf_dir):
+    """The exact part of the bundles: feature bounds as they are read back."""
+    rows = artifact_bundle(spark, sf_dir)
+    each = rows.select("esp_id", "median_width", F.explode(F.arrays_zip("feature_cols", "feature_min", "feature_max")).alias("e"))
+    return rounded(each.select("esp_id", F.col("e.feature_cols").alias("feature"), F.col("e.feature_min").alias("low"), F.col("e.feature_max").alias("high"), "median_width"))
+
+
 @query("bundle_roundtrip")
 def bundle_roundtrip(spark, sf_dir):
     """Predictions of the loaded models on all units."""
@@ -285,7 +350,14 @@ def bundle_roundtrip(spark, sf_dir):
 @query("inference_report")
 def inference_report(spark, sf_dir):
     t, found = trained(spark, sf_dir)
-    return unit_models.inference_report(unit_models.score_units(t.features, found))
+    return unit_models.json_records(unit_models.inference_report(unit_models.score_units(t.features, found)))
+
+
+@query("inference_units", f"with {SIGNAL} select cast(unit_id as varchar) as data_file, count(*) as n_packets, 'svm' as model_type from signal group by unit_id")
+def inference_units(spark, sf_dir):
+    """The exact part of the records of ``inference_report``."""
+    t, found = trained(spark, sf_dir)
+    return unit_models.inference_report(unit_models.score_units(t.features, found)).select("data_file", "n_packets", "model_type")
 
 
 @query("batch_inference")
@@ -295,7 +367,7 @@ def batch_inference(spark, sf_dir):
     signals, rejected = log_inference.unit_signals(log_inference.log_packets(logs))
     signals = materialise(signals)
     t = unit_models.unit_table(signals, measure(signals, ["unit_id"]), binary_class)
-    found = unit_models.train_devices(t, DEVICES, lambda n: models.logistic(n), "logistic")
+    found = unit_models.tune_devices(t, DEVICES).artifacts
     scored = unit_models.score_units(t.features, found)
     return log_inference.recording_votes(scored, rejected, logs, DEVICES)
 

@@ -19,7 +19,7 @@ from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import Evaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, ElementwiseProduct, PolynomialExpansion, StandardScaler, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import ElementwiseProduct, PolynomialExpansion, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -29,6 +29,8 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from motefield.operators import gram
+from motefield.operators.gram import first_reaching as first_reaching
 from motefield.operators.windows import feature_scope
 
 # --- exact transforms ---------------------------------------------------------------------
@@ -125,13 +127,6 @@ class Embedding:
     k_95: int
 
 
-def first_reaching(shares: list[float], target: float = 0.95) -> int:
-    """How many leading shares add up to ``target``."""
-    total = np.cumsum(shares)
-    reached = np.flatnonzero(total >= target - 1e-12)
-    return int(reached[0]) + 1 if len(reached) else len(shares)
-
-
 def population_scaler(source: str, target: str, n: int, width: int) -> list:
     """Stages that standardise by the population deviation of ``n`` rows.
 
@@ -145,19 +140,14 @@ def population_scaler(source: str, target: str, n: int, width: int) -> list:
 
 
 def fit_embedding(train: DataFrame, columns: list[str]) -> Embedding:
-    """Standardise by the population deviation, PCA, keep the components up to 95 % variance."""
-    assembler = VectorAssembler(inputCols=columns, outputCol="_raw")
-    scaled = Pipeline(stages=[assembler, *population_scaler("_raw", "_z", train.count(), len(columns))]).fit(train)
-    pca = PCA(k=len(columns), inputCol="_z", outputCol="_pca").fit(scaled.transform(train))
-    shares = [float(v) for v in pca.explainedVariance.toArray()]
-    k = first_reaching(shares)
-    cut = VectorSlicer(inputCol="_pca", outputCol="features", indices=list(range(k)))
-    return Embedding(PipelineModel([*scaled.stages, pca, cut]), shares, pca.pc.toArray(), k)
+    """Standardise by the population deviation, principal components, keep those up to 95 % variance; one pass over the rows."""
+    row = gram.component_table(gram.gram_table(train.withColumn("_all", F.lit("")), "_all", columns), "_all", len(columns)).first()
+    return Embedding(PipelineModel([gram.projection(columns, row)]), list(row["evr"]), np.array(row["loadings"]).T, row["k_95"])
 
 
 def embed(df: DataFrame, embedding: Embedding | PipelineModel) -> DataFrame:
     model = embedding.pipeline if isinstance(embedding, Embedding) else embedding
-    return model.transform(df).drop("_raw", "_std", "_z", "_pca")
+    return model.transform(df)
 
 
 def variance_table(spark: SparkSession, shares: list[float]) -> DataFrame:

@@ -5,14 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motefield.functions.labels import class_name
-from motefield.operators import models, splits, units
+from motefield.operators import gram, kernel_svm, models, splits, units, votes
 from motefield.operators.filters import median_filter
 from motefield.ranking import summarise
-from motefield.runtime import materialise, packed
+from motefield.runtime import lookup_join, materialise
 from motefield.series import SeriesLayout
 from motefield.sources.artifacts import Artifact
 
@@ -58,66 +59,91 @@ def clipped(rows: DataFrame, bundle: dict) -> DataFrame:
     return models.clip_to_bounds(rows.withColumns({"feature_min": low, "feature_max": high}), bundle["feature_cols"])
 
 
-def device_bundle(table: UnitTable, device: str) -> dict:
-    limits = models.column_bounds(table.side("train", device), units.UNIT_FEATURES, ["device"]).first()
-    scale = table.bounds.filter(F.col("device") == device).first()
-    if limits is None or scale is None:
-        raise ValueError(f"no train units of {device}")
-    return {
-        "esp_id": device,
-        "median_width": table.median_width,
-        "global_min": scale["global_min"],
-        "global_max": scale["global_max"],
-        "feature_cols": list(units.UNIT_FEATURES),
-        "feature_min": list(limits["feature_min"]),
-        "feature_max": list(limits["feature_max"]),
-    }
-
-
 def embedded(rows: DataFrame, artifact: Artifact) -> DataFrame:
     return models.embed(clipped(rows, artifact.bundle), artifact.embedding)
 
 
-def train_device(table: UnitTable, device: str, make_model, name: str, tuning=None) -> Artifact:
-    """Fit embedding and classifier of one receiver on its train units.
+FOLDS = 5
+# Costs and kernel widths of the grid per receiver.
+DEVICE_GRID = kernel_svm.grid((0.5, 1.0, 5.0, 10.0), ("scale", "auto", 0.01, 0.1, 1.0))
 
-    ``make_model(n)`` gives the estimator; with ``tuning(n)`` a model family is searched over
-    five folds of units instead.
-    """
-    bundle = device_bundle(table, device)
-    train = clipped(table.side("train", device), bundle)
-    train = packed(train, train.count())
-    embedding = models.fit_embedding(train, units.UNIT_FEATURES)
-    ready = materialise(
-        models.embed(train, embedding).select(*UNIT, "features", F.col("y").alias("label_y")).withColumnRenamed("label", "label_name")
-        .withColumnRenamed("label_y", "label")
-    )
-    n = ready.count()
-    ready = packed(ready, n)
-    score, params = None, {}
-    if tuning is None:
-        fitted = make_model(n).fit(ready)
-    else:
-        folds = splits.fold_table(ready, "unit_id", ["label_name"])
-        folded = packed(materialise(ready.join(folds, ["unit_id", "label_name"])), n)
-        best, score, params = models.tune(folded, tuning(n), models.positive_f1())
-        fitted = best.bestModel
-    if not isinstance(fitted, PipelineModel):
-        fitted = PipelineModel([fitted])
-    metadata = {
-        "model": name, "selection": "grid search per receiver" if tuning else "fixed", "esp_id": device,
-        "best_params": params, "best_cv_score_f1": score, "split": SPLIT_NOTE,
-    }
-    return Artifact({**bundle, "k_95": embedding.k_95, "model_type": name}, embedding.pipeline, fitted, metadata)
+
+def calibrated_machine(rows: DataFrame, candidate: kernel_svm.Candidate, folds: int = FOLDS) -> PipelineModel:
+    """One kernel machine over a feature table (``unit_id, features, label, fold``, perhaps ``weight``), calibrated by the margins of unseen folds."""
+    features = vector_to_array("features") if dict(rows.dtypes)["features"] == "vector" else F.col("features")
+    table = rows.withColumns({"key": F.lit("all"), "row_id": F.col("unit_id").cast("string"), "features": features})
+    made = kernel_svm.fit_machines(table, "key", [candidate], list(range(folds)))
+    margins = kernel_svm.fold_margins(table.select("key", "row_id", "label", "fold", "features"), "key", made, [candidate])
+    sigmoid = kernel_svm.calibrate(materialise(margins.select("key", "label", F.get("unseen", F.lit(0)).alias("margin"))), "key")["all"]
+    return PipelineModel([kernel_svm.chosen_machine(made["all"], [candidate], 0, sigmoid)])
+
+
+@dataclass
+class TunedDevices:
+    """What one search over all receivers gives: models, scores of all candidates, and margins of unseen train units."""
+
+    artifacts: dict[str, Artifact]
+    components: DataFrame
+    scores: DataFrame
+    margins: DataFrame
 
 
-def train_devices(table: UnitTable, devices: list[str], make_model, name: str, tuning=None) -> dict[str, Artifact]:
-    fits = [lambda d=d: train_device(table, d, make_model, name, tuning) for d in devices]
-    return dict(zip(devices, models.run_parallel(fits, len(devices))))
+def receiver_components(table: UnitTable) -> DataFrame:
+    """Bounds, scaling and components of the train units of every receiver, from one grouped pass."""
+    grams = gram.gram_table(table.side("train"), "device", units.UNIT_FEATURES)
+    return materialise(gram.component_table(grams, "device", len(units.UNIT_FEATURES)))
+
+
+def receiver_rows(rows: DataFrame, components: DataFrame) -> DataFrame:
+    """Units clipped to the bounds of their receiver and projected on its components, as ``features`` (array)."""
+    fit = components.select("device", F.struct("low", "high", "mean", "scale", "loadings", "k_95").alias("_fit"))
+    values = gram.clipped_values(units.UNIT_FEATURES, F.col("_fit.low"), F.col("_fit.high"))
+    features = gram.projected(values, F.col("_fit.mean"), F.col("_fit.scale"), F.col("_fit.loadings"), F.col("_fit.k_95"))
+    return lookup_join(rows, fit, ["device"]).withColumn("features", features).drop("_fit")
+
+
+def tune_devices(table: UnitTable, devices: list[str], candidates: list[kernel_svm.Candidate] = DEVICE_GRID, folds: int = FOLDS) -> TunedDevices:
+    """A tuned and calibrated kernel machine for every receiver.
+
+    All receivers, candidates and folds are fitted together; scores and calibration come from one scan of the margins of
+    unseen units. The number of jobs does not depend on the number of receivers, candidates or folds.
+    """
+    components = receiver_components(table)
+    train = receiver_rows(table.side("train"), components).filter(F.col("device").isin(devices))
+    train = train.select("device", F.col("unit_id").alias("row_id"), F.col("label").alias("label_name"), F.col("y").alias("label"), "features")
+    dealt = splits.fold_table(train, "row_id", ["device", "label_name"], folds)
+    rows = materialise(train.join(dealt, ["row_id", "device", "label_name"]))
+    made = kernel_svm.fit_machines(rows, "device", candidates, list(range(folds)))
+    margins = materialise(kernel_svm.fold_margins(rows, "device", made, candidates))
+    scores = materialise(kernel_svm.grid_scores(margins, "device"))
+    best = kernel_svm.best_candidates(scores, "device")
+    place = F.create_map(*[F.lit(v) for d, (c, _) in best.items() for v in (d, c)])[F.col("device")]
+    sigmoids = kernel_svm.calibrate(margins.withColumn("margin", F.get("unseen", place)), "device")
+    scales = {r["device"]: r for r in table.bounds.collect()}
+    artifacts = {}
+    for row in components.filter(F.col("device").isin(devices)).collect():
+        device = row["device"]
+        candidate, score = best[device]
+        bundle = {
+            "esp_id": device, "median_width": table.median_width, "global_min": scales[device]["global_min"], "global_max": scales[device]["global_max"],
+            "feature_cols": list(units.UNIT_FEATURES), "feature_min": list(row["low"]), "feature_max": list(row["high"]), "k_95": row["k_95"], "model_type": "svm",
+        }
+        metadata = {
+            "model": "svm", "selection": "grid search per receiver", "esp_id": device, "best_params": candidates[candidate].name(), "best_cv_score_f1": score, "split": SPLIT_NOTE,
+        }
+        model = PipelineModel([kernel_svm.chosen_machine(made[device], candidates, candidate, sigmoids[device])])
+        artifacts[device] = Artifact(bundle, PipelineModel([gram.projection(units.UNIT_FEATURES, row)]), model, metadata)
+    missing = sorted(set(devices) - set(artifacts))
+    if missing:
+        raise ValueError(f"no train units of {missing}")
+    return TunedDevices({d: artifacts[d] for d in devices}, components, scores, margins)
 
 
 def score_units(rows: DataFrame, artifacts: dict[str, Artifact]) -> DataFrame:
-    """Predictions of every unit by the model of its receiver."""
+    """Predictions of every unit by the model of its receiver; units of a receiver without a model are an error."""
+    missing = [r["device"] for r in rows.filter(~F.col("device").isin(list(artifacts))).select("device").distinct().limit(5).collect()]
+    if missing:
+        raise ValueError(f"no model for units of {missing}")
     out = None
     for device, artifact in artifacts.items():
         ready = embedded(rows.filter(F.col("device") == device), artifact).withColumnRenamed("label", "label_name")
@@ -162,3 +188,11 @@ def multiclass_report(scored: DataFrame, names: dict[int, str], unit: str = "uni
 def json_records(report: DataFrame) -> DataFrame:
     return report.select("data_file", F.to_json(F.struct(*report.columns)).alias("record"))
 
+
+
+def group_votes(scored: DataFrame, devices: list[str], group: str = "recording_id") -> DataFrame:
+    """Unit predictions to a vote of every receiver, then of the group, next to the true class of the group."""
+    votes.assert_single_truth(scored, group, "label_class")
+    voted = votes.vote_binary(scored, group, devices, "y_pred")
+    truth = scored.groupBy(group).agg(F.max("label_class").alias("y_true"))
+    return voted.join(truth, group).withColumnRenamed("pred", "y_pred")
