@@ -216,7 +216,7 @@ def text_of(page: Page, roots: set[int]) -> str:
         inside += step * (number in roots)
         drops += step * page.dropped[number]
     flush()
-    return "\n".join(blocks)
+    return "\n\n".join(blocks)
 
 
 def votes(html: str) -> dict[str, float]:

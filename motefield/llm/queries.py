@@ -38,10 +38,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out.write.option("compression", "zstd").parquet(path)
     prints = spark.read.schema(out.schema).parquet(path)
     counted = prints.groupBy("fingerprint").agg(F.count("*").alias("n"))
-    asked = prints.where("doc_id % 100 = 0").select("doc_id", F.col("fingerprint").alias("query"))
-    found = simhash.within_radius(prints.where("doc_id % 100 = 0"), counted).join(counted, "fingerprint").groupBy("query").agg(F.sum("n").alias("n"))
-    near = asked.join(found, "query").select("doc_id", (F.col("n") - 1).alias("n_near"))
-    return prints.join(near, "doc_id", "left")
+    asked = prints.where("doc_id % 100 = 0")
+    found = simhash.within_radius(asked, counted).join(counted, "fingerprint").groupBy("query").agg((F.sum("n") - 1).alias("n_near"))
+    near = asked.join(found.withColumnRenamed("query", "fingerprint"), "fingerprint").select(*prints.columns, "n_near")
+    return prints.where("doc_id % 100 <> 0 or doc_id is null").withColumn("n_near", F.lit(None).cast("long")).unionByName(near)
 
 
 @query

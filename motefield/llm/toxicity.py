@@ -169,23 +169,29 @@ def fit(toxic: np.ndarray, rows: list[np.ndarray], n_features: int, prior: float
     return weights[:-1], float(weights[-1])
 
 
+# Bias of a model that has learned nothing.
+CLEAN = -10.0
+
+
 def train(docs: DataFrame, labels: DataFrame, use=lambda doc_id: ~is_held_out(doc_id)) -> tuple[list[str], np.ndarray, float]:
     """Feature names, weights and bias learned from the rows that ``use`` admits.
 
-    ``docs`` holds ``doc_id, text``, ``labels`` holds ``doc_id, toxic``. Without a toxic row there is nothing to learn: no features, and a
-    bias that calls everything clean.
+    ``docs`` holds ``doc_id, text``, ``labels`` holds ``doc_id, toxic``. Without a toxic row, or without a feature that tells toxic rows, there is nothing to
+    learn: no features, and a bias that calls everything clean.
     """
     sample, prior = sample_of(docs, labels, use)
     sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
     if not n_p or not n_u or prior <= 0:
-        return [], np.zeros(0), -10.0
+        return [], np.zeros(0), CLEAN
     p, u = F.col("p") / n_p, F.col("u") / n_u
     spread = F.sqrt((p * (1 - p) + 1 / n_p) / n_p + (u * (1 - u) + 1 / n_u) / n_u)
     z = F.round((p - u) / spread, 6)
     telling = feature_counts(sample).where((F.col("p") >= max(LEAST_ROWS, LEAST_PART * n_p)) & (prior * p >= LEAST_PURITY * u) & (z >= LEAST_ERRORS))
     best = telling.select("feature", z.alias("z")).orderBy(F.desc("z"), "feature").limit(FEATURES)
     names = [r.feature for r in best.collect()]
+    if not names:
+        return [], np.zeros(0), CLEAN
     weights, bias = fit(*design(sample, names), len(names), prior)
     return names, weights, bias
 

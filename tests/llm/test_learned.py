@@ -133,6 +133,13 @@ def test_odd_model_rows(odd, none, odd_texts):
     assert masked_lm.pseudo_likelihood(none).count() == 0
 
 
+def test_toxicity_without_a_telling_feature_rejects_nothing(spark):
+    docs = spark.createDataFrame([(1, "some words"), (2, "other words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.reject_toxic(docs, labels).count() == 2
+    assert all(r.score < 0.5 and r.predicted == 0 for r in toxicity.toxicity(docs, labels).collect())
+
+
 def test_pipeline_stages_by_their_decisions(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -143,7 +150,7 @@ def test_pipeline_stages_by_their_decisions(spark):
         corpus_pipeline.STAGES,
         [
             lambda d: {r.doc_id for r in toxicity.toxicity(d, labels).where("predicted = 0").collect()},
-            lambda d: {r.doc_id for r in minhash.near_duplicates(d).where("kept").collect()},
+            lambda d: {r.doc_id for r in minhash.near_duplicates(d, link=corpus_pipeline.NEAR).where("kept").collect()},
             lambda d: {r.doc_id for r in decontaminate.contamination(d, items).where("not contaminated").collect()},
             lambda d: {r.doc_id for r in d.collect()},
         ],

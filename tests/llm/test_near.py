@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from motefield.llm import minhash, simhash
+from motefield.llm import minhash, queries, simhash
 from motefield.llm import components as graph
 from motefield.llm.components import components
 
@@ -223,3 +223,11 @@ def test_odd_fingerprints(odd, none, odd_texts):
     assert simhash.neighbour_likeness(none).count() == 0
     alone = simhash.neighbour_likeness(odd.where("doc_id = 9").limit(1)).first()
     assert alone.near_next == 1.0
+
+
+def test_search_of_the_report_with_repeated_ids(spark, tmp_path):
+    """One row for each row of the table; every asked row is told all other rows near it."""
+    rows = [(100, "a b c d"), (100, "a b c d"), (100, "w x y z"), (7, "a b c d"), (200, None), (None, "a b c d")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op3_simhash(spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.n_near) for r in got), key=repr) == sorted([(100, 3), (100, 3), (100, 0), (7, None), (200, 0), (None, None)], key=repr)

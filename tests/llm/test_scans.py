@@ -128,7 +128,7 @@ def test_pages_of_one_template(spark):
     for i in range(12):
         body = f"<h1>Title &amp; {i}</h1><p>First   <b>para</b>graph\n of page {i}, with some text in it.<p>Second &lt;one&gt;<br>of page {i}<ul><li>a {i}<li>b</ul>"
         rows.append((i, f"http://host{i % 2}.example/{i}", PAGE % (i, body)))
-        want[i] = f"Title & {i}\nFirst paragraph of page {i}, with some text in it.\nSecond <one> of page {i}\na {i}\nb"
+        want[i] = f"Title & {i}\n\nFirst paragraph of page {i}, with some text in it.\n\nSecond <one> of page {i}\n\na {i}\n\nb"
     rows.append((50, "http://host0.example/short", PAGE % (50, "<p>Hi.</p>")))
     want[50] = "Hi."
     got = {r.page_id: r for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
@@ -153,4 +153,4 @@ def test_pages_of_the_test_tables(spark):
     for r in rows.collect():
         body = re.search("<article>(.*?)</article>", r.html, re.S)[1].replace("<br>", " ")
         blocks = [" ".join(unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("</?(?:p|h1)>", body)]
-        assert got[r.page_id] == "\n".join(b for b in blocks if b)
+        assert got[r.page_id] == "\n\n".join(b for b in blocks if b)
