@@ -30,7 +30,7 @@ GAPS, BREAKS = b"\x20\x09", b".,;:!?\n\x0b\x0c\r"
 IS_GAP, IS_BREAK = (byte_map(marked=m)[1] for m in (GAPS + BREAKS, BREAKS))
 # Pointers of one task of the sort, and the share of them from which on a pair is routed by all its words.
 TASK_POINTERS, HOT_SHARE = 500_000, 500
-# Rows that a task merges before it sends them.
+# Rows that a task holds before it merges them; it sends them once more than half of them are distinct.
 MERGED_ROWS = 1 << 20
 FILTER_BITS_EACH, FILTER_BITS_MOST = 16, 1 << 27
 SALTS = 64
@@ -161,13 +161,15 @@ def pair_counts(texts: DataFrame, seed: int, frequent) -> DataFrame:
     return texts.mapInArrow(count, "p long, c long").groupBy("p").agg(F.sum("c").alias("n"))
 
 
-def merged(pointers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows and how often each occurs."""
-    if not len(pointers):
-        return pointers, np.zeros(0, dtype=np.int64)
-    rows = pointers[np.lexsort(pointers.T[::-1])]
+def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of several tables and the sum of their weights."""
+    rows, weight = (np.concatenate(c) for c in zip(*held)) if held else (np.zeros((0, WORDS), np.uint64), np.zeros(0, np.int64))
+    if not len(rows):
+        return rows, weight
+    order = np.lexsort(rows.T[::-1])
+    rows = rows[order]
     first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]))
-    return rows[first], np.diff(np.append(first, len(rows)))
+    return rows[first], np.add.reduceat(weight[order], first)
 
 
 POINTER = "w0 long, w1 long, w2 long, w3 long, w4 long, weight long, route long, split boolean"
@@ -177,11 +179,9 @@ def suffix_pointers(texts: DataFrame, seed: int, frequent, pairs, hot) -> DataFr
     """The words from every place on where a frequent pair begins, as far as pairs stay frequent; equal ones of a task are merged."""
 
     def point(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def sent():
-            rows, weight = merged(np.concatenate(held) if held else np.zeros((0, WORDS), np.uint64))
-            held.clear()
+        def sent(rows, weight):
             lead = pair_hashes(rows[:, 0], rows[:, 1])
             split, whole = passes(hot.value, lead), lead
             for k in range(2, WORDS):
@@ -204,10 +204,12 @@ def suffix_pointers(texts: DataFrame, seed: int, frequent, pairs, hot) -> DataFr
             for k in range(1, WORDS):
                 goes &= pair[at + k - 1]
                 out[:, k] = np.where(goes, padded[at + k], 0)
-            held.append(out)
-            if sum(map(len, held)) > MERGED_ROWS:
-                yield sent()
-        yield sent()
+            held.append((out, np.ones(len(out), dtype=np.int64)))
+            if sum(len(r) for r, _ in held) > MERGED_ROWS:
+                held[:] = [merged(held)]
+                if len(held[0][0]) > MERGED_ROWS // 2:
+                    yield sent(*held.pop())
+        yield sent(*merged(held))
 
     return texts.mapInArrow(point, POINTER)
 
