@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from motefield.catalog.common import rounded
+from motefield.catalog.common import rounded, sql_split
 from motefield.catalog.registry import query
 from motefield.catalog.unit_queries import MOMENTS_SQL, SCALED, SPECTRAL_SQL, SPLIT, STATS_SQL, scaled_series
+from motefield.catalog.window_queries import SEGMENTS
 from motefield.catalog.views import DEVICES, SIGNAL, lines, packets, packet_layout, signal, signal_layout, table
 from motefield.functions.labels import binary_class, distance
-from motefield.operators import metrics, models, neighbours, recordings, splits, units
+from motefield.operators import batched, kernel_svm, metrics, models, neighbours, recordings, splits, trees, units
 from motefield.operators.kernel_svm import Candidate
 from motefield.plans import log_inference, robustness, unit_models
 from motefield.runtime import lookup_join, materialise, new_table_path, packed
@@ -173,7 +176,23 @@ query("fit_svm_linear")(fitted_query(lambda train, n: models.linear_svm(n, 1.0,
 query("fit_svm_rbf")(fitted_query(lambda train, n: unit_models.calibrated_machine(train, Candidate(1.0, "scale"))))
 query("fit_svm_poly")(fitted_query(lambda train, n: unit_models.calibrated_machine(train, Candidate(1.0, "scale", "poly"))))
 query("fit_gbt")(fitted_query(lambda train, n: models.boosting(4, 0.1, 200).fit(train)))
-query("fit_trees_nobootstrap")(fitted_query(lambda train, n: models.forest(300, 30, 2, bootstrap=False).fit(train), distance))
+
+
+def grown_query(grow, target=distance):
+    """Trees grown on the train units, and their classes and scores of the test units."""
+
+    def run(spark, sf_dir):
+        rows, _ = embedded_rows(spark, sf_dir, target)
+        table = rows.select("unit_id", "role", "label_class", F.col("label").cast("int").alias("label"), vector_to_array("features").alias("features"))
+        model = grow(table.filter("role = 'train'"))
+        scored = trees.with_predictions(table.filter("role = 'test'").select("unit_id", "label_class", "features"), model.scores)
+        return scored.select("unit_id", F.col("label_class").alias("y_true"), "y_pred", F.round("score", 6).alias("score"))
+
+    return run
+
+
+query("fit_trees_nobootstrap")(grown_query(lambda train: trees.fit_extra_trees(train, 4, 300, leaf=2)))
+query("fit_boosting_multiclass")(grown_query(lambda train: trees.fit_boosting(train, 4, 4, 0.1, 40, 3.0)))
 
 
 @query("pca_evr")
@@ -204,8 +223,6 @@ def pca_importance(spark, sf_dir):
 
 @query("unit_embedding")
 def unit_embedding(spark, sf_dir):
-    from pyspark.ml.functions import vector_to_array
-
     rows, emb = embedded_rows(spark, sf_dir)
     return rows.select("unit_id", "role", F.lit(emb.k_95).alias("k_95"), vector_to_array("features").alias("embedding"))
 
@@ -238,22 +255,72 @@ def grid_search_sizes(spark, sf_dir):
     return searched(spark, sf_dir).select("device", "candidate", "C", "gamma", "folds", "n_rows", "n_positive")
 
 
+RANKED = {
+    "logistic": (0.1, 1.0, 10.0),
+    "svm": kernel_svm.grid((0.5, 1.0, 5.0), ("scale", "auto"), ("linear", "rbf")),
+}  # fmt: skip  # fixed values: costs, widths and kernels of the compared spaces
+
+
+def fold_f1(scored, folds: str = "fold"):
+    """Mean over the folds of the F1 of the positive class, for every model (``said``, ``label``)."""
+    sums = scored.groupBy("model", "candidate", folds).agg(
+        F.count_if(F.col("said") & (F.col("label") > 0)).alias("hits"), F.count_if("said").alias("said"), F.count_if(F.col("label") > 0).alias("real")
+    )
+    f1 = F.when(F.col("said") + F.col("real") > 0, 2 * F.col("hits") / (F.col("said") + F.col("real"))).otherwise(0.0)
+    return sums.groupBy("model", "candidate").agg(F.avg(f1).alias("f1"))
+
+
+def ranked_families(spark, sf_dir):
+    """Scores of unseen rows by every candidate of the linear and the kernel family: by folds on the train side, and on the test side."""
+    rows, _ = embedded_rows(spark, sf_dir)
+    table = materialise(rows.select(
+        F.lit("all").alias("key"), F.col("unit_id").cast("string").alias("row_id"), "role", "fold", "label", vector_to_array("features").alias("features")
+    ))
+    train = F.col("role") == "train"
+    used = table.withColumn("uses", batched.fold_uses(5, "fold", train))
+    width = len(table.select("features").first()[0])
+    fits = [batched.Fit(c, s) for c in RANKED["logistic"] for s in range(6)]
+    known = batched.split_statistics(used, 6, width)
+    weights = batched.fit_logistic(used, fits, known, balanced=False)
+    linear = batched.unseen_scores(used, fits, weights, known, ["row_id", "role", "fold", "label"]).select(
+        F.lit("logistic").alias("model"), F.floor(F.col("fit") / 6).cast("int").alias("candidate"), (F.col("fit") % 6).alias("split"),
+        "role", "fold", "label", (F.col("score") > 0.5).alias("said"),
+    )
+    linear = linear.where(((F.col("role") == "train") & (F.col("split") == F.col("fold"))) | ((F.col("role") == "test") & (F.col("split") == 5)))
+    grid = RANKED["svm"]
+    made = kernel_svm.fit_machines(table.where(train), "key", grid, [0, 1, 2, 3, 4])
+    asked = table.withColumn("fold", F.when(train, F.col("fold")).otherwise(kernel_svm.ALL_ROWS))
+    kernel = kernel_svm.fold_margins(asked.select("key", "role", "fold", "label", "features"), "key", made, grid)
+    kernel = kernel.select("role", "fold", "label", F.posexplode("unseen").alias("candidate", "margin")).select(
+        F.lit("svm").alias("model"), "candidate", "role", "fold", "label", (F.col("margin") > 0).alias("said")
+    )
+    return linear.drop("split").unionByName(kernel)
+
+
 @query("model_ranking")
 def model_ranking(spark, sf_dir):
-    rows, _ = embedded_rows(spark, sf_dir, distance)
-    train, test = rows.filter("role = 'train'"), rows.filter("role = 'test'")
-    n = train.count()
-    logistic, forest = models.logistic(n), models.forest(20, 6, 2)
-    families = [
-        models.Family("logistic", logistic, [(logistic.regParam, [models.strength(c, n) for c in (0.1, 1.0)])]),
-        models.Family("forest", forest, [(forest.maxDepth, [4, 6])]),
-    ]
-    score = models.MacroF1()
-    found = []
-    for family in families:
-        fitted, best, _ = models.tune(train, family, score)
-        found.append((family.name, best, score.evaluate(fitted.transform(test))))
-    return models.ranking(spark, found)
+    """Families by the cross-validation F1 of their best candidate, with its F1 on the test units."""
+    scored = materialise(ranked_families(spark, sf_dir))
+    cv = fold_f1(scored.where("role = 'train'")).withColumnRenamed("f1", "cv_score")
+    test = fold_f1(scored.where("role = 'test'").withColumn("fold", F.lit(0))).withColumnRenamed("f1", "test_score")
+    best = cv.groupBy("model").agg(F.max_by("candidate", F.struct("cv_score", -F.col("candidate"))).alias("candidate"), F.max("cv_score").alias("cv_score"))
+    table = best.join(test, ["model", "candidate"])
+    return rounded(table.withColumn("place", F.row_number().over(Window.orderBy(F.desc("cv_score"), "model"))))
+
+
+RANKING_SQL = f"""with {SIGNAL}, {SPLIT}, units as (select distinct unit_id, recording_id, device, label from signal),
+u as (select role, cast(u.label <> 'label_00' as int) as y from units u join split s on s.recording_id=u.recording_id and s.label=u.label),
+sizes as (select role, count(*) as n_rows, cast(sum(y) as bigint) as n_positive from u group by 1)
+select model, cast(candidate as int) as candidate, role, n_rows, n_positive from sizes,
+ (select 'logistic' as model, unnest(range(3)) as candidate union all select 'svm', unnest(range(12)))"""
+
+
+@query("model_ranking_sizes", RANKING_SQL)
+def model_ranking_sizes(spark, sf_dir):
+    """The exact part of ``model_ranking``: every candidate is scored once on every unit, by a model that has not seen it."""
+    return ranked_families(spark, sf_dir).groupBy("model", "candidate", "role").agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("label") > 0).alias("n_positive")
+    )
 
 
 def trained(spark, sf_dir):
@@ -378,7 +445,7 @@ def window_packets(spark, sf_dir):
 
 @query("importance_mass")
 def importance_mass(spark, sf_dir):
-    return robustness.importance_mass(window_packets(spark, sf_dir), WIDTH, DEVICES, robustness.CONFIGS["smooth_zscore"], 40)
+    return robustness.importance_mass(window_packets(spark, sf_dir), WIDTH, DEVICES)
 
 
 @query("robustness_grid")
@@ -386,6 +453,26 @@ def robustness_grid(spark, sf_dir):
     return robustness.robustness_grid(window_packets(spark, sf_dir), WIDTH, DEVICES)
 
 
+SIZES_SQL = f"""with {SEGMENTS}, windows as (select distinct recording_id, segment, 'id_person_0'||(1+(recording_id//4)%4) as person_id, cast(recording_id%4>0 as int) as y from seg),
+{sql_split('windows', 'recording_id', None, 'rs', '0.3')}, {sql_split('windows', 'person_id', None, 'ps', '0.3')},
+sides as (select 'recording_id' as split, role='train' as used, y from windows join rs using (recording_id)
+  union all select 'person_id', role='train', y from windows join ps using (person_id)
+  union all select 'without '||p.person_id, w.person_id<>p.person_id, y from windows w, (select distinct person_id from windows) p),
+sizes as (select split, count(*) filter (used) as n_train, count(*) filter (not used) as n_test, count(*) filter (not used and y=0) as support_no_motion,
+  count(*) filter (not used and y=1) as support_motion, count(distinct y) filter (used) as classes from sides group by split)
+select 'smooth_raw_scale' as config, split, subset as feature_subset, n_train, n_test, support_no_motion, support_motion
+from sizes, (select unnest(['all_selected','without_dev3','dev1_only','dev2_only','dev3_only','global_only','pairs_only']) as subset)
+where classes=2 and n_test>0 and (subset='all_selected' or split not like 'without%')"""
+
+
+@query("robustness_sizes", SIZES_SQL)
+def robustness_sizes(spark, sf_dir):
+    """The exact part of ``robustness_grid``, for its first setting."""
+    name, config = next(iter(robustness.CONFIGS.items()))
+    rows = robustness.robustness_grid(window_packets(spark, sf_dir), WIDTH, DEVICES, {name: config})
+    return rows.select("config", "split", "feature_subset", "n_train", "n_test", "support_no_motion", "support_motion")
+
+
 @query("inference_report_multiclass")
 def inference_report_multiclass(spark, sf_dir):
     """JSON record per test unit with the probability of every class by name."""

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import VectorSlicer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motefield.functions.iq import exploded, iq_amplitude
-from motefield.operators import metrics, models, splits, windows
+from motefield.operators import batched, metrics, models, splits, windows
 from motefield.operators.normalise import PreprocessConfig, preprocess_amplitude
-from motefield.runtime import materialise, packed
+from motefield.runtime import lookup_join, materialise, packed
 from motefield.series import SeriesLayout
 
 WINDOW = ["recording_id", "segment"]
@@ -55,97 +52,96 @@ def window_table(packets: DataFrame, config: PreprocessConfig, width: int, devic
     return ready, names
 
 
-@dataclass
-class Side:
-    """Train and test windows of one split, computed once for all feature subsets."""
-
-    train: DataFrame
-    test: DataFrame
-    n_train: int
-    n_test: int
-
-
-def _side(train: DataFrame, test: DataFrame) -> Side | None:
-    """None when a side is empty or the train side has one class only."""
-    sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
-    n_test = test.count()
-    if len(sizes) < 2 or not n_test:
-        return None
-    n_train = sum(sizes.values())
-    weighted = materialise(metrics.with_class_weights(train, "label"))
-    return Side(packed(weighted, n_train), packed(materialise(test), n_test), n_train, n_test)
-
-
-def _fit_and_score(side: Side, indices: list[int]) -> dict:
-    stages = [
-        VectorSlicer(inputCol="features", outputCol="part", indices=indices),
-        *models.population_scaler("part", "scaled", side.n_train, len(indices)),
-        models.logistic(side.n_train, 1.0, "weight").setFeaturesCol("scaled"),
-    ]
-    model = Pipeline(stages=stages).fit(side.train)
-    scored = models.predict(model, side.test).withColumn("y_true", F.col("binary_label"))
-    scored = materialise(scored.select("y_true", "y_pred", "score"))
-    row = metrics.evaluate(scored, "logistic", n_rows=side.n_test).first().asDict()
-    return {"n_train": side.n_train, "n_test": side.n_test, **row}
+RESULT = [
+    "config", "split", "feature_subset", "n_train", "n_test", "accuracy", "balanced_accuracy", "roc_auc", "support_no_motion", "support_motion",
+]
 
 
-RESULT = (
-    "config string, split string, feature_subset string, n_train long, n_test long, accuracy double, "
-    "balanced_accuracy double, roc_auc double, support_no_motion long, support_motion long"
-)
+def stacked_windows(packets: DataFrame, width: int, devices: list[str], configs: dict[str, PreprocessConfig]) -> tuple[DataFrame, dict[str, list[str]]]:
+    """One row per window with the features of all settings end to end, and the feature names of each setting."""
+    out, names = None, {}
+    for name, config in configs.items():
+        table, names[name] = window_table(packets, config, width, devices)
+        own = table.select(*WINDOW, *META, "label", vector_to_array("features").alias("features"))
+        if out is None:
+            out = own
+        else:
+            both = out.join(own.select(*WINDOW, F.col("features").alias("_more")), WINDOW)
+            out = both.withColumn("features", F.concat("features", "_more")).drop("_more")
+    return materialise(out), names
 
 
-def _result(config: str, split: str, subset: str, score: dict) -> tuple:
-    return (
-        config, split, subset, score["n_train"], score["n_test"], score["accuracy"], score["balanced_accuracy"],
-        score["roc_auc"], score["support_no_motion"], score["support_motion"],
-    )
+def hold_out_matrix(table: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``uses``: for each split whether a window is on its train side: by recordings, by persons, and without each person."""
+    names, sides = [], []
+    for group in ("recording_id", "person_id"):
+        roles = splits.group_shuffle_split(table, group).select(group, (F.col("role") == "train").alias(f"_by_{group}"))
+        table = lookup_join(table, roles, [group])
+        names.append(group)
+        sides.append(F.col(f"_by_{group}"))
+    for row in table.select("person_id").distinct().orderBy("person_id").collect():
+        names.append(f"without {row['person_id']}")
+        sides.append(F.col("person_id") != row["person_id"])
+    return table.withColumn("uses", F.array(*sides)).drop("_by_recording_id", "_by_person_id"), names
 
 
 def robustness_grid(
-    packets: DataFrame, width: int, devices: list[str], configs: dict[str, PreprocessConfig] = CONFIGS, parallelism: int = 8
+    packets: DataFrame, width: int, devices: list[str], configs: dict[str, PreprocessConfig] = CONFIGS, cost: float = 1.0
 ) -> DataFrame:
     """Scores per setting, feature subset and split, and with each person held out.
 
-    The fits are independent and run side by side; their scores are the only rows collected.
-    A split whose train side has one class only is left out.
+    All settings, subsets, splits and persons are models of one batched fit over one table: splits are masks, subsets and settings are
+    ranges of its feature array. Scores come from one scan. A split whose train side has one class only, or that leaves no row to test, is left out.
     """
     spark = packets.sparkSession
+    table, names = stacked_windows(packets, width, devices, configs)
+    table, split_names = hold_out_matrix(table)
+    rows = materialise(table.select("binary_label", "label", "features", "uses"))
+    fits, told, start = [], [], 0
+    for config, own in names.items():
+        subsets = {k: tuple(start + i for i in v) for k, v in subset_indices(own, devices).items() if v}
+        for s, split in enumerate(split_names):
+            for subset, columns in subsets.items():
+                if s < 2 or subset == "all_selected":
+                    told.append((len(fits), config, split, subset, s))
+                    fits.append(batched.Fit(cost, s, columns))
+        start += len(own)
+    known = batched.split_statistics(rows, len(split_names), start)
+    weights = batched.fit_logistic(rows, fits, known)
+    scored = materialise(batched.unseen_scores(rows, fits, weights, known, ["binary_label"]))
+    return scored_fits(spark, scored, told, known)
+
+
+def scored_fits(spark, scored: DataFrame, told: list[tuple], known: batched.Splits) -> DataFrame:
+    true, said = F.col("binary_label"), (F.col("score") > 0.5).cast("int")
+    sums = scored.groupBy("fit").agg(
+        F.count("*").alias("n_test"), F.avg((true == said).cast("int")).alias("accuracy"),
+        F.count_if(true == 0).alias("support_no_motion"), F.count_if(true == 1).alias("support_motion"),
+        F.avg(F.when(true == 0, 1 - said)).alias("_r0"), F.avg(F.when(true == 1, said)).alias("_r1"),
+    )
+    recalls = F.array_compact(F.array("_r0", "_r1"))
+    balanced = F.aggregate(recalls, F.lit(0.0), lambda a, v: a + v) / F.size(recalls)
+    areas = metrics.roc_auc(scored, "binary_label", "score", ["fit"])
+    sizes = [(*t[:4], int(known.negatives[t[4]] + known.positives[t[4]])) for t in told]
+    fits = spark.createDataFrame(sizes, "fit int, config string, split string, feature_subset string, n_train long")
+    return fits.join(sums.withColumn("balanced_accuracy", balanced), "fit").join(areas, "fit").select(*RESULT)
+
 
-    def one_config(name: str) -> list:
+def importance_mass(
+    packets: DataFrame, width: int, devices: list[str], configs: dict[str, PreprocessConfig] = CONFIGS, trees: int = 300, parallelism: int = 4
+) -> DataFrame:
+    """Random forest importance summed over feature groups for every setting, fitted on the train recordings."""
+
+    def one(name: str) -> DataFrame:
         table, names = window_table(packets, configs[name], width, devices)
-        subsets = subset_indices(names, devices)
-        tasks = []
-        for group in ("recording_id", "person_id"):
-            roles = splits.group_shuffle_split(table, group)
-            side = _side(
-                table.join(roles.filter("role = 'train'"), group, "left_semi"),
-                table.join(roles.filter("role = 'test'"), group, "left_semi"),
-            )
-            for subset, indices in subsets.items():
-                if side and indices:
-                    tasks.append(lambda g=group, s=subset, x=side, i=indices: _result(name, g, s, _fit_and_score(x, i)))
-        for row in table.select("person_id").distinct().orderBy("person_id").collect():
-            person, held = row["person_id"], F.col("person_id") == row["person_id"]
-            side = _side(table.filter(~held), table.filter(held))
-            if side:
-                everything = subsets["all_selected"]
-                tasks.append(
-                    lambda p=person, x=side: _result(name, f"without {p}", "all_selected", _fit_and_score(x, everything))
-                )
-        return tasks
-
-    prepared = models.run_parallel([lambda n=n: one_config(n) for n in configs], len(configs))
-    tasks = [task for group in prepared for task in group]
-    return spark.createDataFrame(models.run_parallel(tasks, parallelism), RESULT)
-
-
-def importance_mass(packets: DataFrame, width: int, devices: list[str], config: PreprocessConfig, trees: int = 300) -> DataFrame:
-    """Random forest importance summed over feature groups, fitted on the train recordings."""
-    table, names = window_table(packets, config, width, devices)
-    roles = splits.group_shuffle_split(table, "recording_id")
-    train = table.join(roles.filter("role = 'train'"), "recording_id", "left_semi")
-    weighted = materialise(metrics.with_class_weights(train, "label"))
-    weighted = packed(weighted, weighted.count())
-    model = models.forest(trees=trees, leaf=2, weight="weight").fit(weighted)
-    return models.importance_groups(models.importance_table(packets.sparkSession, model, names), devices)
+        roles = splits.group_shuffle_split(table, "recording_id")
+        train = table.join(roles.filter("role = 'train'"), "recording_id", "left_semi")
+        weighted = materialise(metrics.with_class_weights(train, "label"))
+        model = models.forest(trees=trees, leaf=2, weight="weight").fit(packed(weighted, weighted.count()))
+        return models.importance_groups(models.importance_table(packets.sparkSession, model, names), devices).withColumn("config", F.lit(name))
+
+    found = models.run_parallel([lambda n=n: one(n) for n in configs], parallelism)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
