@@ -30,8 +30,8 @@ GAPS, BREAKS = b"\x20\x09", b".,;:!?\n\x0b\x0c\r"
 IS_GAP, IS_BREAK = (byte_map(marked=m)[1] for m in (GAPS + BREAKS, BREAKS))
 # Pointers of one task of the sort, and the share of them from which on a pair is routed by all its words.
 TASK_POINTERS, HOT_SHARE = 500_000, 500
-# Rows that a task holds before it merges them; it sends them once more than half of them are distinct.
-MERGED_ROWS = 1 << 20
+# Rows that a task holds before it merges them; it sends them once more than half of them are distinct. Words of a task's table.
+MERGED_ROWS, HELD_WORDS = 1 << 21, 1 << 19
 FILTER_BITS_EACH, FILTER_BITS_MOST = 16, 1 << 27
 SALTS = 64
 
@@ -88,7 +88,7 @@ def word_counts(texts: DataFrame, seed: int) -> DataFrame:
                 h = xxhash.xxh64_intdigest(name.encode(), seed + 1) - (1 << 63)
                 c = int(per_text[[x == name for x in langs]].sum())
                 found.setdefault(h, [name, None, 0])[2] += c
-            if len(found) > MERGED_ROWS:
+            if len(found) > HELD_WORDS:
                 yield sent()
         yield sent()
 
@@ -154,7 +154,7 @@ def pair_counts(texts: DataFrame, seed: int, frequent) -> DataFrame:
             good = passes(frequent.value, hashes)
             both = good[:-1] & good[1:] & goes_on[1:]
             held.append(pair_hashes(hashes[:-1][both], hashes[1:][both]))
-            if sum(map(len, held)) > 2 * MERGED_ROWS:
+            if sum(map(len, held)) > MERGED_ROWS:
                 yield sent()
         yield sent()
 

@@ -213,6 +213,7 @@ def chatter():
 def test_collocations_equal_brute_force(spark, chatter, monkeypatch, task_pointers, top):
     """In one task and in many, with pairs routed by all their words, and with texts merged in small steps."""
     monkeypatch.setattr(phrases, "MERGED_ROWS", 1 << 20 if task_pointers > 1000 else 300)
+    monkeypatch.setattr(phrases, "HELD_WORDS", 1 << 20 if task_pointers > 1000 else 8)
     docs = spark.createDataFrame([(*r, 1, "s") for r in chatter], "lang string, text string, n int, phrase string").repartition(5)
     got = phrase_rows(phrases.collocations(docs, least=10, top=top, task_pointers=task_pointers))
     assert got == brute_phrases(chatter, 10, top) and len(got) > 20
