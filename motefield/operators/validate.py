@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from motefield.functions import text as tx
 from motefield.runtime import lookup_join, materialise
+from motefield.sources.quotes import quoted_records
 
 TEXT_COLUMNS = ("logger_timestamp", "record_type", "source_mac", "csi_data")
 
@@ -46,6 +47,12 @@ def _split(lines: DataFrame) -> DataFrame:
     return lines.select("path", "line_no", "line", fields.alias("f"))
 
 
+def _records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parsed records, read once, and the problem of files that a CSV reader cannot finish: a quote that is never closed."""
+    records, broken = quoted_records(materialise(lines.select("path", "line_no", "line")))
+    return materialise(_split(records)), _file_problem(broken, "csv", "closed quote", F.concat(F.lit("open from line "), F.col("line_no").cast("string")))
+
+
 def infer_raw(lines: DataFrame, reference: str) -> DataFrame:
     """Field count, value count of the first row and line count of the reference file."""
     ref = _split(lines.filter(F.col("path") == reference))
@@ -131,7 +138,9 @@ def _not_ascii(lines: DataFrame) -> DataFrame:
 
 def validate_raw(lines: DataFrame, structure: RawStructure, check_line_count: bool = True) -> DataFrame:
     # Text is read and parsed once; all checks look at that table.
-    rows = lines = materialise(_split(lines))
+    source = lines
+    lines, unreadable = _records(lines)
+    rows = lines
     f = F.col("f")
     size, n, meta = F.size(f), structure.csv_fields, structure.metadata_fields
     get = lambda i: F.get(f, F.lit(i))
@@ -156,14 +165,15 @@ def validate_raw(lines: DataFrame, structure: RawStructure, check_line_count: bo
             "declared_length", None, declared, _text(actual),
         ),
     ]
-    return _with_file_problems(
-        lines, _emit(rows, size, n, checks, list_checks, cell), structure.lines, check_line_count, 0
-    )
+    found = _with_file_problems(lines, _emit(rows, size, n, checks, list_checks, cell), structure.lines, check_line_count, 0)
+    return _or_unreadable(found, unreadable, source)
 
 
 def validate_fixed(lines: DataFrame, structure: FixedStructure, check_row_count: bool = True) -> DataFrame:
     # Text is read and parsed once; all checks look at that table.
-    rows = lines = materialise(_split(lines))
+    source = lines
+    lines, unreadable = _records(lines)
+    rows = lines
     f = F.col("f")
     header = structure.header
     where = {name: i for i, name in enumerate(header)}
@@ -205,7 +215,17 @@ def validate_fixed(lines: DataFrame, structure: FixedStructure, check_row_count:
     found = lookup_join(found.filter("rule <> 'ascii'"), wrong.select("path"), ["path"], "left_anti").unionByName(
         found.filter("rule = 'ascii'")
     )
-    return found.unionByName(wrong_problems.join(_not_ascii(lines), "path", "left_anti"))
+    return _or_unreadable(found.unionByName(wrong_problems.join(_not_ascii(lines), "path", "left_anti")), unreadable, source)
+
+
+def _or_unreadable(found: DataFrame, unreadable: DataFrame, source: DataFrame) -> DataFrame:
+    """A file that cannot be parsed to its end reports only that, unless it is not ASCII text, which is seen first."""
+    if unreadable.isEmpty():
+        return found
+    foreign = _not_ascii(source)
+    rest = lookup_join(found.filter("rule <> 'ascii'"), unreadable.select("path"), ["path"], "left_anti")
+    ascii_ = _file_problem(foreign, "ascii", "ASCII text")
+    return lookup_join(rest, foreign, ["path"], "left_anti").unionByName(ascii_).unionByName(lookup_join(unreadable, foreign, ["path"], "left_anti"))
 
 
 def _with_file_problems(

@@ -18,16 +18,15 @@ from motefield.runtime import materialise
 from motefield.series import BLOCK_ROWS, longest_group
 
 BUCKET = "_bucket"
+# Hex digits of a digest that make its bucket.
+DIGITS = 5
 # Groups up to this size are given to the built-in exact ``percentile``.
 QUANTILE_ROWS = 1_000_000
 
 
-def hash_bucket(hex_digest: Column, rows: int) -> Column:
-    """Leading hex digits as a number: even buckets of at most ``BLOCK_ROWS`` rows or so, monotone in the digest."""
-    digits = 1
-    while 16**digits * BLOCK_ROWS < rows:
-        digits += 1
-    return F.conv(F.substring(hex_digest, 1, digits), 16, 10).cast("long")
+def hash_bucket(hex_digest: Column) -> Column:
+    """Leading hex digits as a number: a million even buckets, monotone in the digest, whatever the number of rows."""
+    return F.conv(F.substring(hex_digest, 1, DIGITS), 16, 10).cast("long")
 
 
 def range_bucket(df: DataFrame, order: list[Column], bucket_rows: int, total: int | None = None) -> DataFrame:
@@ -128,9 +127,9 @@ def positions(
 def hashed_rank(df: DataFrame, keys: list[str], digest: str, ties: list[str]) -> DataFrame:
     """Add ``rank`` (1-based, by digest inside ``keys``) and ``group_rows``.
 
-    The digest is uniform, so its leading digits cut any group evenly, however large; rows are counted to see how many are needed.
+    The digest is uniform, so its leading digits cut any group evenly, however large; rows need not be counted first.
     """
-    cut = df.withColumn(BUCKET, hash_bucket(F.col(digest), df.count()))
+    cut = df.withColumn(BUCKET, hash_bucket(F.col(digest)))
     ranked = running_totals(
         cut, keys, [F.col(digest), *[F.col(c) for c in ties]], {"rank": F.lit(1)}, BUCKET
     )

@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rows and bytes (as text) a side may have before it is no longer broadcast.
+# Rows and bytes a side may have before it is no longer broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
@@ -40,10 +41,35 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Compute ``df`` once into a table of the shared folder, of which later uses read the columns they need."""
+    path = new_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def row_bytes(schema: T.StructType) -> Column:
+    """About the bytes of a row: fixed widths from the types; only texts and lists are looked at."""
+    fixed, sizes = 0, []
+    for field in schema.fields:
+        c = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            sizes.append(F.octet_length(c))
+        elif isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.NumericType):
+            sizes.append(F.size(c) * 8)
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            sizes.append(F.octet_length(F.to_json(F.struct(c))))
+        else:
+            fixed += 8
+    out = F.lit(fixed).cast("long")
+    for size in sizes:
+        out = out + F.greatest(F.coalesce(size, F.lit(0)), F.lit(0))
+    return out
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """Whether a computed table has at most so many rows and bytes; no more than ``rows`` + 1 rows are looked at."""
-    text = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(text), F.lit(0)).alias("bytes")).first()
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(row_bytes(df.schema)), F.lit(0)).alias("bytes")).first()
     return found["n"] <= rows and found["bytes"] <= size
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,6 +10,7 @@ from motefield.functions.iq import iq_amplitude, iq_array, iq_complex, complex_p
 from motefield.functions.paths import is_log_file
 from motefield.operators.repair import HEADER
 from motefield.ranking import positions
+from motefield.runtime import written
 
 FIXED_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in HEADER])
 INTEGER_COLUMNS = ("packet_seq", "rssi_dbm", "wifi_channel")
@@ -18,11 +19,12 @@ INTEGER_COLUMNS = ("packet_seq", "rssi_dbm", "wifi_channel")
 def number_rows(df: DataFrame, unit: str, name: str, start: int = 1) -> DataFrame:
     """Number the rows of each unit in file order.
 
-    Files stay splittable: a row is placed by its file, the byte offset of its split and its
-    position in the split. Only one small row per split is needed to know where a split starts.
+    Files stay splittable and are read once: a row is written with its file, the byte offset of its split and its
+    position in the split; the table of one small row per split, which tells where a split starts, reads those columns only.
     Needs the columns ``_file``, ``_offset`` and ``_row`` of :func:`with_origin`.
     """
     split = [unit, "_file", "_offset"]
+    df = written(df, "placed-rows")
     sizes = df.groupBy(*split).agg(F.min("_row").alias("_first"), F.count("*").alias("_rows"))
     before = Window.partitionBy(unit).orderBy("_file", "_offset").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
@@ -42,6 +44,22 @@ def with_origin(df: DataFrame) -> DataFrame:
     )
 
 
+def escaped(path: Column) -> Column:
+    """A path without tabs or line breaks."""
+    for plain, code in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
+        path = F.replace(path, F.lit(plain), F.lit(code))
+    return path
+
+
+def unescaped(text: Column) -> Column:
+    """The path of :func:`escaped`; a doubled backslash is kept apart while the others are undone."""
+    apart = "\x00"
+    text = F.replace(text, F.lit("\\\\"), F.lit(apart))
+    for code, plain in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), (apart, "\\")):
+        text = F.replace(text, F.lit(code), F.lit(plain))
+    return text
+
+
 def read_lines(spark: SparkSession, root: str, tagged: bool = False) -> DataFrame:
     """``lines(path, line_no, line)`` of all ``.csv`` / ``.data`` logs below ``root``.
 
@@ -50,8 +68,9 @@ def read_lines(spark: SparkSession, root: str, tagged: bool = False) -> DataFram
     """
     rows = with_origin(spark.read.option("recursiveFileLookup", "true").text(root))
     if tagged:
-        path = F.substring_index("value", "\t", 1)
-        rows = rows.withColumn("path", path).withColumn("value", F.expr("substring(value, length(path) + 2)"))
+        # The path is the first cell; its tabs and backslashes are escaped, those of the line are not.
+        path = F.regexp_extract("value", r"^([^\t]*)\t", 1)
+        rows = rows.withColumns({"path": unescaped(path), "value": F.expr("substring(value, instr(value, '\t') + 1)")})
     else:
         rows = rows.withColumn("path", F.col("_file"))
     numbered = number_rows(rows, "path", "line_no")
@@ -70,7 +89,7 @@ def positions_of_lines(lines: DataFrame) -> DataFrame:
 
 def write_lines(lines: DataFrame, root: str) -> None:
     """Write many logs as one table of text, each line after the path of its log and a tab."""
-    _by_unit(lines, "line_no").select(F.concat_ws("\t", "path", "line").alias("value")).write.text(root)
+    _by_unit(lines, "line_no").select(F.concat(escaped(F.col("path")), F.lit("\t"), F.coalesce("line", F.lit(""))).alias("value")).write.text(root)
 
 
 def write_fixed(rows: DataFrame, root: str) -> None:

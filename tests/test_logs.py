@@ -193,3 +193,12 @@ def test_metadata_with_mixed_parameter_types(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"model": "SVM", "best_params": {"C": 1.0, "gamma": "scale"}}')
     got = {r["best_params"]["gamma"] for r in artifacts.load_metadata(spark, str(tmp_path / "*.json")).collect()}
     assert got == {"0.1", "scale"}
+
+
+def test_paths_with_tabs_and_backslashes_come_back(spark, tmp_path):
+    paths = ["a\tb.data", "a\\tb.data", "a\\\\\tb.data", "plain.data", "line\nbreak.data"]
+    lines = spark.createDataFrame([(p, i, f"l{i}\tx\\t") for p in paths for i in (1, 2)], "path string, line_no long, line string")
+    logs.write_lines(lines, f"{tmp_path}/out")
+    got = logs.read_lines(spark, f"{tmp_path}/out", tagged=True)
+    assert sorted(map(tuple, got.collect())) == sorted((p, i, f"l{i}\tx\\t") for p in paths for i in (1, 2))
+    assert got._jdf.queryExecution().toString().count("FileScan text") == 0
