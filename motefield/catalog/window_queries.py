@@ -201,8 +201,7 @@ def wide_rows(spark, sf_dir):
 
 @query("window_summary", f"with {SEGMENTS}{PAIRS}{SCOPED} select recording_id, segment, vector, {SEVEN} from ({VEC_BASE} union all {SPREAD} union all {VEC_PAIRS}) group by 1,2,3")
 def window_summary(spark, sf_dir):
-    vectors = windows.sample_vectors(wide_rows(spark, sf_dir), WINDOW, DEVICES)
-    return rounded(windows.summarise_vectors(vectors, WINDOW))
+    return rounded(windows.block_summary(windows.window_blocks(window_samples(spark, sf_dir), WINDOW, DEVICES), WINDOW, DEVICES))
 
 
 @query("receiver_spread", f"with {SEGMENTS} select recording_id, segment, {SEVEN} from ({SPREAD}) group by 1,2")

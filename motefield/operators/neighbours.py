@@ -2,7 +2,7 @@
 
 The training rows sit in blocks. Each block of training points meets the test points it may
 matter for in one Arrow batch, keeps the ``k`` best per test point, and only those candidates
-travel on. A training set of checked size is one block that is shipped to every task. A larger
+travel on and are merged. A training set of checked size is one block that is shipped to every task, whose result is final. A larger
 one is cut into cells around landmark points: a test point is sent to a cell only if the
 triangle inequality leaves room for a neighbour there, and crowded cells are cut further, so
 no block grows with the data.
@@ -30,27 +30,40 @@ def _distances(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
     return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
 
 
-def _best(test: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, p: int):
-    """The k nearest points per test row, ties to the smaller id; works in slices of test rows."""
-    slice_rows = max(1, 4_000_000 // max(1, points.size))
+def _best(test: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Test row, place, distance and rank (from 1) of the k nearest points of every test row, ties to the smaller id.
+
+    A matrix product tells which points can be among the nearest, up to rounding; only those are measured exactly and ordered.
+    """
+    slice_rows = max(1, 4_000_000 // max(1, points.size if p == 1 else len(points)))
+    norms, found = (points**2).sum(axis=1), []
     for start in range(0, len(test), slice_rows):
-        dist = _distances(test[start : start + slice_rows], points, p)
-        for row, d in enumerate(dist, start):
-            order = np.lexsort((ids, d))[:k]
-            yield row, order, d[order]
+        rows = test[start : start + slice_rows]
+        if p == 1:
+            near, slack = _distances(rows, points, 1), 0.0
+        else:
+            own = (rows**2).sum(axis=1)
+            near = own[:, None] + norms[None, :] - 2 * rows @ points.T
+            slack = 1e-10 * (own + norms.max(initial=0.0))[:, None]
+        bound = np.partition(near, min(k, len(points)) - 1, axis=1)[:, min(k, len(points)) - 1, None]
+        row, place = np.nonzero(near <= bound + slack)
+        exact = near[row, place] if p == 1 else np.sqrt(((rows[row] - points[place]) ** 2).sum(axis=1))
+        order = np.lexsort((ids[place], exact, row))
+        row, place, exact = row[order], place[order], exact[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+        kept = rank <= k
+        found.append((row[kept] + start, place[kept], exact[kept], rank[kept]))
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def _candidate_frame(pdf, x, k, p, points, ids, labels) -> pd.DataFrame:
-    found = list(_best(x, points, ids, k, p))
-    rows = np.concatenate([np.full(len(o), r) for r, o, _ in found])
-    order = np.concatenate([o for _, o, _ in found])
-    dist = np.concatenate([d for _, _, d in found])
+    row, place, dist, rank = _best(x, points, ids, k, p)
     return pd.DataFrame(
-        {"test_id": pdf["test_id"].to_numpy()[rows], "train_id": ids[order], "label": labels[order], "distance": dist}
+        {"test_id": pdf["test_id"].to_numpy()[row], "train_id": ids[place], "label": labels[place], "distance": dist, "rank": rank}
     )
 
 
-SCHEMA = "test_id long, train_id long, label int, distance double"
+SCHEMA = "test_id long, train_id long, label int, distance double, rank int"
 
 
 def nearest(train: DataFrame, test: DataFrame, k: int, p: int = 2, shipped_values: int = SHIPPED_VALUES) -> DataFrame:
@@ -61,9 +74,8 @@ def nearest(train: DataFrame, test: DataFrame, k: int, p: int = 2, shipped_value
     width = len((train.select("features").first() or [[]])[0])
     room = max(1, shipped_values // max(1, width))
     if train.limit(room + 1).count() <= room:
-        candidates = _shipped(train, test, k, p)
-    else:
-        candidates = _by_cells(train, test, k, p)
+        return _shipped(train, test, k, p)  # one block: its ranks are final
+    candidates = _by_cells(train, test, k, p)
     best = Window.partitionBy("test_id").orderBy("distance", "train_id")
     return candidates.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
@@ -143,7 +155,7 @@ def _by_cells(train: DataFrame, test: DataFrame, k: int, p: int) -> DataFrame:
 
     def meet(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if points.empty or queries.empty:
-            return pd.DataFrame({"test_id": [], "train_id": [], "label": [], "distance": []})
+            return pd.DataFrame({"test_id": [], "train_id": [], "label": [], "distance": [], "rank": []})
         pts = np.stack(points["features"].to_numpy()).astype(float)
         x = np.stack(queries["features"].to_numpy()).astype(float)
         return _candidate_frame(queries, x, k, p, pts, points["train_id"].to_numpy(), points["label"].to_numpy())

@@ -7,8 +7,10 @@ small; all steps share one hash partitioning by the window keys.
 
 from __future__ import annotations
 
+import warnings
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -210,19 +212,120 @@ def summarise_vectors(vectors: DataFrame, keys: list[str]) -> DataFrame:
     return summary(vectors, [*keys, "vector"], "value")
 
 
+def window_blocks(samples: DataFrame, keys: list[str], devices: list[str]) -> DataFrame:
+    """One row per window: receivers, positions, subcarriers and values of its samples as parallel arrays.
+
+    A window has a fixed number of packets, so an array is small; a map-side combined aggregate brings them together.
+    """
+    number = F.array_position(F.array(*[F.lit(d) for d in devices]), F.col("device")).cast("int") - 1
+    cells = samples.filter(F.col("device").isin(devices)).select(*keys, F.struct(number.alias("d"), F.col(T).cast("int").alias("t"), F.col("sc").cast("int").alias("s"), "x").alias("_c"))
+    found = cells.groupBy(*keys).agg(F.collect_list("_c").alias("_c"))
+    return found.select(*keys, *[F.col(f"_c.{c}").alias(f"_{c}") for c in ("d", "t", "s", "x")])
+
+
+def _profile(values: np.ndarray, axes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population deviation over some axes, missing values left out."""
+    mean = np.nanmean(values, axis=axes)
+    return mean, np.sqrt(np.nanmean((values - np.expand_dims(mean, axes)) ** 2, axis=axes))
+
+
+def _seven(values: np.ndarray) -> np.ndarray:
+    """The seven statistics of each window's values (windows x values), missing values left out."""
+    mean, std = _profile(values, (1,))
+    low, median, high = np.nanquantile(values, [0.1, 0.5, 0.9], axis=1)
+    return np.stack([mean, std, np.nanmin(values, axis=1), low, median, high, np.nanmax(values, axis=1)], axis=1)
+
+
+def block_vectors(x: np.ndarray, devices: list[str]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Vectors that are summarised, and sequences that are features themselves, of windows of one shape (windows x values).
+
+    ``x`` is (windows, receivers, positions, subcarriers) with NaN for missing samples.
+    """
+    flat = lambda v: v.reshape(len(v), -1)
+    dx = x[:, :, 1:] - x[:, :, :-1]
+    vectors = {"absolute__receiver_spread": flat(np.sqrt(((x - x.mean(axis=1, keepdims=True)) ** 2).mean(axis=1)))}
+    for name, own, step in [("global", x, dx), *[(d, x[:, [i]], dx[:, [i]]) for i, d in enumerate(devices)]]:
+        vectors |= {
+            f"absolute__{name}_x": flat(own), f"absolute__{name}_abs_x": flat(np.abs(own)),
+            f"motion__{name}_dt": flat(step), f"motion__{name}_abs_dt": flat(np.abs(step)),
+        }
+    for (i, a), (j, b) in combinations(enumerate(devices), 2):
+        gap = np.abs(x[:, i] - x[:, j])
+        vectors[f"absolute__pair_{a}_{b}_absdiff"] = flat(gap)
+        vectors[f"motion__pair_{a}_{b}_absdiff_dt"] = flat(np.abs(gap[:, 1:] - gap[:, :-1]))
+    energy = np.nanmean(np.abs(dx), axis=3)
+    vectors["motion__global_motion_energy"] = energy.mean(axis=1)
+    sequences = {}
+    for i, d in enumerate(devices):
+        vectors[f"motion__{d}_motion_energy"] = energy[:, i]
+        sc_mean, sc_std = _profile(x[:, i], (1,))
+        # Energy belongs to the step to the next packet; the last packet repeats the value before, a single one has none.
+        last = energy[:, i, -1:] if energy.shape[2] else np.zeros((len(x), 1))
+        sequences |= {
+            f"absolute__{d}_sc_mean": sc_mean, f"absolute__{d}_sc_std": sc_std, f"motion__{d}_sc_energy": np.nanmean(np.abs(dx[:, i]), axis=1),
+            f"absolute__{d}_t_mean": _profile(x[:, i], (2,))[0], f"motion__{d}_t_energy": np.concatenate([energy[:, i], last], axis=1),
+        }
+    return {name: values for name, values in vectors.items() if values.shape[1]}, sequences
+
+
+def _on_blocks(blocks: DataFrame, keys: list[str], devices: list[str], made, columns: str) -> DataFrame:
+    """``made(vectors, sequences)`` gives a table (columns as names -> rows x windows) for the windows of one shape; here they meet their keys."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.select(*keys).schema.fields)
+
+    def look(frames):
+        for frame in frames:
+            shapes = [(max(t) + 1, max(s) + 1) for t, s in zip(frame["_t"], frame["_s"])]
+            for shape in set(shapes):
+                own = [i for i, s in enumerate(shapes) if s == shape]
+                x = np.full((len(own), len(devices), *shape), np.nan)
+                for k, i in enumerate(own):
+                    row = frame.iloc[i]
+                    x[k, row["_d"], row["_t"], row["_s"]] = np.asarray(row["_x"], dtype=float)
+                with warnings.catch_warnings():
+                    warnings.simplefilter("ignore", RuntimeWarning)  # means of nothing stay missing
+                    names, table = made(*block_vectors(x, devices))
+                part = frame.iloc[np.repeat(own, len(names[1]))][keys].reset_index(drop=True)
+                part[names[0]] = np.tile(names[1], len(own))
+                for column, values in table.items():
+                    part[column] = values.T.ravel()
+                yield part.dropna(subset=list(table)[:1])
+
+    return blocks.mapInPandas(look, f"{kinds}, {columns}")
+
+
+def block_summary(blocks: DataFrame, keys: list[str], devices: list[str]) -> DataFrame:
+    """Seven statistics of every vector of a window but those of RSSI: rows (keys, vector, statistics)."""
+
+    def table(vectors, _):
+        stats = np.stack([_seven(values) for values in vectors.values()])
+        return ("vector", list(vectors)), {s: stats[:, :, k] for k, s in enumerate(STATS)}
+
+    return _on_blocks(blocks, keys, devices, table, "vector string, " + ", ".join(f"{s} double" for s in STATS))
+
+
+def block_features(blocks: DataFrame, keys: list[str], devices: list[str]) -> DataFrame:
+    """All features of a window but those of RSSI as long rows (keys, feature, value)."""
+
+    def table(vectors, sequences):
+        out = {}
+        for name, values in vectors.items():
+            out |= dict(zip([f"{name}_{s}" for s in STATS], _seven(values).T))
+        for name, values in sequences.items():
+            out |= {f"{name}_{k:03d}": values[:, k] for k in range(values.shape[1])}
+        return ("feature", list(out)), {"value": np.stack(list(out.values()))}
+
+    return _on_blocks(blocks, keys, devices, table, "feature string, value double")
+
+
 def window_features(samples: DataFrame, packets: DataFrame, keys: list[str], devices: list[str]) -> DataFrame:
-    """All features of a window as long rows (keys, feature, value)."""
-    rows = wide(samples, keys, devices)
-    vectors = sample_vectors(rows, keys, devices).unionByName(rssi_vectors(packets.repartition(*keys), keys))
-    stats = summarise_vectors(vectors, keys)
-    entry = [
-        F.struct(F.concat("vector", F.lit(f"_{s}")).alias("feature"), F.col(s).alias("value")) for s in STATS
-    ]
-    scalars = stats.select(*keys, F.explode(F.array(*entry)).alias("_e")).select(*keys, "_e.*")
-    seq = sequences(rows, keys, devices).select(
-        *keys, F.format_string("%s_%03d", "vector", "position").alias("feature"), "value"
-    )
-    return scalars.unionByName(seq)
+    """All features of a window as long rows (keys, feature, value).
+
+    Samples become one block per window; its vectors are summarised column by column on blocks of one shape.
+    """
+    stats = summarise_vectors(rssi_vectors(packets.repartition(*keys), keys), keys)
+    entry = [F.struct(F.concat("vector", F.lit(f"_{s}")).alias("feature"), F.col(s).alias("value")) for s in STATS]
+    rssi = stats.select(*keys, F.explode(F.array(*entry)).alias("_e")).select(*keys, "_e.*")
+    return block_features(window_blocks(samples, keys, devices), keys, devices).unionByName(rssi)
 
 
 def feature_table(long: DataFrame, keys: list[str], subset: str = "motion_only") -> DataFrame:

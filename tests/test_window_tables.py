@@ -32,3 +32,34 @@ def test_subsets_and_groups_follow_the_scope(spark):
     table = spark.createDataFrame([(n, float(2**i)) for i, n in enumerate(NAMES)], "feature string, importance double")
     got = {r.feature_group: r.importance_mass for r in models.importance_groups(table, DEVICES).collect()}
     assert got == {"global": 1.0, "dev1": 2.0, "dev3": 4.0, "pair_dev1_dev2": 8.0, "pairs_with_dev3": 16.0}
+
+
+def test_blocks_with_missing_receivers_and_shapes(spark):
+    """Windows of several shapes, with gaps: statistics of each vector by numpy, missing samples left out."""
+    import numpy as np
+
+    from motefield.operators import windows
+
+    rng = np.random.default_rng(4)
+    rows, kept = [], {}
+    for w, (packets, sc) in enumerate([(6, 4), (6, 4), (3, 2), (1, 3)]):
+        x = rng.normal(size=(2, packets, sc))
+        if w == 1:
+            x[1, 2, 0] = np.nan
+        kept[w] = x
+        rows += [(w, f"d{d}", t, s, float(x[d, t, s])) for d in range(2) for t in range(packets) for s in range(sc) if not np.isnan(x[d, t, s])]
+    samples = spark.createDataFrame(rows, "w int, device string, seg_t int, sc int, x double").repartition(3)
+    blocks = windows.window_blocks(samples, ["w"], ["d0", "d1"])
+    got = {(r.w, r.vector): r for r in windows.block_summary(blocks, ["w"], ["d0", "d1"]).collect()}
+    for w, x in kept.items():
+        gap, step = np.abs(x[0] - x[1]), np.diff(x, axis=1)
+        for vector, values in {"absolute__d1_x": x[1], "motion__global_abs_dt": np.abs(step), "absolute__pair_d0_d1_absdiff": gap, "motion__d0_motion_energy": np.abs(step[0]).mean(axis=1)}.items():
+            v = values[~np.isnan(values)]
+            if len(v):
+                want = [v.mean(), v.std(), v.min(), *np.quantile(v, [0.1, 0.5, 0.9]), v.max()]
+                assert np.allclose([got[w, vector][s] for s in windows.STATS], want)
+            else:
+                assert (w, vector) not in got
+    names = {(r.w, r.feature): r.value for r in windows.block_features(blocks, ["w"], ["d0", "d1"]).collect()}
+    assert names[3, "motion__d0_t_energy_000"] == 0.0 and (3, "motion__d0_sc_energy_000") not in names
+    assert np.isclose(names[0, "absolute__d0_sc_mean_002"], kept[0][0, :, 2].mean()) and np.isclose(names[2, "motion__d1_t_energy_002"], np.abs(np.diff(kept[2][1], axis=0)).mean(axis=1)[1])
