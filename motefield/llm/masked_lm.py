@@ -55,18 +55,18 @@ def fresh() -> np.ndarray:
 def units_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Units of all words of a column, and the n+1 offsets of its texts."""
     words, offsets = word_hashes(*text_bytes(column))
-    return (words >> np.uint64(64 - 15)).astype(np.int32), offsets
+    return (words >> np.uint64(64 - 15)).astype(np.uint16), offsets
 
 
 def surroundings(units: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Units around every word, ``UNITS`` beyond the ends of its text."""
     starts = np.repeat(offsets[:-1], np.diff(offsets))
     ends = np.repeat(offsets[1:], np.diff(offsets))
-    out = np.full((len(units), len(PLACES)), UNITS, dtype=np.int32)
+    out = np.full((len(units), len(PLACES)), UNITS, dtype=np.uint16)
+    own = np.arange(len(units))
     for k, place in enumerate(PLACES):
-        at = np.arange(len(units)) + place
-        inside = (at >= starts) & (at < ends)
-        out[inside, k] = units[at[inside]]
+        inside = (own + place >= starts) if place < 0 else (own + place < ends)
+        out[:, k] = np.where(inside, np.roll(units, -place), np.uint16(UNITS))
     return out
 
 
@@ -104,30 +104,52 @@ def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return kind, np.log(smooth / np.bincount(kind, smooth, minlength=CLASSES)[kind])
 
 
-def log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+def tables(p: dict[str, np.ndarray]) -> tuple[list[np.ndarray], dict[str, np.ndarray]]:
+    """What every unit adds to the hidden layer at each place, so that scoring needs no product for it."""
+    return [p["embedding"] @ p["mix"][k * WIDTH : (k + 1) * WIDTH] for k in range(len(PLACES))], p
+
+
+def scored(model: tuple[list[np.ndarray], dict[str, np.ndarray]], around: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Log-probability of the class of every word."""
+    added_, p = model
+    out = np.empty(len(around), dtype=np.float32)
+    for k in range(0, len(around), SCORED_WORDS):
+        near, own = around[k : k + SCORED_WORDS], wanted[k : k + SCORED_WORDS]
+        hidden = p["bend"] + added_[0][near[:, 0]]
+        for place in range(1, len(PLACES)):
+            hidden += added_[place][near[:, place]]
+        logits = np.tanh(hidden, out=hidden) @ p["out"]
+        logits += p["lean"]
+        top = logits.max(axis=1)
+        logits -= top[:, None]
+        said = logits[np.arange(len(own)), own]
+        out[k : k + SCORED_WORDS] = said - np.log(np.exp(logits, out=logits).sum(axis=1))
+    return out
 
 
 def forward(p: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Embeddings around every word, hidden layer, and the classes' probabilities over the number of words."""
     given = p["embedding"][around].reshape(len(around), -1)
     hidden = np.tanh(given @ p["mix"] + p["bend"])
-    return given, hidden, log_softmax(hidden @ p["out"] + p["lean"])
+    logits = hidden @ p["out"] + p["lean"]
+    logits -= logits.max(axis=1, keepdims=True)
+    shares = np.exp(logits, out=logits)
+    shares *= (1 / (len(around) * shares.sum(axis=1)))[:, None].astype(np.float32)
+    return given, hidden, shares
 
 
 def learn(flat: np.ndarray, squares: np.ndarray, around: np.ndarray, wanted: np.ndarray) -> None:
     """One adaptive gradient step on the log-loss of the classes, in place."""
     p, s = split(flat), split(squares)
-    given, hidden, logs = forward(p, around)
-    slope = np.exp(logs)
-    slope[np.arange(len(wanted)), wanted] -= 1
-    slope /= len(wanted)
+    given, hidden, slope = forward(p, around)
+    slope[np.arange(len(wanted)), wanted] -= np.float32(1 / len(wanted))
     back = (slope @ p["out"].T) * (1 - hidden * hidden)
     gradients = {"mix": given.T @ back, "bend": back.sum(axis=0), "out": hidden.T @ slope, "lean": slope.sum(axis=0)}
     each = (back @ p["mix"].T).reshape(-1, WIDTH)
-    order = np.argsort(around.ravel(), kind="stable")
-    rows, first = np.unique(around.ravel()[order], return_index=True)
-    total = np.add.reduceat(each[order], first, axis=0)
+    order = np.argsort(around.ravel(), kind="stable")  # 16-bit units: by radix
+    ordered = around.ravel()[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    rows, total = ordered[first], np.add.reduceat(each[order], first, axis=0)
     for name, g in gradients.items():
         s[name][...] += g * g
         p[name][...] -= RATE * g / np.sqrt(s[name] + 1e-8)
@@ -217,15 +239,10 @@ def pseudo_likelihood(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.n
 
     def score(batches):
         flat, kind, within = shared.value
-        p = split(flat)
+        ready = tables(split(flat))
         for rows in text_slices(batches):
             units, offsets = units_of(rows.column("text"))
-            around = surroundings(units, offsets)
-            logs = within[units]
-            for k in range(0, len(units), SCORED_WORDS):
-                some = slice(k, k + SCORED_WORDS)
-                _, _, by_class = forward(p, around[some])
-                logs[some] += by_class[np.arange(len(by_class)), kind[units[some]]]
+            logs = within[units] + scored(ready, surroundings(units, offsets), kind[units])
             n = np.diff(offsets)
             sums = np.zeros(len(n))
             if len(logs):
