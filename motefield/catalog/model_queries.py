@@ -43,7 +43,7 @@ def sql_name(c: str) -> str:
 def features(spark, sf_dir):
     """Unit features with their split role."""
     df, layout = scaled_series(spark, sf_dir)
-    rows = units.unit_features(df, "x", layout.with_keys(*unit_models.UNIT))
+    rows = materialise(units.unit_features(df, "x", layout.with_keys(*unit_models.UNIT)))
     return rows.join(splits.stratified_split(rows, "recording_id", ["label"]), ["recording_id", "label"])
 
 
@@ -80,9 +80,9 @@ plain as (select u.unit_id, role, cast(right(u.label,1) as int) as y, mean, std,
 
 def plain_features(spark, sf_dir):
     df, layout = scaled_series(spark, sf_dir)
-    rows = units.unit_statistics(df, "x", layout.with_keys("unit_id", "recording_id", "label"), moments=False)
+    rows = materialise(units.unit_statistics(df, "x", layout.with_keys("unit_id", "recording_id", "label"), moments=False))
     roles = splits.stratified_split(rows, "recording_id", ["label"])
-    out = rows.join(roles, ["recording_id", "label"])
+    out = materialise(rows.join(roles, ["recording_id", "label"]))
     return out.select("unit_id", "role", distance(F.col("label")).alias("y"), *PLAIN)
 
 

@@ -12,6 +12,7 @@ from motefield.catalog.views import (
 )
 from motefield.operators import filters, spectral, splits, units
 from motefield.operators.packets import unit_signal
+from motefield.runtime import materialise
 from motefield.series import SeriesLayout
 
 WIDTH = 5
@@ -34,6 +35,7 @@ def train_side(df: DataFrame) -> DataFrame:
 
 def scaled_series(spark, sf_dir) -> tuple[DataFrame, SeriesLayout]:
     df, layout = filtered_series(spark, sf_dir)
+    df = materialise(df)  # read for the split, the bounds and the result
     bounds = units.train_bounds(train_side(df), "x", ["device"])
     return units.scale_by_bounds(df, "x", bounds, ["device"]), layout
 

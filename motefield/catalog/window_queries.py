@@ -10,6 +10,7 @@ from motefield.catalog.views import (
     DEVICES, PACKETS_SQL, SAMPLES, SUBCARRIERS, packet_layout, packets, samples, sql_padded, to_samples,
 )
 from motefield.functions.iq import complex_map, complex_phase, exploded, iq_complex
+from motefield.runtime import lookup_join
 from motefield.operators import filters, normalise, recordings, windows
 from motefield.operators.normalise import PreprocessConfig
 from motefield.operators.packets import align_devices, segment_rows, wide_by_device
@@ -191,7 +192,7 @@ def motion_energy(spark, sf_dir):
     energy = windows.motion_energy(samples(spark, sf_dir), "x", series_layout(spark, sf_dir), ["recording_id"], "energy")
     energy = energy.withColumn("binary_label", (F.col("recording_id") % 4 > 0).cast("int"))
     limits = windows.energy_limit(energy, "energy", ["binary_label"])
-    out = energy.join(F.broadcast(limits), "binary_label")
+    out = lookup_join(energy, limits, ["binary_label"])
     return rounded(out.select("recording_id", "t", "binary_label", "energy", "upper"))
 
 
@@ -307,7 +308,7 @@ def single_receiver_features(spark, sf_dir):
 @query("binary_windows", f"""with {SEGMENTS}
 select recording_id, segment, 'id_person_0'||(1+(recording_id//4)%4) as person_id, 'label_0'||(recording_id%4) as label,
   cast(recording_id%4>0 as int) as binary_label, case when recording_id%4>0 then 'motion' else 'no_motion' end as binary_name,
-  recording_id%4 as distance_m, count(distinct seg_t) as n_packets, count(distinct device) as n_devices
+  recording_id%4 as distance_m, count(distinct seg_t) as n_packets, count(distinct device) as n_devices, count(distinct sc) as n_subcarriers
 from seg group by 1,2""")
 def binary_windows(spark, sf_dir):
     w = recordings.binary_windows(packets(spark, sf_dir), packet_layout(spark, sf_dir), DEVICES, WIDTH, STEP)

@@ -51,7 +51,10 @@ def window_metadata(windows: DataFrame) -> DataFrame:
     """One row per window with its labels and sizes."""
     return windows.groupBy(
         "recording_id", "segment", "person_id", "label", "binary_label", "binary_name", "distance_m"
-    ).agg(F.countDistinct("seg_t").alias("n_packets"), F.countDistinct("device").alias("n_devices"))
+    ).agg(
+        F.countDistinct("seg_t").alias("n_packets"), F.countDistinct("device").alias("n_devices"),
+        F.max(F.floor(F.size("iq") / 2)).alias("n_subcarriers"),
+    )
 
 
 def device_scale(samples: DataFrame, packets: DataFrame, by: list[str], largest: int | None = None) -> DataFrame:
