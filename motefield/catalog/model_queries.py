@@ -192,7 +192,7 @@ def grown_query(grow, target=distance):
 
 
 query("fit_trees_nobootstrap")(grown_query(lambda train: trees.fit_extra_trees(train, 4, 300, leaf=2)))
-query("fit_boosting_multiclass")(grown_query(lambda train: trees.fit_boosting(train, 4, 4, 0.1, 40, 3.0)))
+query("fit_boosting_multiclass")(grown_query(lambda train: trees.fit_boosting(train, 4, 4, 0.1, 20, 3.0)))
 
 
 @query("pca_evr")

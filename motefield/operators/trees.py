@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motefield.operators.batched import added
-from motefield.runtime import materialise
+from motefield.runtime import materialise, packed
 
+# Rows up to which a table is one partition, whose jobs need no shuffle.
+ONE_PARTITION = 20_000
 # Numbers in the vector of one job; a level with more nodes is worked in several jobs.
 VECTOR_LENGTH = 4 << 20
 
@@ -121,6 +123,8 @@ def fit_extra_trees(
     whole = added(data.mapInPandas(count, "v binary"))
     if whole is None:
         raise ValueError("no rows to grow trees on")
+    n = int(whole.sum())
+    data = packed(materialise(data), n, ONE_PARTITION)
     width = len(data.select("features").first()[0])
     inspect = {"sqrt": max(1, int(np.sqrt(width))), "log2": max(1, int(np.log2(width)))}.get(subset or "all", width)
     weight = whole.sum() / ((whole > 0).sum() * np.maximum(whole, 1)) if balanced else np.ones(classes)
@@ -133,7 +137,7 @@ def fit_extra_trees(
         step = max(1, VECTOR_LENGTH // max(2 * width, inspect * classes))
         for start in range(0, len(open_), step):
             part = open_[start : start + step]
-            grown += _grow(data, forest, part, width, classes, inspect, leaf, weight, seed)
+            grown += _grow(data, forest, part, width, classes, inspect, leaf, weight, seed, n < ONE_PARTITION)
         open_, level = grown, level + 1
     return ExtraTrees(forest, weight)
 
@@ -153,7 +157,7 @@ def _node_rows(tree: Tree, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(at[order], np.arange(len(tree.feature) + 1))
 
 
-def _grow(data, forest, part, width, classes, inspect, leaf, weight, seed) -> list[tuple[int, int]]:
+def _grow(data, forest, part, width, classes, inspect, leaf, weight, seed, single) -> list[tuple[int, int]]:
     wanted = _by_tree(part)
     shared = data.sparkSession.sparkContext.broadcast({t: forest[t] for t in wanted})
 
@@ -169,7 +173,7 @@ def _grow(data, forest, part, width, classes, inspect, leaf, weight, seed) -> li
                         out[place] = own.min(axis=0), -own.max(axis=0)
             yield pd.DataFrame({"v": [out.tobytes()]})
 
-    found = added(data.mapInPandas(bounds, "v binary"), "minimum").reshape(len(part), 2, width)
+    found = added(data.mapInPandas(bounds, "v binary"), "minimum", single).reshape(len(part), 2, width)
     drawn = [draws(seed, t, n, found[p, 0], -found[p, 1], inspect) for p, (t, n) in enumerate(part)]
 
     def below(frames):
@@ -185,7 +189,7 @@ def _grow(data, forest, part, width, classes, inspect, leaf, weight, seed) -> li
                         out[place, k] = hot[own[x[own, j] <= threshold]].sum(axis=0)
             yield pd.DataFrame({"v": [out.tobytes()]})
 
-    counts = added(data.mapInPandas(below, "v binary")).reshape(len(part), inspect, classes)
+    counts = added(data.mapInPandas(below, "v binary"), single=single).reshape(len(part), inspect, classes)
     grown = []
     for place, (t, node) in enumerate(part):
         parent = forest[t].counts[node]
@@ -275,8 +279,9 @@ def fit_boosting(
     borders = borders_of(data, width, bins - 1)
     slots = max([len(b) for b in borders], default=0) + 1
     model = Boosted(np.zeros(classes), rate)
-    data = materialise(data.withColumn("margin", F.array_repeat(F.lit(0.0), classes)))
-    done = 0
+    n = data.count()
+    data = packed(materialise(data.withColumn("margin", F.array_repeat(F.lit(0.0), classes))), n, ONE_PARTITION)
+    done, single = 0, n < ONE_PARTITION
 
     def state(frame, model, done):
         x, y = inputs(frame)
@@ -306,7 +311,7 @@ def fit_boosting(
                                     np.add.at(out[k, :, c, j, :], (leaf, bin_), part[:, c])
                     yield pd.DataFrame({"v": [np.concatenate([[loss], out.ravel()]).tobytes()]})
 
-            total = added(data.mapInPandas(look, "v binary"))
+            total = added(data.mapInPandas(look, "v binary"), single=single)
             if level == 0:
                 model.losses.append(float(total[0]))
             sums = total[1:].reshape((2, 2**level, classes, width, slots) if level < depth else (2, 2**level, classes))
