@@ -32,7 +32,7 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``n_near``, for every id divisible by 100: the documents whose fingerprints differ in at most three bits, itself not counted."""
+    """``n_near``, for every id divisible by 100: the documents whose fingerprints differ in at most 16 of 128 bits, itself not counted."""
     path = new_table_path(spark, "prints")
     out = simhash.neighbour_likeness(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     out.write.option("compression", "zstd").parquet(path)

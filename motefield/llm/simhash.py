@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motefield.llm.batches import id_and_text, mixed, shingle_hashes, spread, text_bytes, text_slices, word_hashes
@@ -18,6 +20,8 @@ BITS = 128
 TERM_WORDS = 3
 # Text bytes of a range of documents in id order.
 RANGE_BYTES = 32 << 20
+# Bits in which near copies may differ: texts with a Jaccard likeness of 0.8 or more lie 11 bits apart in the middle.
+RADIUS = 16
 
 
 def fingerprints(column: pa.Array) -> np.ndarray:
@@ -126,13 +130,6 @@ def neighbour_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return table.where("part is null").select(*NAMES).unionByName(pairs.select("doc_id", "tail", "head").mapInArrow(close, ROWS))
 
 
-def block_keys(prints: DataFrame, blocks: int) -> DataFrame:
-    """One row per fingerprint and block table: the table's number and the block it sorts first."""
-    width = BITS // 4 // blocks
-    keys = F.array(*[F.struct(F.lit(i).alias("block"), F.substring("fingerprint", 1 + i * width, width if i < blocks - 1 else BITS).alias("key")) for i in range(blocks)])
-    return prints.select("*", F.explode(keys).alias("at")).select("*", "at.block", "at.key").drop("at")
-
-
 def halves(column: str) -> list:
     """The two signed halves of a hexadecimal fingerprint; a lower half above the signed range wraps around."""
     out = []
@@ -143,22 +140,53 @@ def halves(column: str) -> list:
     return out
 
 
-def within_radius(queries: DataFrame, prints: DataFrame, radius: int = 3) -> DataFrame:
+def block_layout(radius: int) -> tuple[list[tuple[int, int, int]], int]:
+    """Blocks as (half, shift, width), and the most bits in which one block at least agrees within the radius.
+
+    There are so many blocks that the flips to try are two at most: 22 bits and 254 keys a block for a radius of 16.
+    """
+    per_half = max(2, -(-(radius // 3 + 1) // 2))
+    edges = [k * 64 // per_half for k in range(per_half + 1)]
+    return [(half, low, high - low) for half in range(2) for low, high in zip(edges, edges[1:])], radius // (2 * per_half)
+
+
+def block_of(half: Column, shift: int, width: int) -> Column:
+    return F.shiftrightunsigned(half, shift).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def flipped(key: Column) -> Callable[[Column], Column]:
+    return lambda flip: key.bitwiseXOR(flip)
+
+
+def table_keys(radius: int, probes: bool) -> Column:
+    """Keys of a fingerprint in all block tables: table number and block as one number; with all flips of few bits if asked for."""
+    blocks, most = block_layout(radius)
+    keys = []
+    for table, (half, shift, width) in enumerate(blocks):
+        key = block_of(F.col(f"half_{half}"), shift, width).bitwiseOR(F.lit(table << 32))
+        flips = [sum(1 << bit for bit in bits) for n in range(most + 1 if probes else 1) for bits in combinations(range(width), n)]
+        every = F.split(F.lit(",".join(map(str, flips))), ",").cast("array<bigint>")
+        keys.append(F.transform(every, flipped(key)))
+    return F.explode(F.concat(*keys))
+
+
+def within_radius(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Pairs ``query, fingerprint, distance`` of distinct fingerprints that differ in at most ``radius`` bits.
 
-    ``queries`` and ``prints`` hold a hexadecimal column ``fingerprint``. Fingerprints are cut into radius + 1 blocks; two within the
-    radius agree in one block at least, so the tables sorted by each block hold every pair. A pair counts in the first table in which
-    it meets. Equal fingerprints are taken once; a hot block is split by the adaptive join.
+    ``queries`` and ``prints`` hold a hexadecimal column ``fingerprint``; nulls are left out, equal ones are taken once. Two fingerprints
+    within the radius differ in at most radius / blocks bits of one block, so a query that asks each block table for its own block and for
+    all blocks that few flips make of it meets every such fingerprint. A pair counts in the first table in which it meets. Every fingerprint
+    is stored once a table; only queries are multiplied. A hot block is split by the adaptive join.
     """
-    blocks = radius + 1
-    left = block_keys(queries.select("fingerprint").where("fingerprint is not null").distinct(), blocks)
-    right = block_keys(prints.select("fingerprint").where("fingerprint is not null").distinct(), blocks)
-    a, b = (f.select("block", "key", F.col("fingerprint").alias(n), *[h.alias(f"{n}_{i}") for i, h in enumerate(halves("fingerprint"))]) for f, n in ((left, "query"), (right, "found")))
-    apart = F.bit_count(F.col("query_0").bitwiseXOR(F.col("found_0"))) + F.bit_count(F.col("query_1").bitwiseXOR(F.col("found_1")))
-    width = BITS // 4 // blocks
-    first = F.lit(True)
-    for i in range(blocks - 1):
-        same = F.substring("query", 1 + i * width, width) == F.substring("found", 1 + i * width, width)
-        first = first & ~((F.lit(i) < a["block"]) & same)
-    on = (a["block"] == b["block"]) & (a["key"] == b["key"]) & (apart <= radius) & first
-    return a.join(b, on).select("query", F.col("found").alias("fingerprint"), apart.alias("distance"))
+    blocks, most = block_layout(radius)
+    sides = []
+    for side, name, probes in ((queries, "q", True), (prints, "f", False)):
+        rows = side.select("fingerprint").where("fingerprint is not null").distinct()
+        rows = rows.select(*[h.alias(f"half_{i}") for i, h in enumerate(halves("fingerprint"))])
+        sides.append(rows.select(table_keys(radius, probes).alias("key"), *[F.col(f"half_{i}").alias(f"{name}{i}") for i in range(2)]))
+    other = [F.col(f"q{i}").bitwiseXOR(F.col(f"f{i}")) for i in range(2)]
+    apart = F.bit_count(other[0]) + F.bit_count(other[1])
+    first = F.coalesce(*[F.when(F.bit_count(block_of(other[half], shift, width)) <= most, table) for table, (half, shift, width) in enumerate(blocks)])
+    met = sides[0].join(sides[1], "key").where((apart <= radius) & (first == F.shiftright("key", 32)))
+    hexed = [F.concat(*[F.lpad(F.lower(F.hex(f"{n}{i}")), 16, "0") for i in range(2)]) for n in "qf"]
+    return met.select(hexed[0].alias("query"), hexed[1].alias("fingerprint"), apart.alias("distance"))

@@ -203,11 +203,11 @@ def test_fingerprint_votes():
         assert (int(found[0][0]) >> bit & 1) == (2 * sum(v >> bit & 1 for v in votes) > len(votes))
 
 
-@pytest.mark.parametrize("radius", [0, 1, 3, 7])
+@pytest.mark.parametrize("radius", [0, 1, 3, 7, 16])
 def test_search_within_a_radius(spark, radius):
     rng = random.Random(radius)
     base = [rng.getrandbits(128) for _ in range(40)]
-    every = base + [b ^ sum(1 << p for p in rng.sample(range(128), rng.randint(0, 9))) for b in base for _ in range(6)]
+    every = base + [b ^ sum(1 << p for p in rng.sample(range(128), rng.randint(0, 9 if radius < 16 else 20))) for b in base for _ in range(6)]
     prints = spark.createDataFrame([(f"{v:032x}",) for v in every], "fingerprint string")
     asked = spark.createDataFrame([(f"{v:032x}",) for v in base[:15]], "fingerprint string")
     got = {(r.query, r.fingerprint, r.distance) for r in simhash.within_radius(asked, prints, radius).collect()}
@@ -231,3 +231,25 @@ def test_search_of_the_report_with_repeated_ids(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.op3_simhash(spark, str(tmp_path)).collect()
     assert sorted(((r.doc_id, r.n_near) for r in got), key=repr) == sorted([(100, 3), (100, 3), (100, 0), (7, None), (200, 0), (None, None)], key=repr)
+
+
+def test_near_copies_are_found_within_the_radius(spark):
+    """Of planted copies with a likeness of 0.8 or more on five-word shingles nine tenths at least; of other texts none."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts, pairs = [], []
+    for i in range(120):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(150, 500))]
+        copy = list(words)
+        for _ in range(rng.randint(1, max(1, len(words) // 60))):
+            copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+        a, b = shingles(" ".join(words)), shingles(" ".join(copy))
+        if len(a & b) >= 0.8 * len(a | b):
+            pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(words), " ".join(copy)]
+    hexed = simhash.hex_of(simhash.fingerprints(pa.array(texts)))
+    prints = spark.createDataFrame([(h,) for h in hexed], "fingerprint string")
+    found = {(r.query, r.fingerprint) for r in simhash.within_radius(prints, prints).collect()}
+    assert len(pairs) > 60 and np.mean([(hexed[a], hexed[b]) in found for a, b in pairs]) >= 0.9
+    number = {h: i // 2 for i, h in enumerate(hexed)}
+    assert all(number[a] == number[b] for a, b in found)
