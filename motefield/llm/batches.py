@@ -19,6 +19,14 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def free_names(columns: list[str], wanted: list[str]) -> list[str]:
+    """The wanted names, led by as many underscores as it takes for none to be a column of the table already."""
+    taken, lead = {c.lower() for c in columns}, "__"
+    while any((lead + w).lower() in taken for w in wanted):
+        lead += "_"
+    return [lead + w for w in wanted]
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``limit`` bytes of ``column``; one row is never cut."""
     for batch in batches:

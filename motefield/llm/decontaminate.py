@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motefield.llm.batches import spread, text_bytes, text_slices, word_hashes
+from motefield.llm.batches import free_names, spread, text_bytes, text_slices, word_hashes
 from motefield.runtime import materialise
 
 WINDOW = 10
@@ -24,7 +24,8 @@ BLOCK_BYTES = 16 << 20
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 IS_GAP = np.ones(256, dtype=bool)
 IS_GAP[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
-PREFILTER_BITS = 20
+# A first look takes about one in so many foreign windows for known.
+PREFILTER = 16
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -40,36 +41,63 @@ def rolled(words: np.ndarray, length: int) -> np.ndarray:
 
 
 class WindowSet:
-    """The windows of one block of items: exact, by word, and hashed for a first look."""
-
-    def __init__(self, items: Iterable[tuple[object, str | None]]):
-        self.exact: dict[tuple[bytes, ...], set[str]] = {}
-        for item, text in items:
-            words = words_of(text)
-            size = min(WINDOW, len(words))
-            for i in range(len(words) - size + 1 if words else 0):
-                self.exact.setdefault(tuple(words[i : i + size]), set()).add(str(item))
-        self.hashed: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for length in sorted({len(w) for w in self.exact}):
-            windows = [w for w in self.exact if len(w) == length]
-            joined = b" ".join(word for w in windows for word in w)
-            hashes, _ = word_hashes(np.frombuffer(joined, dtype=np.uint8), np.array([0, len(joined)]), IS_GAP)
-            keys = np.unique(rolled(hashes, length)[::length])
-            seen = np.zeros(1 << PREFILTER_BITS, dtype=bool)
-            seen[keys >> np.uint64(64 - PREFILTER_BITS)] = True
-            self.hashed[length] = keys, seen
-
-    def candidates(self, words: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """For each text that may hold a window, the (place, length) to verify."""
-        out: dict[int, list[tuple[int, int]]] = {}
-        for length, (keys, seen) in self.hashed.items():
+    """The windows of one block of items: hashes in order, places in the block's words, and the words themselves.
+
+    Windows of equal words form a group; the first of a group stands for it, the items of a group are a stretch of ``items``. A
+    word of the block takes some 50 bytes, whatever windows hold it.
+    """
+
+    def __init__(self, rows: Iterable[tuple[str | None, str | None]]):
+        rows = [(item, b" ".join(words_of(text))) for item, text in rows]
+        rows = [(item, text) for item, text in rows if text]
+        self.names = [item for item, _ in rows]
+        self.text = b" ".join(text for _, text in rows)
+        data = np.frombuffer(self.text, dtype=np.uint8)
+        offsets = np.cumsum([0, *(len(text) + 1 for _, text in rows)])
+        offsets[-1:] = len(data)
+        words, bounds = word_hashes(data, offsets, IS_GAP)
+        spaces = np.flatnonzero(data == 0x20).astype(np.int32)
+        starts, ends = np.append(np.int32(0), spaces + np.int32(1)), np.append(spaces, np.int32(len(data)))
+        sizes = np.diff(bounds)
+        owner = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+        left = np.repeat(bounds[1:], sizes) - np.arange(len(words))
+        length_of = np.minimum(sizes, WINDOW)[owner] if len(rows) else np.zeros(0, dtype=np.int64)
+        self.groups: dict[int, tuple[np.ndarray, ...]] = {}
+        for length in np.unique(length_of).tolist():
+            at = np.flatnonzero((length_of == length) & (left >= length))
+            hashes = rolled(words, length)[at]
+            order = np.lexsort((at, hashes))
+            at, hashes = at[order], hashes[order]
+            first, last = starts[at], ends[at + length - 1]
+            new = np.append(True, hashes[1:] != hashes[:-1])
+            for k in np.flatnonzero(~new).tolist():  # only windows that repeat: equal hash, and equal words?
+                new[k] = self.text[first[k] : last[k]] != self.text[first[k - 1] : last[k - 1]]
+            heads = np.flatnonzero(new)
+            seen = np.zeros(1 << max(16, int(PREFILTER * len(heads)).bit_length()), dtype=bool)
+            seen[hashes[heads] >> np.uint64(65 - len(seen).bit_length())] = True
+            self.groups[length] = hashes[heads], first[heads], last[heads], np.append(heads, len(at)), owner[at], seen
+
+    def items_of(self, window: bytes, length: int, key: np.uint64) -> np.ndarray:
+        """Numbers of the items that hold a window, given its words and their hash."""
+        keys, first, last, bounds, owner, _ = self.groups[length]
+        found = [np.zeros(0, dtype=np.int32)]
+        for g in range(int(np.searchsorted(keys, key)), int(np.searchsorted(keys, key, side="right"))):
+            if self.text[first[g] : last[g]] == window:
+                found.append(owner[bounds[g] : bounds[g + 1]])
+        return np.unique(np.concatenate(found))
+
+    def candidates(self, words: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[int, int, np.uint64]]]:
+        """For each text that may hold a window, the (place, length, hash) to verify."""
+        out: dict[int, list[tuple[int, int, np.uint64]]] = {}
+        for length, (keys, *_, seen) in self.groups.items():
             at = rolled(words, length)
-            places = np.flatnonzero(seen[at >> np.uint64(64 - PREFILTER_BITS)])
-            places = places[np.isin(at[places], keys)]
+            places = np.flatnonzero(seen[at >> np.uint64(65 - len(seen).bit_length())])
+            near = np.minimum(np.searchsorted(keys, at[places]), len(keys) - 1)
+            places = places[keys[near] == at[places]]
             texts = np.searchsorted(offsets, places, side="right") - 1
             inside = places + length <= offsets[texts + 1]
             for place, text in zip(places[inside].tolist(), texts[inside].tolist()):
-                out.setdefault(text, []).append((place - int(offsets[text]), length))
+                out.setdefault(text, []).append((place - int(offsets[text]), length, at[place]))
         return out
 
 
@@ -93,34 +121,44 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str):
         yield [(r.item, r.text) for r in part.collect()], k == blocks - 1
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Add ``n_words``, ``hit_ranges`` (word places, start and end in turn) and ``hit_items`` to every row.
+ADDED = {"n_words": "long", "hit_ranges": "array<int>", "hit_items": "array<string>"}
+
+
+def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", names: list[str] | None = None) -> DataFrame:
+    """Add ``n_words``, ``hit_ranges`` (word places, start and end in turn) and ``hit_items``, or three other ``names``, to every row.
 
     A word is hit if it lies in any occurrence of a window: ten consecutive words of an item, or all of an item of fewer. A
-    null or empty text has no words; an empty item or benchmark hits nothing; repeated rows and items stay as they are;
-    columns called like the three added are replaced, all others stay.
+    null or empty text has no words; an empty item or benchmark hits nothing; repeated rows and items stay as they are; an item without an
+    id counts as one item more, whose entry is null; a text of any length is scanned whole, by one task; columns called like
+    the three added are replaced, all others stay.
     """
     spark = docs.sparkSession
-    added = {"n_words": "long", "hit_ranges": "array<int>", "hit_items": "array<string>"}
-    kept = [c for c in docs.columns if c not in added]
-    empty = [F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hit_ranges"), F.array().cast("array<string>").alias("hit_items")]
+    added = list(names or ADDED)
+    n_words, hit_ranges, hit_items = added
+    kept = [c for c in docs.columns if c.lower() not in {a.lower() for a in added}]
+    empty = [F.lit(0).cast("long").alias(n_words), F.array().cast("array<int>").alias(hit_ranges), F.array().cast("array<string>").alias(hit_items)]
     state = docs.select(*[f"`{c}`" for c in kept], *empty)
     for items, is_last in item_blocks(benchmark, item_col, item_text):
         windows = spark.sparkContext.broadcast(WindowSet(items))
 
         def look(batches, windows=windows):
+            known = windows.value
             for rows in text_slices(batches, text_col):
                 column = rows.column(text_col)
                 hashes, offsets = word_hashes(*text_bytes(column), IS_GAP)
-                ranges, names = rows.column("hit_ranges").to_pylist(), rows.column("hit_items").to_pylist()
-                for text, places in windows.value.candidates(hashes, offsets).items():
+                ranges, items = rows.column(hit_ranges).to_pylist(), rows.column(hit_items).to_pylist()
+                for text, places in known.candidates(hashes, offsets).items():
                     words = words_of(column[text].as_py())
-                    found = [(p, n, windows.value.exact.get(tuple(words[p : p + n]))) for p, n in places]
-                    old = list(zip(ranges[text][::2], ranges[text][1::2]))
-                    ranges[text] = [x for r in merged(old + [(p, p + n) for p, n, items in found if items]) for x in r]
-                    names[text] = sorted({*names[text], *(i for _, _, items in found if items for i in items)})
+                    hit, holders = list(zip(ranges[text][::2], ranges[text][1::2])), set()
+                    for place, length, key in places:
+                        found = known.items_of(b" ".join(words[place : place + length]), length, key)
+                        if len(found):
+                            hit.append((place, place + length))
+                            holders.update(found.tolist())
+                    ranges[text] = [x for r in merged(hit) for x in r]
+                    items[text] = sorted({*items[text], *(known.names[i] for i in holders)}, key=lambda name: (name is None, name or ""))
                 columns = [rows.column(c) for c in kept]
-                columns += [pa.array(np.diff(offsets), pa.int64()), pa.array(ranges, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))]
+                columns += [pa.array(np.diff(offsets), pa.int64()), pa.array(ranges, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, [*kept, *added])
 
         state = state.mapInArrow(look, state.schema)
@@ -130,7 +168,11 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` of every row."""
+    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` of every row.
+
+    Nulls, empty and long texts, repeated rows and empty tables as in ``mark``; ids may repeat or be null; an item without an id counts
+    but adds nothing to the digest; other columns are not read.
+    """
     marked = mark(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), benchmark)
     hit = F.aggregate("hit_ranges", F.struct(F.lit(-1).alias("sign"), F.lit(0).alias("n")), lambda acc, x: F.struct((-acc["sign"]).alias("sign"), (acc["n"] + acc["sign"] * x).alias("n")), lambda acc: acc["n"])
     return marked.select(
@@ -140,25 +182,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows without a hit, as they were."""
-    return mark(docs, benchmark, text_col).where(F.size("hit_items") == 0).select(*[f"`{c}`" for c in docs.columns])
+    """The rows without a hit, as they were, whatever their further columns are called.
+
+    Null and empty texts hold no window and stay, as do repeated clean rows; an empty benchmark removes nothing; long texts as in ``mark``.
+    """
+    names = free_names(docs.columns, list(ADDED))
+    return mark(docs, benchmark, text_col, names=names).where(F.size(names[2]) == 0).select(*[f"`{c}`" for c in docs.columns])
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """Every row, without the text from the first to the last word of each hit range; clean texts stay as they are."""
-    marked = mark(docs, benchmark, text_col)
+    """Every row, without the text from the first to the last word of each hit range; clean texts and all other columns stay as they are.
+
+    Null and empty texts stay; repeated rows are cut alike; an empty benchmark cuts nothing; a text is rebuilt once from what lies between its ranges.
+    """
+    reserved = free_names(docs.columns, list(ADDED))
+    marked = mark(docs, benchmark, text_col, names=reserved)
     names = docs.columns
 
     def cut(batches):
         for rows in text_slices(batches, text_col):
             texts = rows.column(text_col).to_pylist()
-            for k, ranges in enumerate(rows.column("hit_ranges").to_pylist()):
+            for k, ranges in enumerate(rows.column(reserved[1]).to_pylist()):
                 if ranges:
                     raw = texts[k].encode()
-                    at = [(m.start(), m.end()) for m in WORD.finditer(raw.lower())]
-                    for start, end in reversed(list(zip(ranges[::2], ranges[1::2]))):
-                        raw = raw[: at[start][0]] + raw[at[end - 1][1] :]
-                    texts[k] = raw.decode()
+                    at = [m.span() for m in WORD.finditer(raw.lower())]
+                    edges = [0, *(e for start, end in zip(ranges[::2], ranges[1::2]) for e in (at[start][0], at[end - 1][1])), len(raw)]
+                    texts[k] = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])).decode()
             columns = [pa.array(texts, rows.schema.field(c).type) if c == text_col else rows.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 

@@ -11,11 +11,12 @@ candidates that are discoveries against ordinary text and that uniform symbols e
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motefield.llm.batches import free_names
 from motefield.runtime import new_table_path
 
 # Fixed patterns by kind, in the order of reports: pattern, group whose length counts, least length.
@@ -42,36 +43,70 @@ SYMBOLS = ENCODINGS["mixed"][1]
 # Length bands within which false discoveries are controlled, the rate allowed, and the level of the tests of uniformity.
 BANDS = (20, 28, 40, 64)
 RATE, UNIFORM_Q = 0.01, 21.11  # chi-squared with three degrees of freedom at 1e-4
+# Values folded at once, and a place beyond any text.
+BLOCK, LAST = 128, 2**31 - 1
 # p-values are binned at a tenth of a decade down to 1e-40.
 BINS = 400
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once for a row, however often the body reads it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def in_blocks(values: Column) -> Column:
+    """An array cut into arrays of ``BLOCK`` values."""
+    whole = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int"))
+    return F.when(F.size(values) > 0, F.transform(whole, lambda k: F.slice(values, k * BLOCK + 1, BLOCK))).otherwise(F.slice(F.array(values), 1, 0))
+
+
+def folded_before(values: Column, start: int, fold: Callable[[Column, Column], Column]) -> Column:
+    """For each whole number of an array, the fold of all before it.
+
+    A plain running fold copies what it has at each step, which is quadratic; here blocks are folded first, then each block
+    runs from the fold of the blocks before it.
+    """
+    first = F.lit(start).cast("int")
+
+    def running(some: Column, at: Column) -> Column:
+        empty = F.struct(at.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(some, empty, lambda acc, x: F.struct(fold(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def of_blocks(blocks: Column) -> Column:
+        starts = running(F.transform(blocks, lambda b: F.aggregate(b, first, fold)), first)
+        return F.flatten(F.zip_with(blocks, starts, running))
+
+    return bound(values, lambda all_: bound(in_blocks(all_), of_blocks))
+
+
 def found(text: Column, pattern: str, group: int, least: int) -> Column:
     """Leftmost non-overlapping matches as structs of start, end and text; start and end in code points.
 
-    A text is only cut up if the pattern occurs in it. Matches whose group is too short are dropped after the search.
+    A text is only cut up if the pattern occurs in it. Matches whose group is too short are dropped after the search. The work grows
+    about in proportion to text and matches.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     sized = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length) if group else F.transform(whole, F.length)
-    gaps = F.split(text, pattern, -1)
-    parts = F.zip_with(F.arrays_zip(whole.alias("found"), sized.alias("sized")), gaps, lambda m, gap: F.struct(F.length(gap).alias("gap"), m["found"].alias("found"), m["sized"].alias("sized")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string,sized:int>>").alias("spans"))
-
-    def step(acc: Column, part: Column) -> Column:
-        start = acc["at"] + part["gap"]
-        end = start + F.length(part["found"])
-        span = F.struct(start.alias("start"), end.alias("end"), part["found"].alias("found"), part["sized"].alias("sized"))
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(part["found"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).alias("spans"))
-
-    spans = F.aggregate(parts, empty, step, lambda acc: acc["spans"])
-    kept = F.transform(F.filter(spans, lambda s: s["sized"] >= least), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found")))
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    pairs = F.zip_with(F.arrays_zip(whole.alias("found"), sized.alias("sized")), gaps, lambda m, gap: F.struct(gap.alias("gap"), m["found"].alias("found"), m["sized"].alias("sized")))
+    matches = F.filter(pairs, lambda p: p["found"].isNotNull())
+
+    def placed(all_: Column) -> Column:
+        before = folded_before(F.transform(all_, lambda p: p["gap"] + F.length(p["found"])), 0, lambda at, x: at + x)
+        return F.zip_with(all_, before, lambda p, at: F.struct((at + p["gap"]).alias("start"), (at + p["gap"] + F.length(p["found"])).alias("end"), p["found"].alias("found"), p["sized"].alias("sized")))
+
+    kept = F.transform(F.filter(bound(matches, placed), lambda s: s["sized"] >= least), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found")))
     return F.when(text.rlike(pattern), kept).otherwise(F.array().cast("array<struct<start:int,end:int,found:string>>"))
 
 
 def symbol_counts(texts: DataFrame) -> dict[str, int]:
-    """How often each symbol occurs in the whole column ``text``; one row of sums."""
-    sums = [F.sum(F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit(c), F.lit("")))) for c in SYMBOLS]
-    row = texts.agg(*sums).first()
+    """How often each symbol occurs in the whole column ``text``.
+
+    Texts are read once: runs of symbols are counted, equal ones together before the shuffle, and symbols are taken from the distinct runs.
+    """
+    runs = texts.select(F.explode(F.split("text", "[^A-Za-z0-9+/_-]+")).alias("run")).groupBy("run").agg(F.count("*").alias("times"))
+    sums = [F.sum((F.octet_length("run") - F.octet_length(F.replace(F.col("run"), F.lit(c), F.lit("")))) * F.col("times")) for c in SYMBOLS]
+    row = runs.agg(*sums).first()
     return {c: int(n or 0) + 1 for c, n in zip(SYMBOLS, row)}
 
 
@@ -214,32 +249,51 @@ def count_of(kind: int) -> Column:
     return F.size(F.filter("secrets", lambda span: span["kind"] == kind)).cast("long")
 
 
-def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``secrets``: array of (start, kind number, end) in report order, base kinds first where they start together.
+def untouched(spans: Column, base: Column) -> Column:
+    """Start and end of those ``spans`` that share no place with a base span; no span is held against all base spans."""
+    merged = F.array_sort(F.concat(
+        F.transform(base, lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("is_span"), s["end"].alias("end"))),
+        F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(1).alias("is_span"), s["end"].alias("end"))),
+    ))
+
+    def marked(rows: Column) -> Column:
+        last_end = folded_before(F.transform(rows, lambda r: F.when(r["is_span"] == 0, r["end"]).otherwise(0)), 0, lambda at, x: F.greatest(at, x))
+        starts = F.reverse(F.transform(rows, lambda r: F.when(r["is_span"] == 0, r["start"]).otherwise(LAST)))
+        next_start = F.reverse(folded_before(starts, LAST, lambda at, x: F.least(at, x)))
+        joined = F.zip_with(rows, F.arrays_zip(last_end.alias("e"), next_start.alias("s")), lambda r, n: F.struct(r.alias("r"), ((n["e"] > r["start"]) | (n["s"] < r["end"])).alias("hit")))
+        return F.transform(F.filter(joined, lambda j: (j["r"]["is_span"] == 1) & ~j["hit"]), lambda j: F.struct(j["r"]["start"].alias("start"), j["r"]["end"].alias("end")))
+
+    return bound(merged, marked)
 
-    A null text counts as empty and has none; an empty table gives an empty one; all other columns stay, unless one is called
-    ``secrets``, which is replaced. Random runs that touch a base span are left out, as they are reported already.
+
+def scan(docs: DataFrame, text_col: str = "text", name: str = "secrets") -> DataFrame:
+    """Add ``secrets`` (or another ``name``): array of (start, kind number, end) in report order, base kinds first where they start together.
+
+    A null text counts as empty and has none; an empty table gives an empty one; repeated rows are scanned alike; a text of any length is
+    scanned whole, by one task; all other columns stay, unless one is called like the added one, which is replaced. Random runs that touch a
+    base span are left out, as they are reported already.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     counts = symbol_counts(docs.select(text.alias("text")))
     base = [F.transform(found(text, *spec), of_kind(k)) for k, spec in enumerate(BASE.values())]
-    marked = docs.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c != "secrets"], F.concat(*base).alias("__base"), tested(found(text, CANDIDATE, 0, BANDS[0]), counts).alias("__tested")
-    )
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
+    base_name, tested_name = free_names(kept, ["base", "tested"])
+    marked = docs.select(*[F.col(f"`{c}`") for c in kept], F.concat(*base).alias(base_name), tested(found(text, CANDIDATE, 0, BANDS[0]), counts).alias(tested_name))
     path = new_table_path(spark, "secrets")
     marked.write.option("compression", "zstd").parquet(path)
     marked = spark.read.schema(marked.schema).parquet(path)
-    least = discovery_bins(marked.select(F.explode("__tested").alias("t")).select("t.band", "t.bin"))
+    least = discovery_bins(marked.select(F.explode(tested_name).alias("t")).select("t.band", "t.bin"))
 
     def discovered(t: Column) -> Column:
         passed = F.lit(False)
         for band, b in least.items():
             passed = passed | ((t["band"] == band) & (t["bin"] >= b))
-        return passed & t["uniform"] & ~F.exists("__base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
+        return passed & t["uniform"]
 
-    random = F.transform(F.filter("__tested", discovered), of_kind(len(BASE)))
-    return marked.withColumn("secrets", F.array_sort(F.concat("__base", random))).drop("__base", "__tested")
+    passed = F.transform(F.filter(tested_name, discovered), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
+    random = F.when(F.size(passed) > 0, untouched(passed, F.col(base_name))).otherwise(passed)
+    return marked.withColumn(name, F.array_sort(F.concat(base_name, F.transform(random, of_kind(len(BASE)))))).drop(base_name, tested_name)
 
 
 def listed(spans: Column) -> Column:
@@ -257,15 +311,27 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def redact(docs: DataFrame, text_col: str = "text", marker: str = "[SECRET]") -> DataFrame:
-    """The rows with every span replaced by ``marker``, overlapping spans by one; clean and null texts stay as they are."""
-    out = scan(docs, text_col)
-    text = F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The rows with every span replaced by ``marker``, overlapping spans by one; clean and null texts and all other columns stay as they are.
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        more = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(marker))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
+    Nothing is dropped; repeated rows are masked alike; an empty table gives an empty one. The text is cut in two steps, by blocks of
+    spans and within each, so that a text with very many spans is not read from its start for each of them.
+    """
+    (name,) = free_names(docs.columns, ["secrets"])
+    out = scan(docs, text_col, name)
+    text = F.col(text_col)
 
-    clean = F.aggregate("secrets", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return out.withColumn(text_col, F.when(F.size("secrets") > 0, clean).otherwise(text)).select(*[f"`{c}`" for c in docs.columns])
+    def masked(spans: Column) -> Column:
+        covered = folded_before(F.transform(spans, lambda s: s["end"]), 0, lambda at, x: F.greatest(at, x))
+        seen = F.zip_with(spans, covered, lambda s, at: F.struct(at.alias("from"), s["start"].alias("to"), s["end"].alias("end")))
+        first = F.filter(seen, lambda s: s["to"] >= s["from"])
+        # A gap runs from where the spans before it end to the next span; the last one to the end of the text.
+        rest = F.struct(F.array_max(F.transform(spans, lambda s: s["end"])).alias("from"), F.length(text).alias("to"), F.length(text).alias("end"))
+        return bound(F.concat(first, F.array(rest)), lambda all_: F.array_join(F.flatten(F.transform(in_blocks(all_), cut)), marker))
+
+    def cut(block: Column) -> Column:
+        start = F.element_at(block, 1)["from"]
+        part = F.substring(text, start + 1, F.element_at(block, -1)["to"] - start)
+        return bound(part, lambda own: F.transform(block, lambda s: F.substring(own, s["from"] - start + 1, s["to"] - s["from"])))
+
+    clean = F.when(F.size(name) > 0, bound(F.col(name), masked)).otherwise(text)
+    return out.withColumn(text_col, clean).select(*[f"`{c}`" for c in docs.columns])

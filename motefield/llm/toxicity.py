@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from motefield.llm.batches import id_and_text, text_slices
+from motefield.llm.batches import free_names, id_and_text, text_slices
 from motefield.runtime import new_table_path
 
 # The classifier is fitted on at most so many confirmed toxic and unlabelled documents, taken in order of a hash of the id, and
@@ -196,20 +197,20 @@ def train(docs: DataFrame, labels: DataFrame, use=lambda doc_id: ~is_held_out(do
     return names, weights, bias
 
 
-def score(docs: DataFrame, model: tuple[list[str], np.ndarray, float]) -> DataFrame:
-    """Add ``score`` (0 to 1) to every row, from the text alone."""
+def score(docs: DataFrame, model: tuple[list[str], np.ndarray, float], text_col: str = "text", name: str = "score") -> DataFrame:
+    """Add a column ``name`` (0 to 1) to every row, from the text alone; a column already called so is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = [c for c in docs.columns if c != "score"]
+    columns = [c for c in docs.columns if c.lower() != name.lower()]
     docs = docs.select(*[f"`{c}`" for c in columns])
 
     def look(batches):
         names, weights, bias = shared.value
         chosen = Chosen(names)
-        for rows in text_slices(batches):
-            margins = np.array([weights[chosen.of_text(text or "")].sum() + bias for text in rows.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(1 / (1 + np.exp(-np.clip(margins, -50, 50))), pa.float64())], [*columns, "score"])
+        for rows in text_slices(batches, text_col):
+            margins = np.array([weights[chosen.of_text(text or "")].sum() + bias for text in rows.column(text_col).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(1 / (1 + np.exp(-np.clip(margins, -50, 50))), pa.float64())], [*columns, name])
 
-    return docs.mapInArrow(look, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", score double")
+    return docs.mapInArrow(look, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,6 +227,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that score below one half, as they were."""
+    """The rows that score below one half, as they were, whatever their further columns are called.
+
+    Null and empty texts score as a text without a feature and stay; rows with a null id are judged by their text; repeated rows are
+    judged alike; without labels, or without rows, nothing is rejected; a text of any length is read whole, by one task.
+    """
+    (name,) = free_names(docs.columns, ["score"])
     model = train(id_and_text(docs), labels.select("doc_id", "toxic"))
-    return score(docs, model).where("score < 0.5").select(*[f"`{c}`" for c in docs.columns])
+    return score(docs, model, name=name).where(F.col(name) < 0.5).select(*[f"`{c}`" for c in docs.columns])

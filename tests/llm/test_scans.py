@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from motefield.llm import decontaminate, html, secrets
+from motefield.llm import decontaminate, html, secrets, toxicity
 
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)""", re.A)
 
@@ -154,3 +154,65 @@ def test_pages_of_the_test_tables(spark):
         body = re.search("<article>(.*?)</article>", r.html, re.S)[1].replace("<br>", " ")
         blocks = [" ".join(unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("</?(?:p|h1)>", body)]
         assert got[r.page_id] == "\n\n".join(b for b in blocks if b)
+
+
+def by_row(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_further_columns_come_back_as_they_were(spark, odd):
+    """Columns called like those that the operators add keep their values."""
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, toxic int")
+    plain = odd.where("coalesce(doc_id, 0) <> 9")
+    for got in (decontaminate.remove_documents(odd, items), decontaminate.remove_spans(plain, items), secrets.redact(odd), toxicity.reject_toxic(odd, labels)):
+        assert got.columns == odd.columns and got.schema == odd.schema
+    assert by_row(decontaminate.remove_spans(plain, items)) == by_row(plain)
+    assert by_row(decontaminate.remove_documents(plain, items)) == by_row(plain)
+    assert by_row(secrets.redact(odd)) == by_row(odd) == by_row(toxicity.reject_toxic(odd, labels))
+    odder = plain.withColumn("__hit_items", decontaminate.F.lit("x")).withColumn("__Secrets", decontaminate.F.lit("y"))
+    assert by_row(decontaminate.remove_documents(odder, items)) == by_row(odder) == by_row(secrets.redact(odder))
+
+
+def test_secrets_of_a_text_with_very_many(spark):
+    """Several blocks of spans, overlapping kinds among them; the time grows with the text, not with its square."""
+    rng = random.Random(8)
+    some = ["password=secret%d", "é AKIA%020d", "token: " + "ab12" * 8 + "%d", "plain %d", "ünï " + "0f" * 15 + "%d"]
+    text = "\n".join(rng.choice(some) % i for i in range(3000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = base_spans(text)
+    at, out = 0, []
+    for start, _, end in spans:
+        if start >= at:
+            out += [text[at:start], "[SECRET]"]
+        at = max(at, end)
+    assert len(spans) > 2000 and secrets.redact(docs).first().text == "".join([*out, text[at:]])
+
+
+def test_symbols_are_counted_over_all_texts(spark):
+    texts = ["aab/+_-Z", "", None, "x é aab 09 !", "a" * 5000]
+    got = secrets.symbol_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert got == {c: 1 + sum((t or "").count(c) for t in texts) for c in secrets.SYMBOLS}
+
+
+def test_window_set_is_small():
+    """A block of benchmark text takes bytes, not objects; equal windows of several items are told apart from colliding ones."""
+    rng = random.Random(1)
+    rows = [(str(i), " ".join(f"w{rng.randrange(50_000)}" for _ in range(400))) for i in range(500)]
+    rows += [("copy", rows[3][1]), ("short", "alpha beta"), ("short again", "Alpha, beta"), ("none", None)]
+    known = decontaminate.WindowSet(rows)
+    held = len(known.text) + sum(a.nbytes for group in known.groups.values() for a in group)
+    assert held < 70 * sum(len(decontaminate.words_of(t)) for _, t in rows)
+    for length, text, names in ((10, " ".join(rows[3][1].split()[7:17]), {"3", "copy"}), (2, "alpha beta", {"short", "short again"})):
+        hashes, _ = decontaminate.word_hashes(*decontaminate.text_bytes(decontaminate.pa.array([text])), decontaminate.IS_GAP)
+        key = decontaminate.rolled(hashes, length)[0]
+        assert {known.names[i] for i in known.items_of(text.encode(), length, key)} == names
+        assert not len(known.items_of(b"other words", length, key))
+    assert decontaminate.WindowSet([]).groups == {}
+
+
+def test_items_without_an_id_count_but_are_not_named(spark):
+    docs = spark.createDataFrame([(1, "un été déjà vu ünïcödé ok"), (2, "x")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "été déjà vu"), (4, "vu ünïcödé")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.contamination(docs, items).collect()}
+    assert got == {1: (4, 2, hashlib.sha256(b"4").hexdigest()), 2: (0, 0, hashlib.sha256(b"").hexdigest())}
