@@ -187,6 +187,7 @@ def within_radius(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -
     other = [F.col(f"q{i}").bitwiseXOR(F.col(f"f{i}")) for i in range(2)]
     apart = F.bit_count(other[0]) + F.bit_count(other[1])
     first = F.coalesce(*[F.when(F.bit_count(block_of(other[half], shift, width)) <= most, table) for table, (half, shift, width) in enumerate(blocks)])
-    met = sides[0].join(sides[1], "key").where((apart <= radius) & (first == F.shiftright("key", 32)))
+    # Sizes are estimated before keys are multiplied, so neither side may be broadcast by estimate.
+    met = sides[0].hint("merge").join(sides[1].hint("merge"), "key").where((apart <= radius) & (first == F.shiftright("key", 32)))
     hexed = [F.concat(*[F.lpad(F.lower(F.hex(f"{n}{i}")), 16, "0") for i in range(2)]) for n in "qf"]
     return met.select(hexed[0].alias("query"), hexed[1].alias("fingerprint"), apart.alias("distance"))
