@@ -112,3 +112,21 @@ def test_boosting_equals_plain_growth(rows):
     assert all(np.allclose(a, b) for (_, a), (_, b) in zip(model.rounds, want)) and np.allclose(model.losses, losses)
     assert all(b < a for a, b in zip(model.losses, model.losses[1:])) and model.losses[0] == pytest.approx(240 * np.log(3))
     assert (model.scores(x).argmax(axis=1) == y).mean() > 0.7
+
+
+def test_forest_in_parts_keeps_a_few_trees_on_the_driver(spark, rows, monkeypatch):
+    """A forest beyond the bound is fitted in parts whose votes are added: every tree votes once, and no fit has more trees than the bound allows."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from motefield.operators import models
+
+    table = models.as_features(rows).withColumn("label", F.col("label").cast("double"))
+    fitted, plain = [], RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, df, params=None: fitted.append((self.getNumTrees(), self.getSeed())) or plain(self, df))
+    whole = models.forest_predict(models.forest(40, 8, 2), table, table).orderBy("row_id").toPandas()
+    parts = models.forest_predict(models.forest(40, 8, 2), table, table, forest_rows=240 * 15).orderBy("row_id").toPandas()
+    assert fitted == [(40, 42), (15, 42), (15, 57), (10, 72)]
+    assert list(whole["row_id"]) == list(parts["row_id"]) and set(parts.columns) >= {"scores", "y_pred", "score"}
+    a, b = (np.array(t["scores"].tolist()) for t in (whole, parts))
+    assert np.allclose(b.sum(axis=1), 1) and np.abs(a - b).mean() < 0.05 and (b.argmax(axis=1) == parts["y_pred"]).all()
+    assert (parts["score"] == b.max(axis=1)).all()
