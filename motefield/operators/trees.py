@@ -2,7 +2,9 @@
 
 No row is moved or marked. A task finds the node of each of its rows by walking the trees grown so far, and adds up what the next level
 needs in one vector; vectors are merged in two levels and the driver, which holds the trees, picks the splits. All trees of a
-forest grow side by side, so a forest takes two jobs a level however many trees it has.
+forest grow side by side, so a forest takes two jobs a level however many trees it has. The trees of a forest that only has to score some rows
+are grown so as far as a node has many rows; the rest of each is grown by a task of its own, which scores the rows that fall there, and no
+such subtree reaches the driver.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from motefield.runtime import materialise, packed
 ONE_PARTITION = 20_000
 # Numbers in the vector of one job; a level with more nodes is worked in several jobs.
 VECTOR_LENGTH = 4 << 20
+# Train rows of a node from which on its subtree is grown in one task.
+SUBTREE_ROWS = 20_000
 
 
 def inputs(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -37,7 +41,11 @@ def with_predictions(rows: DataFrame, scores_of) -> DataFrame:
             x = np.array(frame["features"].tolist(), dtype=float).reshape(len(frame), -1)
             yield frame[keep].assign(scores=list(scores_of(x)))
 
-    out = rows.select(*keep).mapInPandas(score, f"{kinds}, scores array<double>")
+    return with_choice(rows.select(*keep).mapInPandas(score, f"{kinds}, scores array<double>"))
+
+
+def with_choice(out: DataFrame) -> DataFrame:
+    """``y_pred`` and ``score`` of ``scores``."""
     best = F.array_max(F.transform("scores", lambda s, i: F.struct(s.alias("s"), (-i).alias("c"))))
     out = out.withColumn("y_pred", (-best["c"]).cast("int"))
     return out.withColumn("score", F.when(F.size("scores") == 2, F.get("scores", F.lit(1))).otherwise(F.get("scores", F.col("y_pred"))))
@@ -90,9 +98,9 @@ class ExtraTrees:
         return out / len(self.trees)
 
 
-def draws(seed: int, tree: int, node: int, low: np.ndarray, high: np.ndarray, inspect: int) -> list[tuple[int, float]]:
+def draws(seed: int, tree: int, node: int, low: np.ndarray, high: np.ndarray, inspect: int, *above: int) -> list[tuple[int, float]]:
     """Features to look at in a node, constant ones passed over, each with a threshold drawn evenly between its bounds there."""
-    rng = np.random.default_rng([seed, tree, node])
+    rng = np.random.default_rng([seed, tree, node, *above])
     order, shares = rng.permutation(len(low)), rng.random(len(low))
     varied = [int(j) for j in order if high[j] > low[j]][:inspect]
     return [(j, float(low[j] + shares[j] * (high[j] - low[j]))) for j in varied if low[j] + shares[j] * (high[j] - low[j]) < high[j]]
@@ -106,12 +114,13 @@ def impurity(counts: np.ndarray) -> np.ndarray:
 
 def fit_extra_trees(
     rows: DataFrame, classes: int, trees: int = 300, depth: int | None = None, leaf: int = 1, split: int = 2, subset: str | None = "sqrt",
-    balanced: bool = False, seed: int = 42,
+    balanced: bool = False, seed: int = 42, stop: int = 0,
 ) -> ExtraTrees:
     """Trees on all rows (``features`` array, ``label`` 0..classes-1), split at thresholds drawn between the bounds of the node.
 
     Each level is two jobs: bounds of every feature in every open node, then class counts below the drawn thresholds. ``leaf`` and
-    ``split`` are the least rows of a leaf and of a node that is split; no ``depth`` grows until leaves are pure.
+    ``split`` are the least rows of a leaf and of a node that is split; no ``depth`` grows until leaves are pure. Nodes of at most ``stop``
+    rows are left as they are.
     """
     data = rows.select("features", F.col("label").cast("int").alias("label"))
 
@@ -126,13 +135,13 @@ def fit_extra_trees(
     n = int(whole.sum())
     data = packed(materialise(data), n, ONE_PARTITION)
     width = len(data.select("features").first()[0])
-    inspect = {"sqrt": max(1, int(np.sqrt(width))), "log2": max(1, int(np.log2(width)))}.get(subset or "all", width)
+    inspect = inspected(width, subset)
     weight = whole.sum() / ((whole > 0).sum() * np.maximum(whole, 1)) if balanced else np.ones(classes)
     forest = [Tree(counts=[whole.copy()]) for _ in range(trees)]
     open_ = [(t, 0) for t in range(trees)]
     level = 0
     while open_ and (depth is None or level < depth):
-        open_ = [(t, n) for t, n in open_ if (c := forest[t].counts[n]).sum() >= max(split, 2 * leaf) and (c > 0).sum() > 1]
+        open_ = [(t, n) for t, n in open_ if (c := forest[t].counts[n]).sum() >= max(split, 2 * leaf, stop + 1) and (c > 0).sum() > 1]
         grown: list[tuple[int, int]] = []
         step = max(1, VECTOR_LENGTH // max(2 * width, inspect * classes))
         for start in range(0, len(open_), step):
@@ -192,18 +201,126 @@ def _grow(data, forest, part, width, classes, inspect, leaf, weight, seed, singl
     counts = added(data.mapInPandas(below, "v binary"), single=single).reshape(len(part), inspect, classes)
     grown = []
     for place, (t, node) in enumerate(part):
-        parent = forest[t].counts[node]
-        left = counts[place, : len(drawn[place])]
-        right = parent - left
-        fits = (left.sum(axis=1) >= leaf) & (right.sum(axis=1) >= leaf)
-        if not fits.any():
-            continue
-        gain = np.round((impurity(parent * weight) - impurity(left * weight) - impurity(right * weight)) / (parent * weight).sum(), 12)
-        k = int(np.where(fits, gain, -np.inf).argmax())
-        grown += [(t, child) for child in forest[t].split(node, *drawn[place][k], left[k])]
+        k = best_draw(forest[t].counts[node], counts[place, : len(drawn[place])], leaf, weight)
+        if k is not None:
+            grown += [(t, child) for child in forest[t].split(node, *drawn[place][k], counts[place, k])]
     return grown
 
 
+def inspected(width: int, subset: str | None) -> int:
+    return {"sqrt": max(1, int(np.sqrt(width))), "log2": max(1, int(np.log2(width)))}.get(subset or "all", width)
+
+
+def best_draw(parent: np.ndarray, left: np.ndarray, leaf: int, weight: np.ndarray) -> int | None:
+    """The first of the splits that lower the impurity most, of those whose sides have enough rows."""
+    right = parent - left
+    fits = (left.sum(axis=1) >= leaf) & (right.sum(axis=1) >= leaf)
+    if not fits.any():
+        return None
+    gain = np.round((impurity(parent * weight) - impurity(left * weight) - impurity(right * weight)) / (parent * weight).sum(), 12)
+    return int(np.where(fits, gain, -np.inf).argmax())
+
+
+def grow_subtree(x, y, classes, number, above, inspect, depth, leaf, split, weight, seed) -> Tree:
+    """What :func:`fit_extra_trees` grows, on rows that are at hand; ``above`` names the node of a larger tree in place of which it stands."""
+    hot = np.eye(classes)[y]
+    tree = Tree(counts=[hot.sum(axis=0)])
+    level, grown = [(0, np.arange(len(x)))], 0
+    while level and (depth is None or grown < depth):
+        below = []
+        for node, own in level:
+            counts = tree.counts[node]
+            if len(own) < max(split, 2 * leaf) or (counts > 0).sum() < 2:
+                continue
+            part = x[own]
+            drawn = draws(seed, number, node, part.min(axis=0), part.max(axis=0), inspect, *above)
+            if not drawn:
+                continue
+            sides = [part[:, j] <= threshold for j, threshold in drawn]
+            left = np.array([hot[own[side]].sum(axis=0) for side in sides])
+            k = best_draw(counts, left, leaf, weight)
+            if k is not None:
+                a, b = tree.split(node, *drawn[k], left[k])
+                below += [(a, own[sides[k]]), (b, own[~sides[k]])]
+        level, grown = below, grown + 1
+    return tree
+
+
+def _depths(tree: Tree) -> np.ndarray:
+    out = np.zeros(len(tree.feature), dtype=int)
+    for node, left in enumerate(tree.left):
+        if left >= 0:
+            out[left : left + 2] = out[node] + 1
+    return out
+
+
+def extra_tree_scores(
+    train: DataFrame, test: DataFrame, row_id: str, classes: int, trees: int = 300, depth: int | None = None, leaf: int = 1, split: int = 2,
+    subset: str | None = "sqrt", balanced: bool = False, seed: int = 42, subtree_rows: int = SUBTREE_ROWS,
+) -> DataFrame:
+    """``row_id, scores`` of the test rows (``features`` array) by a forest as :func:`fit_extra_trees` grows it.
+
+    Levels of nodes with more than ``subtree_rows`` train rows are grown from aggregates and kept by the driver. Below them train and test
+    rows go to a group for each tree and node, that grows the subtree and gives the shares of its test rows.
+    """
+    top = fit_extra_trees(train, classes, trees, depth, leaf, split, subset, balanced, seed, subtree_rows)
+    weight = top.class_weight
+    width = len(train.select("features").first()[0])
+    inspect = inspected(width, subset)
+    kind = dict(test.dtypes)[row_id]
+
+    def unfinished(tree: Tree) -> np.ndarray:
+        """Leaves that a task has to go on from."""
+        counts, ends = np.array(tree.counts), np.array(tree.feature) < 0
+        large = counts.sum(axis=1)
+        out = ends & (large <= subtree_rows) & (large >= max(split, 2 * leaf)) & ((counts > 0).sum(axis=1) > 1)
+        return out if depth is None else out & (_depths(tree) < depth)
+
+    shared = train.sparkSession.sparkContext.broadcast((top.trees, [unfinished(t) for t in top.trees]))
+
+    def route(frames):
+        for frame in frames:
+            x = np.array(frame["features"].tolist(), dtype=float).reshape(len(frame), -1)
+            for number, (tree, open_) in enumerate(zip(*shared.value)):
+                node = tree.nodes(x)
+                own = open_[node]
+                if own.any():
+                    yield frame[own].assign(tree=number, node=node[own])
+
+    def finished(frames):
+        for frame in frames:
+            x = np.array(frame["features"].tolist(), dtype=float).reshape(len(frame), -1)
+            out = np.zeros((len(frame), classes))
+            for tree, open_ in zip(*shared.value):
+                shares, node = np.array(tree.counts) * weight, tree.nodes(x)
+                shares = np.where(open_[:, None], 0.0, shares / shares.sum(axis=1, keepdims=True))
+                out += shares[node]
+            yield pd.DataFrame({"row": frame["row"], "votes": list(out)})
+
+    def score(frame: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(frame["features"].tolist(), dtype=float).reshape(len(frame), -1)
+        asked = frame["label"].to_numpy() < 0
+        number, node = int(frame["tree"].iloc[0]), int(frame["node"].iloc[0])
+        if not asked.any():
+            return pd.DataFrame({"row": [], "votes": []}, dtype=object)
+        left = None if depth is None else depth - _depths(shared.value[0][number])[node]
+        y = frame["label"].to_numpy()[~asked].astype(int)
+        tree = grow_subtree(x[~asked], y, classes, number, (node,) if node else (), inspect, left, leaf, split, weight, seed)
+        shares = np.array(tree.counts) * weight
+        return pd.DataFrame({"row": frame["row"][asked], "votes": list((shares / shares.sum(axis=1, keepdims=True))[tree.nodes(x[asked])])})
+
+    known = train.select(F.lit("").alias("row"), "features", F.col("label").cast("int").alias("label"))
+    wanted = test.select(F.col(row_id).cast("string").alias("row"), "features", F.lit(-1).alias("label"))
+    tasks = 4 * train.sparkSession.sparkContext.defaultParallelism
+    routed = known.unionByName(wanted).repartition(tasks)
+    routed = routed.mapInPandas(route, "row string, features array<double>, label int, tree int, node long")
+    groups = min(2000, max(tasks, sum(int(o.sum()) for o in shared.value[1])))
+    votes = routed.repartition(groups, "tree", "node").groupBy("tree", "node").applyInPandas(score, "row string, votes array<double>")
+    votes = votes.unionByName(wanted.mapInPandas(finished, "row string, votes array<double>"))
+    sums = votes.groupBy("row").agg(*[F.sum(F.get("votes", F.lit(c))).alias(f"v{c}") for c in range(classes)])
+    return sums.select(F.col("row").cast(kind).alias(row_id), F.array(*[F.col(f"v{c}") / trees for c in range(classes)]).alias("scores"))
+
+
 # --- boosting of symmetric trees ----------------------------------------------------------
 
 

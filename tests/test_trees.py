@@ -130,3 +130,18 @@ def test_forest_in_parts_keeps_a_few_trees_on_the_driver(spark, rows, monkeypatc
     a, b = (np.array(t["scores"].tolist()) for t in (whole, parts))
     assert np.allclose(b.sum(axis=1), 1) and np.abs(a - b).mean() < 0.05 and (b.argmax(axis=1) == parts["y_pred"]).all()
     assert (parts["score"] == b.max(axis=1)).all()
+
+
+@pytest.mark.parametrize("depth", [None, 4])
+def test_subtrees_in_tasks_score_as_the_whole_forest(rows, monkeypatch, depth):
+    """Grown in tasks from the root, scores are those of the forest from aggregates, and no level is grown by jobs; from lower nodes on they are near."""
+    x, _ = made(150, 9)
+    test = rows.sparkSession.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, features array<double>")
+    whole = trees.fit_extra_trees(rows, 3, trees=30, depth=depth, leaf=2, seed=7).scores(x)
+    jobs, plain = [], trees._grow
+    monkeypatch.setattr(trees, "_grow", lambda *a: jobs.append(1) or plain(*a))
+    scores = lambda n: np.array(trees.extra_tree_scores(rows, test, "row_id", 3, 30, depth, 2, seed=7, subtree_rows=n).orderBy("row_id").toPandas()["scores"].tolist())
+    assert np.allclose(scores(240), whole) and not jobs
+    assert np.allclose(scores(0), whole) and jobs
+    cut = scores(60)
+    assert cut.shape == whole.shape and np.allclose(cut.sum(axis=1), 1) and np.abs(cut - whole).mean() < 0.06
