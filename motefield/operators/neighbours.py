@@ -22,6 +22,8 @@ from motefield.runtime import materialise
 SHIPPED_VALUES = 2_000_000
 BLOCK_POINTS = 20_000
 LANDMARKS = 256
+# Numbers in the largest array that a task works on at once, and in the features of a batch that it sends on.
+SLICE_VALUES = 4_000_000
 
 
 def _distances(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
@@ -35,7 +37,8 @@ def _best(test: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, p: int)
 
     A matrix product tells which points can be among the nearest, up to rounding; only those are measured exactly and ordered.
     """
-    slice_rows = max(1, 4_000_000 // max(1, points.size if p == 1 else len(points)))
+    slice_rows = max(1, SLICE_VALUES // max(1, points.size if p == 1 else len(points)))
+    pairs = max(1, SLICE_VALUES // max(1, points.shape[1]))
     norms, found = (points**2).sum(axis=1), []
     for start in range(0, len(test), slice_rows):
         rows = test[start : start + slice_rows]
@@ -47,7 +50,11 @@ def _best(test: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, p: int)
             slack = 1e-10 * (own + norms.max(initial=0.0))[:, None]
         bound = np.partition(near, min(k, len(points)) - 1, axis=1)[:, min(k, len(points)) - 1, None]
         row, place = np.nonzero(near <= bound + slack)
-        exact = near[row, place] if p == 1 else np.sqrt(((rows[row] - points[place]) ** 2).sum(axis=1))
+        if p == 1:
+            exact = near[row, place]
+        else:  # ties may be many
+            parts = [slice(i, i + pairs) for i in range(0, len(row), pairs)]
+            exact = np.concatenate([np.sqrt(((rows[row[i]] - points[place[i]]) ** 2).sum(axis=1)) for i in parts] or [np.zeros(0)])
         order = np.lexsort((ids[place], exact, row))
         row, place, exact = row[order], place[order], exact[order]
         rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
@@ -56,6 +63,15 @@ def _best(test: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, p: int)
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
+def _slices(batches: Iterator[pd.DataFrame], centres: np.ndarray, p: int) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Few rows at a time, with their distances from all centres."""
+    size = max(1, SLICE_VALUES // max(1, centres.size))
+    for pdf in batches:
+        for start in range(0, len(pdf), size):
+            part = pdf.iloc[start : start + size]
+            yield part, _distances(np.stack(part["features"].to_numpy()).astype(float), centres, p)
+
+
 def _candidate_frame(pdf, x, k, p, points, ids, labels) -> pd.DataFrame:
     row, place, dist, rank = _best(x, points, ids, k, p)
     return pd.DataFrame(
@@ -105,10 +121,8 @@ def _by_cells(train: DataFrame, test: DataFrame, k: int, p: int) -> DataFrame:
     centres = spark.sparkContext.broadcast(np.stack(marks["features"].to_numpy()).astype(float))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                dist = _distances(np.stack(pdf["features"].to_numpy()).astype(float), centres.value, p)
-                yield pdf.assign(cell=dist.argmin(axis=1), reach=dist.min(axis=1))
+        for pdf, dist in _slices(batches, centres.value, p):
+            yield pdf.assign(cell=dist.argmin(axis=1), reach=dist.min(axis=1))
 
     placed = train.select("train_id", "features", "label").mapInPandas(
         assign, "train_id long, features array<double>, label int, cell int, reach double"
@@ -122,10 +136,8 @@ def _by_cells(train: DataFrame, test: DataFrame, k: int, p: int) -> DataFrame:
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         limits, blocks = plan.value
         used = np.array(sorted(limits))
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            dist = _distances(np.stack(pdf["features"].to_numpy()).astype(float), centres.value, p)
+        room = max(1, SLICE_VALUES // max(1, centres.value.shape[1]))
+        for pdf, dist in _slices(batches, centres.value, p):
             # The landmarks are training points, so the k-th nearest one bounds the answer.
             bound = np.partition(dist, k - 1, axis=1)[:, k - 1]
             lower = dist[:, used] - np.array([limits[c] for c in used])
@@ -134,9 +146,10 @@ def _by_cells(train: DataFrame, test: DataFrame, k: int, p: int) -> DataFrame:
             many = np.array([blocks[c] for c in cell])
             part = np.concatenate([np.arange(m) for m in many]) if len(many) else np.array([], dtype=int)
             row, cell = np.repeat(row, many), np.repeat(cell, many)
-            yield pd.DataFrame(
-                {"test_id": pdf["test_id"].to_numpy()[row], "features": pdf["features"].to_numpy()[row], "cell": cell, "part": part}
-            )
+            ids, features = pdf["test_id"].to_numpy(), pdf["features"].to_numpy()
+            for i in range(0, len(row), room):
+                own = row[i : i + room]
+                yield pd.DataFrame({"test_id": ids[own], "features": features[own], "cell": cell[i : i + room], "part": part[i : i + room]})
 
     sent = test.select("test_id", "features").mapInPandas(
         send, "test_id long, features array<double>, cell int, part int"

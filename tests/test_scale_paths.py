@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -186,3 +187,18 @@ def test_scale_floor_of_series_that_start_late(spark):
         x = np.array([r[3] for r in rows if r[1] == s])
         scales[s] = 1.4826 * np.median(np.abs(x - np.median(x)))
     assert len(floors) == 1 and abs(floors.pop() - np.percentile(list(scales.values()), 10)) < 0.01
+
+
+def test_neighbours_send_small_batches(spark, monkeypatch):
+    """A test point may go to every cell and every distance may be a tie; no array of a task or batch that it sends exceeds the bound."""
+    monkeypatch.setattr(neighbours, "SLICE_VALUES", 8 * 60)
+    seen, plain = [], neighbours._distances
+    monkeypatch.setattr(neighbours, "_distances", lambda a, b, p: seen.append(a.size * len(b)) or plain(a, b, p))
+    x = np.random.default_rng(2).normal(size=(50, 8))
+    frame = pd.DataFrame({"features": list(x)})
+    parts = list(neighbours._slices(iter([frame, frame[:0]]), x[:10], 2))
+    assert sum(len(part) for part, _ in parts) == 50 and max(seen) <= 8 * 60 and len(parts) == 9
+    assert np.allclose(np.concatenate([d for _, d in parts]), plain(x, x[:10], 2))
+    same = np.tile(x[:1], (200, 1))
+    row, place, dist, rank = neighbours._best(x[:20], same, np.arange(200)[::-1], 3, 2)
+    assert (place.reshape(20, 3) == [199, 198, 197]).all() and (rank.reshape(20, 3) == [1, 2, 3]).all()
