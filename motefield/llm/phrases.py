@@ -1,8 +1,8 @@
 """Phrases whose words stand together more often than their parts would, by sorting pointers to word suffixes.
 
-Words are counted first. A phrase is no more frequent than any pair of words in it, so pairs are counted next, and only places
-where a frequent pair begins send a pointer: the up to five words from there on, as far as pairs stay frequent, with equal
-ones of a task merged into one with a weight. Pointers are routed by their two leading words. A task then sorts its pointers by
+Words are counted first. A phrase is no more frequent than any pair of words in it, so pairs are counted next, by both words, which
+are the phrases of two words. Only places where two frequent pairs follow each other send a pointer: the up to five words from there
+on, as far as pairs stay frequent, with equal ones of a task merged into one with a weight. Pointers are routed by their two leading words. A task then sorts its pointers by
 three-way quicksort, word after word: the pointers that equal the pivot are a phrase, their weight is its count, and partitions lighter than the
 least count are abandoned. Pairs with more pointers than one task should get are routed by all their words; their partitions are not
 abandoned and the counts of their phrases are added up after the sort.
@@ -138,27 +138,41 @@ def pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mixed(left * np.uint64(0xD6E8FEB86659FD93) + right)
 
 
+def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """What the filters and routes know a pair by: the words' hashes, the second turned by a bit."""
+    return left ^ ((right << np.uint64(1)) | (right >> np.uint64(63)))
+
+
+def pair_key(left: str, right: str) -> Column:
+    """``pair_keys`` of two columns."""
+    return F.col(left).bitwiseXOR(F.shiftleft(right, 1).bitwiseOR(F.shiftrightunsigned(right, 63)))
+
+
 def pair_counts(texts: DataFrame, seed: int, frequent) -> DataFrame:
-    """``p, n``: occurrences of every pair of neighbouring words that both may be frequent."""
+    """``w0, w1, n``: occurrences of every pair of neighbouring words that both may be frequent."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def sent():
-            pairs, counts = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+            pairs = np.concatenate(held, axis=1) if held else np.zeros((2, 0), np.uint64)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(counts.astype(np.int64))], ["p", "c"])
+            pairs = pairs[:, np.argsort(pair_keys(*pairs))]  # two pairs of one key may alternate; their rows are added up later
+            first = np.flatnonzero(np.concatenate([[True], (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)])[: pairs.shape[1]])
+            counts = np.diff(np.append(first, pairs.shape[1]))
+            columns = [pa.array(np.ascontiguousarray(w[first]).view(np.int64)) for w in pairs]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(counts.astype(np.int64))], ["w0", "w1", "c"])
 
         for rows in text_slices(batches):
             hashes, goes_on, *_ = text_words(rows.column("text"), rows.column("lang").to_pylist(), seed)
             good = passes(frequent.value, hashes)
             both = good[:-1] & good[1:] & goes_on[1:]
-            held.append(pair_hashes(hashes[:-1][both], hashes[1:][both]))
-            if sum(map(len, held)) > MERGED_ROWS:
+            held.append(np.stack([hashes[:-1][both], hashes[1:][both]]))
+            if sum(h.shape[1] for h in held) > MERGED_ROWS:
                 yield sent()
         yield sent()
 
-    return texts.mapInArrow(count, "p long, c long").groupBy("p").agg(F.sum("c").alias("n"))
+    return texts.mapInArrow(count, "w0 long, w1 long, c long").groupBy("w0", "w1").agg(F.sum("c").alias("n"))
 
 
 def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -176,13 +190,13 @@ POINTER = "w0 long, w1 long, w2 long, w3 long, w4 long, weight long, route long,
 
 
 def suffix_pointers(texts: DataFrame, seed: int, frequent, pairs, hot) -> DataFrame:
-    """The words from every place on where a frequent pair begins, as far as pairs stay frequent; equal ones of a task are merged."""
+    """The words from every place on where two frequent pairs follow each other, as far as pairs stay frequent; equal ones of a task are merged."""
 
     def point(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def sent(rows, weight):
-            lead = pair_hashes(rows[:, 0], rows[:, 1])
+            lead = pair_keys(rows[:, 0], rows[:, 1])
             split, whole = passes(hot.value, lead), lead
             for k in range(2, WORDS):
                 whole = pair_hashes(whole, rows[:, k])
@@ -195,8 +209,8 @@ def suffix_pointers(texts: DataFrame, seed: int, frequent, pairs, hot) -> DataFr
             good = passes(frequent.value, hashes)
             pair = np.zeros(len(hashes) + WORDS, dtype=bool)
             both = np.flatnonzero(good[:-1] & good[1:] & goes_on[1:])
-            pair[both] = passes(pairs.value, pair_hashes(hashes[both], hashes[both + 1]))
-            at = np.flatnonzero(pair)
+            pair[both] = passes(pairs.value, pair_keys(hashes[both], hashes[both + 1]))
+            at = np.flatnonzero(pair[:-1] & pair[1:])
             out = np.zeros((len(at), WORDS), dtype=np.uint64)
             padded = np.concatenate([hashes, np.zeros(WORDS, np.uint64)])
             goes = np.ones(len(at), dtype=bool)
@@ -249,7 +263,7 @@ def quicksorted(words: np.ndarray, weight: np.ndarray, least: int, abandon: bool
 
 
 def phrase_counts(pointers: DataFrame, tasks: int, least: int) -> DataFrame:
-    """``p, a``: every phrase of two to five words with at least ``least`` occurrences."""
+    """``p, a``: every phrase of three to five words with at least ``least`` occurrences."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.stack([b.column(k).to_numpy() for k in range(WORDS + 1)] + [b.column(WORDS + 2).to_numpy(zero_copy_only=False)], axis=1) for b in batches]
@@ -258,6 +272,7 @@ def phrase_counts(pointers: DataFrame, tasks: int, least: int) -> DataFrame:
             own = rows[rows[:, WORDS + 1] == split]
             words = np.ascontiguousarray(own[:, :WORDS]).view(np.uint64)
             at, length, total = quicksorted(words, own[:, WORDS], least, not split)
+            at, length, total = (c[length > 2] for c in (at, length, total))  # pointers leave out pairs that do not go on
             flat = own[at, :WORDS][np.arange(WORDS) < length[:, None]]
             bounds = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
             phrases = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))
@@ -298,14 +313,15 @@ def collocations(
 
     place = new_table_path(spark, "pairs")
     pair_counts(texts, seed, word_filter).where(F.col("n") >= least).write.parquet(place)
-    pairs = spark.read.schema("p long, n long").parquet(place)
+    pairs = spark.read.schema("w0 long, w1 long, n long").parquet(place).withColumn("p", pair_key("w0", "w1"))
     pointers = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = pairs.where(F.col("n") > min(task_pointers // 2, pointers // HOT_SHARE))
     pair_filter, hot_filter = (spark.sparkContext.broadcast(bit_filter(x, "p")) for x in (pairs, hot))
 
     place = new_table_path(spark, "phrases")
     routed = suffix_pointers(texts, seed, word_filter, pair_filter, hot_filter)
-    phrase_counts(routed, spread(pointers, task_pointers), least).write.parquet(place)
+    longer = phrase_counts(routed, spread(pointers, task_pointers), least)
+    longer.unionByName(pairs.select(F.array("w0", "w1").alias("p"), F.col("n").alias("a"))).write.parquet(place)
     phrases = spark.read.schema("p array<long>, a long").parquet(place)
     return ranked(phrases, frequent, totals, top)
 

@@ -219,6 +219,16 @@ def test_collocations_equal_brute_force(spark, chatter, monkeypatch, task_pointe
     assert got == brute_phrases(chatter, 10, top) and len(got) > 20
 
 
+def test_pairs_send_no_pointers(spark, chatter, monkeypatch):
+    """Phrases of two words are counted as pairs; a place whose next pair is rare sends nothing."""
+    seen, make = [], phrases.suffix_pointers
+    monkeypatch.setattr(phrases, "suffix_pointers", lambda *a: seen.append(make(*a)) or seen[-1])
+    rows = chatter + [("en", f"often said u{i}") for i in range(30)]
+    got = phrase_rows(phrases.collocations(spark.createDataFrame(rows, "lang string, text string"), least=10))
+    assert got == brute_phrases(rows, 10, 2000) and ("en", "often said", 30) in {(r[0], r[2], r[3]) for r in got}
+    assert seen[0].where("w2 = 0").isEmpty() and not seen[0].isEmpty()
+
+
 def test_collocations_of_odd_tables(spark, odd, none):
     docs = odd.withColumn("lang", F.lit(None).cast("string"))
     rows = [(None, r.text) for r in docs.select("text").collect()]
