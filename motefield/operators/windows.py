@@ -21,6 +21,8 @@ from motefield.series import SeriesLayout
 
 STATS = ["mean", "std", "min", "p10", "median", "p90", "max"]
 T = "seg_t"
+# Samples of whole windows that a task gets: they become several times as many values there.
+TASK_SAMPLES = 100_000
 
 
 SHARES = {"p10": 0.1, "median": 0.5, "p90": 0.9}
@@ -51,8 +53,11 @@ def energy_limit(energy: DataFrame, value: str, keys: list[str], factor: float =
 
 
 def wide(df: DataFrame, keys: list[str], devices: list[str], label: str = "device") -> DataFrame:
-    """One row per window position and subcarrier: ``x_<device>`` and change ``d_<device>``."""
-    rows = df.repartition(*keys).groupBy(*keys, T, "sc").agg(
+    """One row per window position and subcarrier: ``x_<device>`` and change ``d_<device>``.
+
+    The tasks follow from the number of samples. Left to the bytes shuffled, a few tasks would get all: what is made of samples is much larger.
+    """
+    rows = df.repartition(df.count() // TASK_SAMPLES + 1, *keys).groupBy(*keys, T, "sc").agg(
         *[F.max(F.when(F.col(label) == d, F.col("x"))).alias(f"x_{d}") for d in devices]
     )
     along = Window.partitionBy(*keys, "sc").orderBy(T)

@@ -63,3 +63,17 @@ def test_blocks_with_missing_receivers_and_shapes(spark):
     names = {(r.w, r.feature): r.value for r in windows.block_features(blocks, ["w"], ["d0", "d1"]).collect()}
     assert names[3, "motion__d0_t_energy_000"] == 0.0 and (3, "motion__d0_sc_energy_000") not in names
     assert np.isclose(names[0, "absolute__d0_sc_mean_002"], kept[0][0, :, 2].mean()) and np.isclose(names[2, "motion__d1_t_energy_002"], np.abs(np.diff(kept[2][1], axis=0)).mean(axis=1)[1])
+
+
+def test_tasks_of_windows_follow_from_samples(spark, monkeypatch):
+    """24,000 samples, 1,000 a task: as many tasks as that asks for, however few bytes are shuffled, with the values of one task."""
+    from pyspark.sql import functions as F
+
+    samples = spark.range(24_000).select(
+        F.floor(F.col("id") / 24).alias("w"), (F.floor(F.col("id") / 4) % 6).alias("seg_t"), (F.col("id") % 4).alias("sc"), F.sin("id").alias("x")
+    )
+    few = sorted(tuple(r) for r in windows.single_receiver_features(samples, ["w"]).collect())
+    monkeypatch.setattr(windows, "TASK_SAMPLES", 1000, raising=False)
+    assert windows.wide(samples.withColumn("_r", F.lit("one")), ["w"], ["one"], "_r").rdd.getNumPartitions() == 25
+    many = sorted(tuple(r) for r in windows.single_receiver_features(samples, ["w"]).collect())
+    assert [r[:2] for r in few] == [r[:2] for r in many] and all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(few, many))
