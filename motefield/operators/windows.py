@@ -234,10 +234,20 @@ def _profile(values: np.ndarray, axes: tuple[int, ...]) -> tuple[np.ndarray, np.
     return mean, np.sqrt(np.nanmean((values - np.expand_dims(mean, axes)) ** 2, axis=axes))
 
 
+def _quantiles(values: np.ndarray, shares: list[float]) -> np.ndarray:
+    """Quantiles of each window's values, missing values left out; windows that lack none, which are most, are done at once."""
+    gaps = np.isnan(values).any(axis=1)
+    out = np.empty((len(shares), len(values)))
+    out[:, ~gaps] = np.quantile(values[~gaps], shares, axis=1)
+    if gaps.any():
+        out[:, gaps] = np.nanquantile(values[gaps], shares, axis=1)
+    return out
+
+
 def _seven(values: np.ndarray) -> np.ndarray:
     """The seven statistics of each window's values (windows x values), missing values left out."""
     mean, std = _profile(values, (1,))
-    low, median, high = np.nanquantile(values, [0.1, 0.5, 0.9], axis=1)
+    low, median, high = _quantiles(values, [0.1, 0.5, 0.9])
     return np.stack([mean, std, np.nanmin(values, axis=1), low, median, high, np.nanmax(values, axis=1)], axis=1)
 
 
@@ -343,11 +353,11 @@ def feature_table(long: DataFrame, keys: list[str], subset: str = "motion_only")
     if chosen.isEmpty():
         raise ValueError(f"no feature of the set {subset!r}")
     names = F.array(*[F.lit(r["feature"]) for r in chosen.select("feature").distinct().orderBy("feature").collect()])
-    packed = chosen.filter("value is not null").groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("_v")
-    )
+    packed = chosen.filter("value is not null").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("feature", "value"))).alias("_v"))
     rows = chosen.select(*keys).distinct().join(packed, keys, "left")
-    filled = F.transform(names, lambda n: F.coalesce(F.col("_v")[n], F.lit(0.0)))
+    # A window that has every feature has them in the order of the names; only another one is asked for each.
+    known = F.map_from_entries("_v")
+    filled = F.when(F.col("_v.feature") == names, F.col("_v.value")).otherwise(F.transform(names, lambda n: F.coalesce(known[n], F.lit(0.0))))
     return rows.select(*keys, names.alias("names"), filled.alias("features"))
 
 

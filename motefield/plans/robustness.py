@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from motefield.functions.iq import exploded, iq_amplitude
 from motefield.operators import batched, metrics, models, splits, windows
 from motefield.operators.normalise import PreprocessConfig, preprocess_amplitude
-from motefield.runtime import lookup_join, materialise, packed
+from motefield.runtime import lookup_join, materialise, packed, written
 from motefield.series import SeriesLayout
 
 WINDOW = ["recording_id", "segment"]
@@ -37,12 +37,45 @@ def subset_indices(names: list[str], devices: list[str]) -> dict[str, list[int]]
     return out
 
 
-def window_table(packets: DataFrame, config: PreprocessConfig, width: int, devices: list[str]) -> tuple[DataFrame, list[str]]:
-    """Feature vectors of all windows after preprocessing inside each window, and feature names."""
-    samples = exploded(packets, [*WINDOW, "device", "seg_t"], iq_amplitude(F.col("iq")), "sc", "x")
-    layout = SeriesLayout((*WINDOW, "device", "sc"), width, "seg_t")
-    done = preprocess_amplitude(samples, "x", layout, WINDOW, config)
-    done = done.select(*WINDOW, "device", "seg_t", "sc", F.col("normalized").alias("x"))
+def window_layout(packets: DataFrame, width: int) -> SeriesLayout:
+    """Layout of the sample series of a window, with the samples of the largest window: one that fits a task needs no second pass for its scales."""
+    sizes = packets.groupBy(*WINDOW).agg(F.sum(F.floor(F.size("iq") / 2)).alias("n"))
+    return SeriesLayout((*WINDOW, "device", "sc"), width, "seg_t", recording_rows=int(sizes.agg(F.max("n")).first()[0] or 0))
+
+
+SAMPLE = [*WINDOW, "device", "seg_t", "sc"]
+
+
+def window_samples(packets: DataFrame) -> DataFrame:
+    """Amplitudes of all windows, one row per sample."""
+    return exploded(packets, [*WINDOW, "device", "seg_t"], iq_amplitude(F.col("iq")), "sc", "x")
+
+
+def smoothing(config: PreprocessConfig) -> PreprocessConfig:
+    """The part of a setting that decides the smoothed values."""
+    return config.but(apply_detrend=False, apply_zscore=False, detrend_window=0, scale_floor_percentile=0.0, z_clip=None)
+
+
+def smoothed_windows(packets: DataFrame, layout: SeriesLayout, configs: dict[str, PreprocessConfig]) -> dict[PreprocessConfig, DataFrame]:
+    """Smoothed samples by kind of smoothing, for those that several settings share; each is computed once."""
+    kinds = [smoothing(c) for c in configs.values()]
+    out = {}
+    for kind in dict.fromkeys(k for k in kinds if kinds.count(k) > 1):
+        done = preprocess_amplitude(window_samples(packets), "x", layout, WINDOW, kind)
+        out[kind] = written(done.select(*SAMPLE, F.col("smoothed").alias("x")), "smoothed")
+    return out
+
+
+def window_table(
+    packets: DataFrame, config: PreprocessConfig, layout: SeriesLayout, devices: list[str], smoothed: dict[PreprocessConfig, DataFrame] | None = None
+) -> tuple[DataFrame, list[str]]:
+    """Feature vectors of all windows after preprocessing inside each window, and feature names.
+
+    ``smoothed`` are the samples of :func:`smoothed_windows`; a setting whose smoothing is among them goes on from there.
+    """
+    ready = (smoothed or {}).get(smoothing(config))
+    samples, rest = (window_samples(packets), config) if ready is None else (ready, config.but(pipeline="raw"))
+    done = preprocess_amplitude(samples, "x", layout, WINDOW, rest).select(*SAMPLE, F.col("normalized").alias("x"))
     long = windows.window_features(done, packets, WINDOW, devices)
     table = windows.feature_table(long, WINDOW, "motion_only")
     meta = packets.groupBy(*WINDOW).agg(*[F.first(c).alias(c) for c in META])
@@ -59,9 +92,11 @@ RESULT = [
 
 def stacked_windows(packets: DataFrame, width: int, devices: list[str], configs: dict[str, PreprocessConfig]) -> tuple[DataFrame, dict[str, list[str]]]:
     """One row per window with the features of all settings end to end, and the feature names of each setting."""
+    layout = window_layout(packets, width)
+    smoothed = smoothed_windows(packets, layout, configs)
     out, names = None, {}
     for name, config in configs.items():
-        table, names[name] = window_table(packets, config, width, devices)
+        table, names[name] = window_table(packets, config, layout, devices, smoothed)
         own = table.select(*WINDOW, *META, "label", vector_to_array("features").alias("features"))
         if out is None:
             out = own
@@ -130,17 +165,25 @@ def scored_fits(spark, scored: DataFrame, told: list[tuple], known: batched.Spli
 def importance_mass(
     packets: DataFrame, width: int, devices: list[str], configs: dict[str, PreprocessConfig] = CONFIGS, trees: int = 300, parallelism: int = 4
 ) -> DataFrame:
-    """Random forest importance summed over feature groups for every setting, fitted on the train recordings."""
+    """Random forest importance summed over feature groups for every setting, fitted on the train recordings.
+
+    Settings are worked side by side and share their smoothing; the nodes that the driver holds of all forests together are bounded.
+    """
+    layout = window_layout(packets, width)
+    smoothed = smoothed_windows(packets, layout, configs)
+    lanes = min(parallelism, len(configs))
 
     def one(name: str) -> DataFrame:
-        table, names = window_table(packets, configs[name], width, devices)
+        table, names = window_table(packets, configs[name], layout, devices, smoothed)
         roles = splits.group_shuffle_split(table, "recording_id")
         train = table.join(roles.filter("role = 'train'"), "recording_id", "left_semi")
         weighted = materialise(metrics.with_class_weights(train, "label"))
-        model = models.forest(trees=trees, leaf=2, weight="weight").fit(packed(weighted, weighted.count()))
-        return models.importance_groups(models.importance_table(packets.sparkSession, model, names), devices).withColumn("config", F.lit(name))
+        rows = weighted.count()
+        estimator = models.forest(trees=trees, leaf=2, weight="weight")
+        importance = models.forest_importance(estimator, packed(weighted, rows), rows, models.FOREST_ROWS // lanes)
+        return models.importance_groups(models.importance_table(packets.sparkSession, importance, names), devices).withColumn("config", F.lit(name))
 
-    found = models.run_parallel([lambda n=n: one(n) for n in configs], parallelism)
+    found = models.run_parallel([lambda n=n: one(n) for n in configs], lanes)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

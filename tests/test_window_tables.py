@@ -77,3 +77,62 @@ def test_tasks_of_windows_follow_from_samples(spark, monkeypatch):
     assert windows.wide(samples.withColumn("_r", F.lit("one")), ["w"], ["one"], "_r").rdd.getNumPartitions() == 25
     many = sorted(tuple(r) for r in windows.single_receiver_features(samples, ["w"]).collect())
     assert [r[:2] for r in few] == [r[:2] for r in many] and all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(few, many))
+
+
+def test_smoothing_is_shared_and_scales_need_no_second_pass(spark):
+    """Settings that go on from shared smoothed samples, on whole windows, have the features of a setting that does all steps by itself and joins its scales."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    from motefield.operators.normalise import preprocess_amplitude
+    from motefield.series import SeriesLayout
+
+    place = F.floor(F.col("id") / 3)
+    packets = spark.range(4 * 2 * 6 * 3).select(
+        F.floor(place / 12).cast("int").alias("recording_id"), (F.floor(place / 6) % 2).cast("int").alias("segment"), (place % 6).alias("seg_t"),
+        F.concat(F.lit("dev"), (F.col("id") % 3 + 1).cast("string")).alias("device"), (-30 - F.col("id") % 7).alias("rssi"),
+        F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.pmod(F.hash("id", i), F.lit(99))).alias("iq"),
+        F.lit("p").alias("person_id"), (F.floor(place / 12) % 2).cast("int").alias("binary_label"),
+    ).repartition(3).cache()
+    layout = robustness.window_layout(packets, 6)
+    assert layout.recording_fits and layout.recording_rows == 6 * 3 * 4
+    shared = robustness.smoothed_windows(packets, layout, robustness.CONFIGS)
+    assert len(shared) == 1
+    alone = SeriesLayout((*robustness.WINDOW, "device", "sc"), 6, "seg_t")
+    features = lambda table: {tuple(r[:2]): r[2] for r in table.select(*robustness.WINDOW, vector_to_array("features")).collect()}
+    for config in robustness.CONFIGS.values():
+        got, names = robustness.window_table(packets, config, layout, DEVICES, shared)
+        want, same = robustness.window_table(packets, config, alone, DEVICES)
+        assert names == same and features(got) == features(want) and len(features(want)) == 8
+    last = robustness.CONFIGS["smooth_detrend_zscore"]
+    rest = preprocess_amplitude(shared[robustness.smoothing(last)], "x", layout, robustness.WINDOW, last.but(pipeline="raw"))
+    plan = rest._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_quantiles_with_and_without_gaps():
+    import numpy as np
+
+    values = np.random.default_rng(3).normal(size=(50, 17))
+    values[7, 3], values[9, :16] = np.nan, np.nan
+    assert (windows._quantiles(values, [0.1, 0.5, 0.9]) == np.nanquantile(values, [0.1, 0.5, 0.9], axis=1)).all()
+
+
+def test_importance_of_a_forest_in_parts(spark, monkeypatch):
+    """Parts hold no more trees than asked for, make up the whole forest, and weigh as their trees; a small forest is one fit."""
+    import numpy as np
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.linalg import Vectors
+
+    x = np.random.default_rng(8).normal(size=(200, 4))
+    rows = spark.createDataFrame([(Vectors.dense(v), float(v[1] > 0)) for v in x], ["features", "label"]).coalesce(1).cache()
+    fitted, fit = [], RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, df: fitted.append((self.getNumTrees(), self.getSeed(), fit(self, df))) or fitted[-1][2])
+    estimator = models.forest(trees=10, depth=3)
+    whole = models.forest_importance(estimator, rows, 200)
+    assert [f[0] for f in fitted] == [10] and np.isclose(whole.sum(), 1.0)
+    fitted.clear()
+    found = models.forest_importance(estimator, rows, 200, forest_rows=200 * 3 * 2, parallelism=2)
+    assert sorted(f[0] for f in fitted) == [1, 3, 3, 3] and len({f[1] for f in fitted}) == 4
+    want = sum(n * m.featureImportances.toArray() for n, _, m in fitted) / 10
+    assert np.allclose(found, want) and found.argmax() == 1
